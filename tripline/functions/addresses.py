@@ -17,7 +17,7 @@ def ipv4_to_long(ip: Column) -> Column:
 
 def network_of(address: Column, prefix_len: Column) -> Column:
     """First address of the block of ``prefix_len`` bits that holds ``address``."""
-    block = F.shiftleft(F.lit(1).cast("bigint"), (F.lit(32) - prefix_len).cast("int"))
+    block = F.pow(F.lit(2.0), F.lit(32) - prefix_len).cast("bigint")
     return address - F.pmod(address, block)
 
 

@@ -11,6 +11,12 @@ FLAGS = "(?Ud)"
 SPACE = r"[\s\x1c-\x1f]"
 NONSPACE = r"[^\s\x1c-\x1f]"
 
+# Every character that counts as white space at a line's ends.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
 # Characters beyond CR and LF that also end a line; the text reader keeps them.
 EXTRA_LINE_BREAKS = "[\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
 
@@ -20,7 +26,7 @@ UNIT = "\x1e"
 
 def strip(col: Column) -> Column:
     """Drop leading and trailing white space of any kind."""
-    return F.regexp_replace(col, rf"(?U)\A{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(col, F.lit(WHITE_SPACE))
 
 
 def blank_to_null(col: Column) -> Column:

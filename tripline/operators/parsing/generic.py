@@ -7,6 +7,8 @@ free text fills the gaps.  A non-blank line is never dropped.
 from __future__ import annotations
 
 import json
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -36,6 +38,8 @@ ALIASES = {
 # Protocol tokens in order of preference, and words of failure.
 PROTOCOLS = ("http", "ssh", "tcp", "udp", "dns", "ftp", "smtp")
 FAILURE = r"\b(?:fail|failed|failure|invalid|denied|deny|unauthor\w*|reject\w*|error)\b"
+# Upper-case text of which one occurs wherever FAILURE matches.
+_FAILURE_HINTS = ("FAIL", "INVALID", "DEN", "UNAUTHOR", "REJECT", "ERROR")
 
 _IP = r"(?:\d{1,3}\.){3}\d{1,3}"
 _REQUEST = rf'{FLAGS}"([A-Z]+){SPACE}+({NONSPACE}+){SPACE}+HTTP/[0-9.]+"'
@@ -46,16 +50,13 @@ _NCSA = rf"{FLAGS}\[(\d{{2}}/[A-Za-z]{{3}}/\d{{4}}:\d{{2}}:\d{{2}}:\d{{2}}{SPACE
 _SYSLOG = rf"{FLAGS}\b([A-Z][a-z]{{2}}{SPACE}+\d{{1,2}}{SPACE}+\d{{2}}:\d{{2}}:\d{{2}})\b"
 
 
-_ENTRIES = T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("json", T.StringType())]))
-
-
-@F.pandas_udf(_ENTRIES)
+@F.pandas_udf(T.StringType())
 def flatten_json(lines: pd.Series) -> pd.Series:
-    """Scalars of a nested JSON object under dotted keys, in document order.
+    """The JSON object with its nested scalars moved to the top, under dotted
+    keys in document order; null for lines that are not one JSON object.
 
     Variants sort the keys of nested objects, and picking the first alias needs
-    document order, so nested lines (only) are flattened here.  Null for lines
-    that are not one JSON object.
+    document order, so nested lines (only) are flattened here.
     """
     return lines.map(_flatten_line, na_action="ignore")
 
@@ -90,27 +91,32 @@ def parse_generic(df: DataFrame, line: Column, options: ParseOptions) -> DataFra
         method=value("method"),
         status=F.when(pick("status").isNull(), text("status").try_cast("int")).otherwise(whole("status")),
         username=pick("username"),
-        fields=F.when(has_fields, F.map_from_entries("_fields")),
+        fields=F.when(has_fields, F.col("_fields")),
         message=F.when(~has_fields, line),
     ).drop("_fields", *temporary)
 
 
 def _structured(df: DataFrame, line: Column) -> DataFrame:
-    """``_fields``: entries (key, variant) in document order; ``_pick_*``: the
-    first usable value of each known field."""
-    shallow = F.when(line.rlike(r"\A\{[^\[{]*\z"), one_json_value(line, "map<string,variant>"))
-    df = df.withColumn("_shallow", shallow)
+    """``_fields``: a map of variants in document order; ``_pick_*`` and
+    ``_kind_*``: the first usable value of each known field and its type."""
+    fields = "map<string,variant>"
+    df = df.withColumn("_shallow", F.when(line.rlike(r"\A\{[^\[{]*\z"), one_json_value(line, fields)))
     keys = F.map_keys("_shallow")
     clean = F.col("_shallow").isNotNull() & (F.size(F.array_distinct(keys)) == F.size(keys))
     df = df.withColumn("_deep", flatten_json(F.when(F.startswith(line, F.lit("{")) & ~clean, line)))
     df = df.withColumn("_pairs", F.when(~clean & F.col("_deep").isNull(), _pairs(line)))
-    deep = F.transform("_deep", lambda e: F.struct(e.key.alias("key"), F.try_parse_json(e.json).alias("value")))
-    pairs = F.when(
-        F.size("_pairs") >= 2,
-        F.transform(_last_of_each("_pairs"), lambda e: F.struct(e.key.alias("key"), e.value.cast("variant").alias("value"))),
+    pairs = F.transform(
+        _last_of_each("_pairs"), lambda e: F.struct(e.key.alias("key"), e.value.cast("variant").alias("value"))
     )
-    df = stage(df, _fields=F.coalesce(F.when(clean, F.map_entries("_shallow")), deep, pairs))
-    df = stage(df.drop("_shallow", "_deep", "_pairs"), _usable=_usable(F.col("_fields")))
+    df = stage(
+        df,
+        _fields=F.coalesce(
+            F.when(clean, F.col("_shallow")),
+            F.from_json("_deep", fields),
+            F.when(F.size("_pairs") >= 2, F.map_from_entries(pairs)),
+        ),
+    )
+    df = stage(df.drop("_shallow", "_deep", "_pairs"), _usable=_usable(F.map_entries("_fields")))
     first = lambda name: F.get(F.filter("_usable", lambda e: e.field == name), F.lit(0))
     picked = {f"_pick_{name}": first(name).text for name in ALIASES}
     return stage(df, **picked, **{f"_kind_{name}": first(name).kind for name in ALIASES}).drop("_usable")
@@ -140,17 +146,20 @@ def _last_of_each(entries: str) -> Column:
 
 def _usable(fields: Column) -> Column:
     """The entries that carry a known field and are not empty."""
-    names = F.create_map(*[F.lit(x) for name, keys in ALIASES.items() for key in keys.split() for x in (key, name)])
+    leaf = lambda e: F.translate(F.lower(F.substring_index(e.key, ".", -1)), "- ", "__")
+    leaves = F.transform(fields, lambda e: F.struct(leaf(e).alias("leaf"), e.value.alias("value")))
+    every = [key for keys in ALIASES.values() for key in keys.split()]
+    known = F.filter(leaves, lambda e: e.leaf.isin(*every))
 
-    def known(entry: Column) -> Column:
-        leaf = F.translate(F.lower(F.substring_index(entry.key, ".", -1)), "- ", "__")
+    def named(entry: Column) -> Column:
+        name = F.coalesce(*[F.when(entry.leaf.isin(*keys.split()), F.lit(name)) for name, keys in ALIASES.items()])
         return F.struct(
-            F.try_element_at(names, leaf).alias("field"),
+            name.alias("field"),
             entry.value.cast("string").alias("text"),
             F.schema_of_variant(entry.value).alias("kind"),
         )
 
-    return F.filter(F.transform(fields, known), lambda e: e.field.isNotNull() & (e.text != ""))
+    return F.filter(F.transform(known, named), lambda e: e.text != "")
 
 
 def _structured_time(text: Column, kind: Column) -> Column:
@@ -160,43 +169,62 @@ def _structured_time(text: Column, kind: Column) -> Column:
 
 
 def _freetext(df: DataFrame, line: Column, options: ParseOptions) -> DataFrame:
-    """``_text_*``: what plain text alone says."""
+    """``_text_*``: what plain text says about fields that were not picked.
+
+    Cheap substring tests come before each pattern: most lines lack most of
+    the entities.
+    """
+    lacks = lambda *names: reduce(or_, [F.col(f"_pick_{name}").isNull() for name in names])
+    seek_address = lacks("source_ip", "dest_ip") & line.rlike(r"(?U)\d\.\d{1,3}\.\d")
+    seek_request = lacks("protocol", "path", "method", "status") & F.contains(line, F.lit("HTTP/"))
+    seek_time = F.col("_pick_timestamp").isNull() | (F.col("_kind_timestamp") == "STRING")
     df = stage(
         df,
-        _from=_first(line, rf"(?Udi)\bfrom{SPACE}+({_IP})\b"),
-        _method=F.when(F.contains(line, F.lit("HTTP/")), _first(line, _REQUEST)),
-        _lowered=F.lower(line),
-        _iso=_first(line, _ISO),
-        _ncsa=_first(line, _NCSA),
-        _syslog=_first(line, _SYSLOG),
+        _address=seek_address,
+        _from=F.when(seek_address, _first(line, rf"(?Udi)\bfrom{SPACE}+({_IP})\b")),
+        _method=F.when(seek_request, _first(line, _REQUEST)),
+        _lowered=F.when(lacks("protocol"), F.lower(line)),
+        # Upper case folds everything the ignore-case pattern would.
+        _upper=F.when(lacks("outcome"), F.upper(line)),
+        _clock=seek_time & line.rlike(r"(?U)\d\d:\d\d:\d\d"),
     )
     addresses = F.filter(F.regexp_extract_all(line, F.lit(rf"{FLAGS}\b{_IP}\b"), F.lit(0)), is_ipv4)
-    df = stage(df, _ips=F.when(F.col("_from").isNull(), addresses))
+    df = stage(
+        df,
+        _ips=F.when(F.col("_address") & F.col("_from").isNull(), addresses),
+        _iso=F.when(F.col("_clock"), _first(line, _ISO)),
+        _ncsa=F.when(F.col("_clock") & F.contains(line, F.lit("[")), _first(line, _NCSA)),
+    )
     request = F.col("_method").isNotNull()
     protocol = F.when(request, F.lit("http"))
     for token in PROTOCOLS:
         named = F.contains("_lowered", F.lit(token)) & F.col("_lowered").rlike(rf"{FLAGS}\b{token}")
         protocol = protocol.when(named, F.lit(token))
+    to_address = F.when(F.col("_address"), _first(line, rf"(?Udi)\bto{SPACE}+({_IP})\b"))
+    hinted = reduce(or_, [F.contains("_upper", F.lit(hint)) for hint in _FAILURE_HINTS])
+    embedded = F.coalesce(
+        iso8601(F.col("_iso")),
+        ncsa(F.col("_ncsa")),
+        F.when(F.col("_clock"), syslog(_first(line, _SYSLOG), options.syslog_year)),
+    )
     return stage(
         df,
         _text_source_ip=F.coalesce("_from", F.get("_ips", F.lit(0))),
-        _text_dest_ip=F.coalesce(_first(line, rf"(?Udi)\bto{SPACE}+({_IP})\b"), F.get("_ips", F.lit(1))),
+        _text_dest_ip=F.coalesce(to_address, F.get("_ips", F.lit(1))),
         _text_protocol=protocol,
         _text_method=F.col("_method"),
         _text_path=F.when(request, F.regexp_extract(line, _REQUEST, 2)),
         _text_status=F.when(request, _first(line, _STATUS)),
-        _text_outcome=F.when(line.rlike(f"(?Udi){FAILURE}"), F.lit("failed")),
-        _text_timestamp=F.coalesce(
-            iso8601(F.col("_iso")), ncsa(F.col("_ncsa")), syslog(F.col("_syslog"), options.syslog_year)
-        ),
-    ).drop("_from", "_method", "_lowered", "_iso", "_ncsa", "_syslog", "_ips")
+        _text_outcome=F.when(hinted & line.rlike(f"(?Udi){FAILURE}"), F.lit("failed")),
+        _text_timestamp=embedded,
+    ).drop("_address", "_from", "_method", "_lowered", "_upper", "_clock", "_iso", "_ncsa", "_ips")
 
 
 def _first(line: Column, pattern: str) -> Column:
     return blank_to_null(F.regexp_extract(line, pattern, 1))
 
 
-def _flatten_line(line: str) -> list[dict] | None:
+def _flatten_line(line: str) -> str | None:
     try:
         document = json.loads(line)
     except ValueError:
@@ -212,4 +240,4 @@ def _flatten_line(line: str) -> list[dict] | None:
             pending.extend((f"{prefix}{name}", f"{prefix}{name}.", child) for name, child in reversed(children))
         else:
             leaves[path] = node
-    return [{"key": path, "json": json.dumps(value)} for path, value in leaves.items()]
+    return json.dumps(leaves)

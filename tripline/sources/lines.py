@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripline.functions.text import EXTRA_LINE_BREAKS, NONSPACE, strip
+from tripline.functions.text import EXTRA_LINE_BREAKS, strip
 
 FILE_COLUMNS = ("file_path", "file_name", "file_block_start")
 
@@ -26,4 +26,4 @@ def to_lines(df: DataFrame, column: str) -> DataFrame:
     """Replaces a text column by ``line``: one row per non-blank, trimmed line."""
     others = [c for c in df.columns if c != column]
     pieces = F.explode(F.split(F.col(column), rf"\r\n|[\r\n]|{EXTRA_LINE_BREAKS}"))
-    return df.select(*others, pieces.alias("line")).where(F.col("line").rlike(f"(?U){NONSPACE}")).withColumn("line", strip(F.col("line")))
+    return df.select(*others, pieces.alias("line")).withColumn("line", strip(F.col("line"))).where(F.col("line") != "")

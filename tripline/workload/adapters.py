@@ -18,6 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Uses all cores on an input with fewer splits than cores; a large input
+    has more splits than that and is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def address(number: Column, head: str = "10.0") -> Column:
     return F.concat_ws(".", F.lit(head), (number / 256).cast("bigint").cast("string"), (number % 256).cast("string"))
 

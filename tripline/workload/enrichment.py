@@ -1 +1,77 @@
-"""Placeholder."""
+"""Where addresses are, and what is known about them."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tripline.operators.enrich import build_enrichment, locate, new_addresses
+from tripline.workload.adapters import BASE, ENRICHMENT_SQL, OPTIONS, base, enrichment, security_events, security_sql, table
+from tripline.workload.catalog import query
+
+
+def networks(spark, sf_dir):
+    """Nested blocks: one /8, a /16 and /24s, and single addresses of some parts."""
+    n = F.col("p_partkey")
+    block = F.when(n == 0, "10.0.0.0/8").when(n == 1, "10.0.0.0/16").when(
+        n % 5 == 2, F.concat_ws(".", F.lit("10.0"), (n / 256).cast("bigint"), (n % 256).cast("string")).cast("string")
+    )
+    single = F.when(n % 5 == 2, F.concat(block, F.lit("/32"))).otherwise(block)
+    wide = F.concat(F.lit("10.0."), (n % 256).cast("string"), F.lit(".77/24"))
+    return table(spark, sf_dir, "part").select(
+        F.when(single.isNotNull(), single).when((n % 5 == 3) & (n < 256) & (n % 2 == 1), wide).alias("cidr"),
+        F.concat(F.lit("Land "), F.col("p_brand")).alias("country"),
+        F.col("p_name").alias("city"),
+        n.cast("double").alias("latitude"),
+        (-n.cast("double")).alias("longitude"),
+    ).where(F.col("cidr").isNotNull())
+
+
+NETWORKS_SQL = """blocks AS (
+      SELECT CASE WHEN p_partkey IN (0, 1) THEN 10 * 16777216
+                  WHEN p_partkey % 5 = 2 THEN 10 * 16777216 + p_partkey // 256 * 256 + p_partkey % 256
+                  ELSE 10 * 16777216 + p_partkey * 256 END AS low,
+             CASE WHEN p_partkey = 0 THEN 8 WHEN p_partkey = 1 THEN 16 WHEN p_partkey % 5 = 2 THEN 32 ELSE 24 END AS bits,
+             'Land ' || p_brand AS country, p_name AS city, CAST(p_partkey AS DOUBLE) AS latitude
+      FROM part WHERE p_partkey IN (0, 1) OR p_partkey % 5 = 2
+        OR (p_partkey % 5 = 3 AND p_partkey < 256 AND p_partkey % 2 = 1)),
+    addresses AS (SELECT DISTINCT ip, 10 * 16777216 + user_id AS address FROM base),
+    located AS (SELECT ip, arg_max(country, bits) AS country, arg_max(city, bits) AS city,
+                       arg_max(latitude, bits) AS latitude, max(bits) AS bits
+                FROM addresses JOIN blocks ON address >= low AND address < low + (CAST(1 AS BIGINT) << (32 - bits)) GROUP BY ip)"""
+
+
+@query(
+    "geo_cidr_join",
+    f"""WITH {BASE}, {NETWORKS_SQL} SELECT ip, country, city, latitude, bits FROM located""",
+)
+def geo_cidr_join(spark, sf_dir):
+    ips = base(spark, sf_dir).select("ip").distinct()
+    bits = F.split("cidr", "/")[1].cast("int").alias("bits")
+    return locate(ips, networks(spark, sf_dir)).select("ip", "country", "city", "latitude", bits)
+
+
+@query(
+    "enrichment_misses",
+    f"""WITH {security_sql()}, {ENRICHMENT_SQL} SELECT DISTINCT dest_ip AS ip FROM sec UNION
+    SELECT DISTINCT source_ip FROM sec WHERE source_ip NOT IN (SELECT ip FROM enr WHERE abuse_score > 50)""",
+)
+def enrichment_misses(spark, sf_dir):
+    """Addresses of both ends that the cache does not hold."""
+    events = security_events(spark, sf_dir)
+    both = events.select("source_ip").unionByName(events.select(F.col("dest_ip").alias("source_ip")))
+    return new_addresses(both, enrichment(spark, sf_dir).where(F.col("abuse_score") > 50))
+
+
+@query(
+    "enrichment_build",
+    f"""WITH {BASE}, {NETWORKS_SQL}, {ENRICHMENT_SQL}
+    SELECT a.ip, l.country, l.latitude, e.abuse_score, epoch_us(TIMESTAMP '2024-02-01') AS updated_at_us
+    FROM addresses a LEFT JOIN located l ON a.ip = l.ip LEFT JOIN enr e ON a.ip = e.ip""",
+)
+def enrichment_build(spark, sf_dir):
+    """Location and reputation of every address, starting from an empty cache."""
+    known = enrichment(spark, sf_dir)
+    built = build_enrichment(
+        security_events(spark, sf_dir), known.where(F.lit(False)), networks(spark, sf_dir), known, now=OPTIONS.stamp
+    )
+    return built.select("ip", "country", "latitude", "abuse_score", F.unix_micros("updated_at").alias("updated_at_us"))

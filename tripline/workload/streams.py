@@ -1 +1,136 @@
-"""Placeholder."""
+"""Stream jobs, run over the events table to the end of their input."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tripline.plans.ingest import Providers, analyze, sync_rules
+from tripline.session import scratch_dir
+from tripline.sources.store import Store
+from tripline.streaming.microbatch import alert_feed, event_stream
+from tripline.streaming.stateful import stateful_threshold
+from tripline.workload.adapters import BASE, OPTIONS, security_events, security_sql
+from tripline.workload.catalog import query
+from tripline.workload.detection import _FAILED, FAILED_LOGINS, PORT_SPREAD, score_sql, threshold_sql
+from tripline.workload.parsing import auth_line, lines
+
+
+def _scratch(spark: SparkSession) -> str:
+    return f"{scratch_dir(spark)}/tripline-stream-{uuid.uuid4().hex}"
+
+
+class _Streaming:
+    """Reads the events table as a file stream where a session is expected."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+        self.read = self
+        self._reader = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+        self._folder = sf_dir
+
+    def parquet(self, _path: str) -> DataFrame:
+        return self._reader.parquet(self._folder)
+
+
+def _stream_of_events(spark, sf_dir) -> DataFrame:
+    return security_events(_Streaming(spark, sf_dir), sf_dir)
+
+
+@query(
+    "stream_detection",
+    f"""WITH {security_sql()}, found AS ({threshold_sql(FAILED_LOGINS, _FAILED)} UNION ALL {threshold_sql(PORT_SPREAD, 'true')})
+    SELECT rule_key, source_ip, title, status, least(100.0, round_even((CASE severity WHEN 'high' THEN 70.0 ELSE 50.0 END
+      + score * 10.0) * 10, 0) / 10) AS score FROM (SELECT *, 'open' AS status FROM found)""",
+)
+def stream_detection(spark, sf_dir):
+    """Events stream in, are stored, and raise alerts read back from the feed's table."""
+    store = Store(spark, _scratch(spark))
+    job = event_stream(
+        _stream_of_events(spark, sf_dir),
+        store,
+        [FAILED_LOGINS, PORT_SPREAD],
+        checkpoint=f"{store.root}/checkpoint",
+        options=lambda: OPTIONS,
+    )
+    job.trigger(availableNow=True).start().awaitTermination()
+    return store.read("alerts").select("rule_key", "source_ip", "title", "status", "score")
+
+
+@query(
+    "stream_alert_feed",
+    f"""WITH {security_sql()}, found AS ({threshold_sql(FAILED_LOGINS, _FAILED)})
+    SELECT severity, count(*) AS alerts FROM found GROUP BY severity""",
+)
+def stream_alert_feed(spark, sf_dir):
+    """Alerts stored by one stream are delivered by another."""
+    store = Store(spark, _scratch(spark))
+    job = event_stream(
+        _stream_of_events(spark, sf_dir), store, [FAILED_LOGINS], checkpoint=f"{store.root}/in", options=lambda: OPTIONS
+    )
+    job.trigger(availableNow=True).start().awaitTermination()
+    out = f"{store.root}/delivered"
+    sink = alert_feed(spark, store).writeStream.option("checkpointLocation", f"{store.root}/out").format("parquet")
+    sink.option("path", out).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).groupBy("severity").agg(F.count(F.lit(1)).alias("alerts"))
+
+
+def _stateful_sql(rule, condition: str, observed: str) -> str:
+    return f"""WITH {security_sql()}, counted AS (
+      SELECT s.source_ip AS group_key, epoch_us(w.window_end) AS window_end_us, {observed} AS observed
+      FROM sec s JOIN (SELECT source_ip, max(ts) AS window_end FROM sec GROUP BY source_ip) w ON s.source_ip = w.source_ip
+      WHERE s.ts >= w.window_end - INTERVAL {rule.window_seconds} SECOND AND {condition} GROUP BY 1, 2)
+    SELECT '{rule.key}' AS rule_key, *, {score_sql('observed', rule.threshold)} AS score
+    FROM counted WHERE observed >= {rule.threshold}"""
+
+
+def _run_stateful(spark, sf_dir, rule) -> DataFrame:
+    out = _scratch(spark)
+    found = stateful_threshold(_stream_of_events(spark, sf_dir), rule)
+    job = found.writeStream.format("parquet").option("path", f"{out}/found").option("checkpointLocation", f"{out}/state")
+    job.trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(found.schema).parquet(f"{out}/found")
+    return rows.select("rule_key", "group_key", F.unix_micros("window_end").alias("window_end_us"), "observed", "score")
+
+
+@query("stream_stateful_count", _stateful_sql(FAILED_LOGINS, _FAILED, "count(*)"))
+def stream_stateful_count(spark, sf_dir):
+    return _run_stateful(spark, sf_dir, FAILED_LOGINS)
+
+
+@query("stream_stateful_distinct", _stateful_sql(PORT_SPREAD, "true", "count(DISTINCT s.dest_port)"))
+def stream_stateful_distinct(spark, sf_dir):
+    return _run_stateful(spark, sf_dir, PORT_SPREAD)
+
+
+@query(
+    "analyze_job",
+    f"""WITH {BASE}, auth AS (
+      SELECT ip AS source_ip, date_trunc('second', ts) AS ts, 'ssh' AS protocol, CASE event_type WHEN 'error' THEN 'failed'
+        WHEN 'click' THEN 'accepted' ELSE 'invalid_user' END AS outcome
+      FROM base WHERE event_type <> 'purchase' AND event_id % 50 <> 1),
+    found AS ({threshold_sql(FAILED_LOGINS, _FAILED, source='auth')})
+    SELECT rule_key, source_ip, severity, 'Brute Force' AS technique_name, 'auth_log' AS source_type,
+      least(100.0, round_even((70.0 + score * 10.0) * 10, 0) / 10) AS score,
+      (SELECT count(*) FROM base) AS received, (SELECT count(*) FROM auth) AS parsed FROM found""",
+)
+def analyze_job(spark, sf_dir):
+    """Lines of an unnamed format in, events stored, alerts out."""
+    store = Store(spark, _scratch(spark))
+    sync_rules(store, [FAILED_LOGINS])
+    logs = lines(spark, sf_dir, auth_line()).select("line")
+    result, alerts = analyze(
+        store, logs, [FAILED_LOGINS], batch="first", options=OPTIONS, source_name="upload", providers=Providers()
+    )
+    return alerts.select(
+        "rule_key",
+        "source_ip",
+        "severity",
+        "technique_name",
+        F.lit(result.source_type).alias("source_type"),
+        "score",
+        F.lit(result.received).cast("bigint").alias("received"),
+        F.lit(result.parsed).cast("bigint").alias("parsed"),
+    )
