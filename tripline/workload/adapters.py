@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripline.operators.parsing import ParseOptions
-from tripline.operators.parsing.common import add_event
-from tripline.schemas import ALERT, EVENT
+from tripline.schemas import ALERT, EVENT, RAW
 
 OPTIONS = ParseOptions(ingest_time=datetime(2024, 2, 1), year=2024)
 
@@ -61,40 +60,28 @@ def security_events(spark: SparkSession, sf_dir: str, *, squeeze: int = 1, loud:
     if loud:
         rows = rows.withColumn("ip", F.when(F.col("event_id") % 3 == 0, "203.0.113.9").otherwise(F.col("ip")))
     web = kind.isin("click", "view")
-    rows = rows.withColumnRenamed("ts", "at")
-    return (
-        add_event(
-            rows,
-            recognized=F.lit(True),
-            ts=F.col("at"),
-            source_ip=F.col("ip"),
-            protocol=F.when(kind.isin("error", "signup"), "ssh").when(web, "http").otherwise("tcp"),
-            dest_ip=address(F.col("k"), "192.168"),
-            outcome=F.when(kind == "error", "failed").when(kind == "signup", "accepted"),
-            dest_port=F.col("k"),
-            path=F.when(
-                web,
-                F.concat(
-                    F.lit("/item?id="),
-                    F.col("k").cast("string"),
-                    F.when(F.col("event_id") % 7 == 0, "%20UNION%20SELECT%20pw").when(
-                        F.col("event_id") % 11 == 0, "+or+1=1;%20DROP%20TABLE%20x%"
-                    ).otherwise(""),
-                ),
-            ),
-            user_agent=F.when(web, F.concat(F.lit("agent/"), (F.col("k") % 7).cast("string"))),
-            status=F.when(kind == "error", F.lit(500)).when(web, F.lit(200)),
-        )
-        .withColumns(
-            {
-                "event_id": F.col("event_id").cast("string"),
-                "source_id": F.lit(None),
-                "ingest_ts": OPTIONS.stamp,
-                "event_date": F.to_date("ts"),
-            }
-        )
-        .select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in EVENT.fields])
-    )
+    raw = {
+        "outcome": F.when(kind == "error", "failed").when(kind == "signup", "accepted"),
+        "dest_port": F.col("k"),
+        "path": F.when(web, F.concat(F.lit("/item?id="), F.col("k").cast("string"), _injection(F.col("event_id")))),
+        "user_agent": F.when(web, F.concat(F.lit("agent/"), (F.col("k") % 7).cast("string"))),
+        "status": F.when(kind == "error", F.lit(500)).when(web, F.lit(200)),
+    }
+    values = {
+        "event_id": F.col("event_id"),
+        "ts": F.col("ts"),
+        "source_ip": F.col("ip"),
+        "dest_ip": address(F.col("k"), "192.168"),
+        "protocol": F.when(kind.isin("error", "signup"), "ssh").when(web, "http").otherwise("tcp"),
+        "raw": F.struct(*[raw.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in RAW.fields]),
+        "ingest_ts": OPTIONS.stamp,
+        "event_date": F.to_date("ts"),
+    }
+    return rows.select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in EVENT.fields])
+
+
+def _injection(n: Column) -> Column:
+    return F.when(n % 7 == 0, "%20UNION%20SELECT%20pw").when(n % 11 == 0, "+or+1=1;%20DROP%20TABLE%20x%").otherwise("")
 
 
 def security_sql(squeeze: int = 1, loud: bool = False, name: str = "sec") -> str:
