@@ -11,6 +11,7 @@ from tripline.operators.parsing import (
     register_format,
     sniff_files,
     sniff_groups,
+    sniff_paths,
     supported_formats,
     to_events,
 )
@@ -191,6 +192,7 @@ def test_files_with_bad_bytes(spark, tmp_path):
 def test_sniffing(spark, tmp_path, texts, expected):
     (tmp_path / "some.log").write_text("\n".join(texts) + "\n")
     assert sniff_files(read_lines(spark, str(tmp_path))).first().source_type == expected
+    assert [r.source_type for r in sniff_paths(spark, str(tmp_path)).collect()] == ([expected] if expected else [])
     numbered = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "doc int, n int, text string")
     assert sniff_groups(to_lines(numbered, "text"), "doc", "n").first().source_type == expected
 
@@ -205,3 +207,23 @@ def test_sniffing_over_split_files(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert {r.file_path.rsplit("/", 1)[1]: r.source_type for r in found} == {"late.log": "auth_log", "too_late.log": None}
+
+
+def test_folder_of_several_formats(spark, tmp_path):
+    import gzip
+
+    from tripline.plans.ingest import read_any
+
+    (tmp_path / "a b.log").write_text(SSH + "\n" + WEB + "\n")
+    (tmp_path / "web.log.gz").write_bytes(gzip.compress(WEB.encode()))
+    (tmp_path / "eve.json").write_text(EVE)
+    (tmp_path / "misc.txt").write_text("from 9.9.9.9\n" * 30 + SSH)
+    (tmp_path / "empty.log").write_text("")
+    lines_ = read_any(spark, str(tmp_path))
+    assert {(r.file_name.replace("%20", " "), r.source_type) for r in lines_.collect()} == {
+        ("a b.log", "auth_log"),
+        ("web.log.gz", "nginx"),
+        ("eve.json", "suricata"),
+        ("misc.txt", "custom"),
+    }
+    assert parse_mixed(lines_, OPTIONS).where(accepted()).count() == 1 + 1 + 1 + 31

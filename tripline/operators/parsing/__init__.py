@@ -9,7 +9,7 @@ from tripline.operators.parsing.dispatch import (
     supported_formats,
     to_events,
 )
-from tripline.operators.parsing.sniff import sniff_files, sniff_groups
+from tripline.operators.parsing.sniff import sniff_files, sniff_groups, sniff_paths
 
 __all__ = [
     "ParseOptions",
@@ -19,6 +19,7 @@ __all__ = [
     "register_format",
     "sniff_files",
     "sniff_groups",
+    "sniff_paths",
     "supported_formats",
     "to_events",
 ]

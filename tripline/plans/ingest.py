@@ -5,20 +5,22 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tripline.operators.alerts import alert_view, findings_to_alerts, with_current_status
 from tripline.operators.enrich import build_enrichment
+from tripline.operators.joins import lookup
 from tripline.operators.parsing import ParseOptions, accepted, parse_lines, to_events
-from tripline.operators.parsing.sniff import sniff_files, sniff_groups
+from tripline.operators.parsing.sniff import HEAD, sniff_groups, sniff_paths
 from tripline.operators.threshold import window_floor
 from tripline.plans.detection import detect
 from tripline.rules.model import Rule, ThresholdRule
+from tripline.session import materialize
+from tripline.sources.lines import read_lines
 from tripline.sources.registry import new_sources, source_id
 from tripline.sources.rule_table import change_counts, rule_rows, upsert_rules
 from tripline.sources.store import Store
-from tripline.session import materialize
 
 
 @dataclass(frozen=True)
@@ -120,18 +122,18 @@ def analyze(
 
 
 def guess_format(lines: DataFrame) -> str | None:
-    """The format the head of the input gives away.
-
-    Lines read from several files are judged by the first file; parse mixed
-    files with ``sniff_files`` and ``parse_mixed``.
-    """
-    if "file_path" in lines.columns:
-        guessed = sniff_files(lines).orderBy("file_path")
-    else:
-        numbered = lines.select("line", F.monotonically_increasing_id().alias("at"))
-        guessed = sniff_groups(numbered.limit(25).withColumn("input", F.lit(0)), "input", "at")
-    first = guessed.select("source_type").first()
-    return first[0] if first else None
+    """The format the first 25 lines give away; reads no further."""
+    head = [(0, place, row.line) for place, row in enumerate(lines.select("line").take(HEAD))]
+    spark = lines.sparkSession
+    first = sniff_groups(spark.createDataFrame(head, "input int, place int, line string"), "input", "place").first()
+    return first.source_type if first else None
+
+
+def read_any(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Lines of files of several formats with each file's guessed
+    ``source_type`` (custom when nothing is told), ready for ``parse_mixed``."""
+    told = sniff_paths(spark, paths)
+    return lookup(read_lines(spark, paths), told, "file_path").fillna("custom", ["source_type"])
 
 
 def process_batch(
