@@ -73,4 +73,4 @@ def event_stream(
 
 def alert_feed(spark: SparkSession, store: Store) -> DataFrame:
     """New alerts, as a stream over the append-only alert table."""
-    return spark.readStream.schema(ALERT).option("recursiveFileLookup", "true").parquet(f"{store.root}/alerts")
+    return spark.readStream.schema(ALERT).option("recursiveFileLookup", "true").parquet(store.ensure("alerts"))
