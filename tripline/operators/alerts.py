@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tripline.functions.attack import tactic, technique_name
 from tripline.functions.scoring import escalated_severity, risk_score
 from tripline.operators.joins import lookup
-from tripline.schemas import ALERT, ALERT_STATUSES, ENRICHMENT
+from tripline.schemas import ALERT, ALERT_STATUSES
 
 _SHOWN = ("country", "city", "latitude", "longitude", "abuse_score")
 
@@ -109,10 +109,6 @@ def alert_view(alerts: DataFrame, enrichment: DataFrame) -> DataFrame:
     )
 
 
-def empty_enrichment(spark) -> DataFrame:
-    return spark.createDataFrame([], ENRICHMENT)
-
-
 def _subject() -> Column:
     """What a finding or alert is about: its event, or its group key."""
     group = F.coalesce(F.concat(F.lit("g:"), "group_key"), F.lit("g"))

@@ -292,20 +292,20 @@ def technique_links(spark, sf_dir):
 
 @query(
     "rule_upsert",
-    """WITH nations AS (SELECT 'rule-' || CAST(n_nationkey AS VARCHAR) AS key, n_name AS name, n_nationkey AS n FROM nation)
-    SELECT key, CASE WHEN n >= 20 THEN name ELSE 'new ' || name END AS name,
-    CASE WHEN n < 10 THEN 'created' WHEN n < 20 THEN 'updated' ELSE 'kept' END AS change FROM nations""",
+    """SELECT 'rule-' || CAST(c_custkey AS VARCHAR) AS key,
+    CASE c_custkey % 3 WHEN 2 THEN c_name ELSE 'new ' || c_name END AS name,
+    CASE c_custkey % 3 WHEN 0 THEN 'created' WHEN 1 THEN 'updated' ELSE 'kept' END AS change FROM customer""",
 )
 def rule_upsert(spark, sf_dir):
-    """A rule table made of the nations: the stored half and the incoming half overlap."""
-    n = F.col("n_nationkey")
+    """A rule per customer: a third is new, a third changes, a third stays."""
+    n = F.col("c_custkey")
     row = {
         "rule_id": F.xxhash64("key"), "description": F.lit(None), "severity": F.lit("low"), "mitre_technique": F.lit(None),
         "enabled": F.lit(True), "definition": F.lit("{}"),
     }
-    named = table(spark, sf_dir, "nation").withColumn("key", F.concat(F.lit("rule-"), n.cast("string"))).withColumns(row)
-    old = named.where(n >= 10).withColumn("name", F.col("n_name"))
-    new = named.where(n < 20).withColumn("name", F.concat(F.lit("new "), "n_name"))
+    named = table(spark, sf_dir, "customer").withColumn("key", F.concat(F.lit("rule-"), n.cast("string"))).withColumns(row)
+    old = named.where(n % 3 != 0).withColumn("name", F.col("c_name"))
+    new = named.where(n % 3 != 2).withColumn("name", F.concat(F.lit("new "), "c_name"))
     return upsert_rules(old, new).select("key", "name", "change")
 
 
