@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripline.llm import bpe, mixing, tokenfile
+from tripline.llm import bpe, exact_topk, hnsw, langid, mixing, neardup, pii, quality, textscore, tokenfile, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -64,3 +64,55 @@ def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_tokens",
         F.crc32("ids").alias("ids_crc32"),
     )
+
+
+def _learnable(docs: DataFrame, divisor: int, kept_out: int) -> DataFrame:
+    return docs.where(textscore.remainder(F.col("doc_id"), divisor) != kept_out)
+
+
+def _held_out(divisor: int, remainder: int):
+    return F.coalesce(textscore.remainder(F.col("doc_id"), divisor) == remainder, F.lit(False))
+
+
+@query("op1_toxicity")
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = toxicity.train(_learnable(docs, 5, 0), table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, machine, keep_text=False)
+    return scored.select("doc_id", _held_out(5, 0).alias("held_out"), "score", "predicted")
+
+
+@query("op7_language")
+def language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train(_learnable(docs, 4, 2))
+    out = langid.predict(docs.select("doc_id", "text"), model, keep_text=False)
+    return out.select("doc_id", _held_out(4, 2).alias("held_out"), "lang_pred", "score", "accepted")
+
+
+@query("op9_quality")
+def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(_learnable(docs, 4, 2), table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model, keep_text=False)
+    return scored.select("doc_id", _held_out(4, 2).alias("held_out"), "score", "predicted")
+
+
+@query("op6_personal_data")
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_all(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@query("op3_nearest_vectors")
+def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op10_exact_top_k", exact_topk.SQL)
+def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op8_near_duplicates")
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.components(table(spark, sf_dir, "documents").select("doc_id", "text"))
