@@ -153,13 +153,15 @@ class Encoder:
             pieces.extend((space, START) for space in held[end:])
             held.clear()
 
+        length = 0
         for chunk in _CHUNK.findall(text):
-            if sum(map(len, held)) + len(chunk) > size:
+            if length + len(chunk) > size:
                 flush()
+                length = 0
             if len(chunk) <= size or any(s in chunk for s in self.special):
                 held.append(chunk)
+                length += len(chunk)
                 continue
-            length = 0
             for word in self._pretokens(chunk):
                 if length + len(word) > size:
                     flush()
@@ -170,6 +172,7 @@ class Encoder:
                 else:
                     pieces += [(word[i : i + size], MORE if i else START) for i in range(0, len(word), size)]
             flush()
+            length = 0
         if held:
             pieces.append(("".join(held), TEXT))
         return pieces
