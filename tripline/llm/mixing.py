@@ -49,7 +49,7 @@ def targets(sizes: DataFrame) -> DataFrame:
         F.sum("source_size").over(before), F.lit(0)
     )
     weights_left = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0))
-    level = F.min(F.when(left <= CAP * ratio * weights_left, left / weights_left)).over(everything)
+    level = F.max(F.when(left <= CAP * ratio * weights_left, left / weights_left)).over(everything)
     return (
         sources.withColumns({"left": left, "weights_left": weights_left})
         .withColumn("level", level)
@@ -106,26 +106,28 @@ def take(docs: DataFrame) -> DataFrame:
     taken = (
         mix(docs)
         .groupBy("doc_id", "source")
-        .agg(F.sum("taken").alias("_taken"), F.count("*").alias("_rows"))
-        .where("_taken > 0")
+        .agg(F.sum("taken").alias("taken"), F.count("*").alias("rows"))
+        .where("taken > 0")
+        .withColumnsRenamed({"doc_id": "taken_id", "source": "taken_source"})
     )
-    named = taken.select(F.col("doc_id").alias("_doc_id"), F.col("source").alias("_source"), "_taken", "_rows")
-    rows = docs.join(
-        named, docs.doc_id.eqNullSafe(named._doc_id) & docs.source.eqNullSafe(named._source)
-    ).withColumn("_size", words(F.col("text")))
-    wanted = F.ceil(F.col("_taken") / F.col("_rows")).cast("long")
+    # Columns go by number meanwhile, so none can clash with those made here.
+    carried = {c: f"_in_{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select(*[F.col(f"`{c}`").alias(name) for c, name in carried.items()], words(F.col("text")).alias("size"))
+    same = F.col(carried["doc_id"]).eqNullSafe(F.col("taken_id"))
+    same &= F.col(carried["source"]).eqNullSafe(F.col("taken_source"))
+    rows = rows.join(taken, same)
+    wanted = F.ceil(F.col("taken") / F.col("rows")).cast("long")
     parts = F.transform(
         F.sequence(F.lit(0), F.lit(CAP - 1)),
-        lambda k: F.greatest(F.least(wanted - k * F.col("_size"), F.col("_size")), F.lit(0)),
+        lambda k: F.greatest(F.least(wanted - k * F.col("size"), F.col("size")), F.lit(0)),
     )
-    rows = rows.withColumn("_part", F.explode(F.filter(parts, lambda n: n > 0)))
+    rows = rows.withColumn("part", F.explode(F.filter(parts, lambda n: n > 0)))
     # A possessive repetition needs no stack, however many words it takes.
-    head = F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), F.col("_part").cast("string"), F.lit("}+"))
-    text = F.when(F.col("_part") < F.col("_size"), F.regexp_extract("text", head, 0)).otherwise(F.col("text"))
-    rows = rows.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast("long"))
-    return rows.select(*docs.columns)
+    head = F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), F.col("part").cast("string"), F.lit("}+"))
+    text = F.col(carried["text"])
+    text = F.when(F.col("part") < F.col("size"), F.call_function("regexp_extract", text, head, F.lit(0))).otherwise(text)
+    made = {"text": text, "n_chars": F.length(text).cast("long")}
+    return rows.select(*[made.get(c, F.col(carried[c])).alias(c) for c in docs.columns])
 
 
 #: ``mix`` in SQL, where every source fits one shard.
@@ -139,7 +141,7 @@ ordered AS (SELECT *, {SHARE} * sum(source_size) OVER () - {CAP} * coalesce(sum(
               sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS weights_left
             FROM sources WINDOW before AS (ORDER BY source_size / weight, source NULLS LAST
               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-level AS (SELECT min(rest::DOUBLE / weights_left) AS level FROM ordered
+level AS (SELECT max(rest::DOUBLE / weights_left) AS level FROM ordered
           WHERE rest <= {CAP} * (source_size / weight) * weights_left),
 shares AS (SELECT source, source_size, least(weight * level, {CAP} * source_size::DOUBLE) AS target
            FROM sources, level),

@@ -42,7 +42,7 @@ KINDS = [
     ("card", r"[0-9](?:[\x20-]?[0-9]){15}", r"(?:\G|(?<![0-9]))[0-9](?:[\x20-]?[0-9])++"),
     ("phone", r"\+[0-9][\x20().0-9-]", r"\+[0-9][\x20().0-9-]+[0-9]"),
 ]
-_PART = r"0*+(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
+_PART = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 _IP = rf"^{_PART}(?:\.{_PART}){{3}}$"
 #: A word of letters between white space, perhaps with one mark after it.
 _TERM = r"(?<=\s)\p{L}++(?=[.,;:!?]?\s)"
@@ -237,15 +237,17 @@ def find_all(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every span of its text replaced: base spans by their kind, terms by a general word or nothing."""
-    spanned = base_spans(docs, text)
-    near = materialize(with_nearby(spanned, text).select("base_spans", "key", "nearby"), "pii-near")
-    extra = term_spans(near, disclosures(near, docs, text)).withColumnRenamed("key", "_key")
-    rows = spanned.withColumn("_key", F.when(F.size("base_spans") > 0, F.md5(text)))
-    rows = rows.join(extra, "_key", "left")
+    # Other columns go by number meanwhile, so none can clash with those made here.
+    carried = {c: f"_in_{i}" for i, c in enumerate(docs.columns) if c != text}
+    renamed = [F.col(f"`{c}`").alias(name) for c, name in carried.items()]
+    spanned = base_spans(docs.select(*renamed, F.col(f"`{text}`").alias("text")))
+    near = materialize(with_nearby(spanned).select("base_spans", "key", "nearby"), "pii-near")
+    extra = term_spans(near, disclosures(near, docs, text))
+    rows = spanned.withColumn("key", F.when(F.size("base_spans") > 0, F.md5("text"))).join(extra, "key", "left")
     spans = F.array_sort(
         F.transform(
             F.concat("base_spans", F.coalesce("terms", F.array().cast(_SPAN))),
-            lambda s: F.struct(s["start"], s["end"], s["kind"], s["value"]),
+            lambda s: F.struct(s["start"], (-s["end"]).alias("back"), s["end"], s["kind"], s["value"]),
         )
     )
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
@@ -253,19 +255,19 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     def replaced(acc: Column, s: Column) -> Column:
         word = F.when(s["kind"] != "term", F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
         word = word.when(s["value"].cast("double") >= REMOVE, "").otherwise("[TERM]")
-        before = F.substring(F.col(text), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
+        before = F.substring("text", (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
         fresh = F.concat(acc["out"], before, word)
-        # A span that overlaps an earlier one is covered by that one's word.
+        # Of spans with one start the longest is first.  A span that overlaps an earlier one is covered by that one's word.
         return F.struct(
             F.greatest(acc["at"], s["end"]).alias("at"),
             F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"),
         )
 
     cleaned = F.aggregate(
-        spans, start, replaced, lambda acc: F.concat(acc["out"], F.substring(F.col(text), (acc["at"] + 1).cast("int"), F.length(text)))
+        spans, start, replaced, lambda acc: F.concat(acc["out"], F.substring("text", (acc["at"] + 1).cast("int"), F.length("text")))
     )
-    rows = rows.withColumn(text, F.when(F.size("base_spans") > 0, cleaned).otherwise(F.col(text)))
-    return rows.select(*docs.columns)
+    cleaned = F.when(F.size("base_spans") > 0, cleaned).otherwise(F.col("text"))
+    return rows.select(*[cleaned.alias(c) if c == text else F.col(carried[c]).alias(c) for c in docs.columns])
 
 
 def digest(found: DataFrame) -> DataFrame:

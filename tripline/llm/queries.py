@@ -66,7 +66,7 @@ def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _learnable(docs: DataFrame, divisor: int, kept_out: int) -> DataFrame:
+def learnable(docs: DataFrame, divisor: int, kept_out: int) -> DataFrame:
     return docs.where(textscore.remainder(F.col("doc_id"), divisor) != kept_out)
 
 
@@ -77,7 +77,7 @@ def _held_out(divisor: int, remainder: int):
 @query("op1_toxicity")
 def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    machine = toxicity.train(_learnable(docs, 5, 0), table(spark, sf_dir, "labels"))
+    machine = toxicity.train(learnable(docs, 5, 0), table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs, machine, keep_text=False)
     return scored.select("doc_id", _held_out(5, 0).alias("held_out"), "score", "predicted")
 
@@ -85,7 +85,7 @@ def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_language")
 def language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    model = langid.train(_learnable(docs, 4, 2))
+    model = langid.train(learnable(docs, 4, 2))
     out = langid.predict(docs.select("doc_id", "text"), model, keep_text=False)
     return out.select("doc_id", _held_out(4, 2).alias("held_out"), "lang_pred", "score", "accepted")
 
@@ -93,7 +93,7 @@ def language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_quality")
 def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = quality.train(_learnable(docs, 4, 2), table(spark, sf_dir, "labels"))
+    model = quality.train(learnable(docs, 4, 2), table(spark, sf_dir, "labels"))
     scored = quality.score(docs, model, keep_text=False)
     return scored.select("doc_id", _held_out(4, 2).alias("held_out"), "score", "predicted")
 

@@ -9,7 +9,7 @@ Landmarks are words, and pairs of words, with spaces around them: those that mar
 documents most, and common ones for contrast.  A stretch of ``WINDOW`` symbols is mapped
 to its kernel values with the landmarks, made orthonormal (Nyström).  A linear SVM with
 squared hinge loss is trained on the sentences' stretches: of a toxic document the worst
-one, of another the worst few, chosen again by each round's machine (multiple-instance
+one and those nearly as bad, of another the worst few, chosen again by each round's machine (multiple-instance
 learning).  A document's score is a logistic curve of its worst stretch and of how many
 lie beyond the margin.
 
@@ -23,11 +23,13 @@ Without rows of both labels every score is 0.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from dataclasses import dataclass
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tripline.llm.arrow import text_bytes
@@ -130,13 +132,32 @@ def landmarks(texts: list[str], labels: np.ndarray) -> list[tuple[str, float]]:
     return [(f" {w} ", odds[w]) for w in top] + [(f" {w} ", 0.0) for w in common[:CONTRAST]]
 
 
+def altered(text: str, words: set[str], rng: np.random.Generator) -> str:
+    """``text`` with a mark put into, or in place of a letter of, each of ``words``."""
+
+    def change(match: re.Match) -> str:
+        word = match.group()
+        if word.lower() not in words:
+            return word
+        at, mark = int(rng.integers(1, len(word) - 1)), "*.-_ "[int(rng.integers(5))]
+        return word[:at] + mark + word[at + int(rng.integers(2)) :]
+
+    return re.sub("[A-Za-z]{4,}", change, text)
+
+
 def learn(data: np.ndarray, offsets: np.ndarray, labels: np.ndarray, share: float, seed: int = 1) -> Machine | None:
     """A machine from texts and labels of which both kinds occur; ``share``: of toxic documents among all labelled."""
     texts = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-    held = np.arange(len(labels)) % 4 == 3  # for the curve, not for the machine
-    if min((labels[~held] == 0).sum(), (labels[~held] == 1).sum()) == 0 or held.sum() < 40:
-        held = np.zeros(len(labels), bool)
+    held = np.zeros(len(labels), bool)  # for the curve, not for the machine
+    for side in (0, 1):
+        held[np.flatnonzero(labels == side)[3::4]] = min((labels == 0).sum(), (labels == 1).sum()) >= 40
     marks = landmarks([t for t, h in zip(texts, held, strict=True) if not h], labels[~held])
+    # Toxic texts once more with their marked words altered, so that the machine expects it.
+    words = {w.strip() for w, odd in marks if odd > 0}
+    rng = np.random.default_rng(seed)
+    again = np.flatnonzero(labels == 1)
+    data, offsets = text_bytes(pa.array([*texts, *(altered(texts[i], words, rng) for i in again.tolist())], pa.string()))
+    labels, held = np.concatenate([labels, labels[again]]), np.concatenate([held, held[again]])
     maps = [subsequences(np.frombuffer(s.encode(), np.uint8)) for s, _ in marks]
     place = {c: i for i, c in enumerate(sorted({c for m in maps for c in m}))}
     if not place or not any(odd > 0 for _, odd in marks):
@@ -176,23 +197,22 @@ def learn(data: np.ndarray, offsets: np.ndarray, labels: np.ndarray, share: floa
     odds = np.array([o for _, o in marks])
     current = machine(odds / (odds.max() + 1e-9), 0.0)
     train_rows = np.flatnonzero(~held & (np.diff(offsets) > 0))
-    rng = np.random.default_rng(seed)
     for _ in range(ROUNDS):
         value = by_slices(lambda d, o: stretch_sums(current.table, d, o), data, offsets)
         starts, sides = [], []
         for row in train_rows.tolist():
-            part = value[offsets[row] : offsets[row + 1]]
-            if labels[row]:
-                starts.append(offsets[row] + int(part.argmax()))
-                sides.append(1.0)
-            else:
-                part = part.copy()
-                for _ in range(3):  # its worst windows, apart from each other
-                    best = int(part.argmax())
-                    starts.append(offsets[row] + best)
-                    part[max(0, best - WINDOW) : best + WINDOW] = -np.inf
+            part = value[offsets[row] : offsets[row + 1]].copy()
+            least = max(part.max() * 0.4, -current.bias) if labels[row] else -np.inf
+            for k in range(4):  # its worst stretches, apart from each other
+                best = int(part.argmax())
+                if k and part[best] <= least:
+                    break
+                starts.append(offsets[row] + best)
+                sides.append(1.0 if labels[row] else -1.0)
+                part[max(0, best - WINDOW) : best + WINDOW] = -np.inf
+            if not labels[row]:
                 starts.append(offsets[row] + int(rng.integers(len(part))))
-                sides += [-1.0] * 4
+                sides.append(-1.0)
         places, y = np.array(starts), np.array(sides)
         x = np.concatenate([nystroem(places[i : i + 500]) for i in range(0, len(places), 500)])
         beta = squared_hinge(np.column_stack([x, np.ones(len(x))]), y)
