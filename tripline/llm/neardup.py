@@ -8,7 +8,8 @@ alone.  A class carries ``TOKENS`` minwise tokens.
   a node; a node of more than ``LIMIT`` classes is branched by the next token, and so on.
 * Compare: a small node's classes are compared exhaustively, first by tokens (with a
   margin of ``MARGIN`` standard errors), then on full sets; classes already joined in the
-  node aren't compared again, so a node of n classes yields fewer than n links.
+  node aren't compared again, so a node of n classes yields fewer than n links.  Nodes of
+  later trees are left out if the first ``FIRST_TREES`` have joined all their classes.
 * Large nodes: a large group of copies around one text may be torn apart by branching.  So
   the classes most like their leaves' others meet, in blocks, every class of the
   first node that is not joined to them yet.
@@ -39,7 +40,9 @@ from tripline.session import materialize
 WORDS = 5
 TOKENS = 64
 TREES = 12
-LIMIT = 256
+LIMIT = 1_024
+#: Classes joined by the first trees' nodes need not meet again in the others'.
+FIRST_TREES = 3
 #: A node is small only if its sets hold no more runs than this, too.
 LIMIT_RUNS = 4_000_000
 MARGIN = 4.5
@@ -185,11 +188,11 @@ def _leaf_blocks(percent: int):
         cls = table["cls"].to_pylist()
         size = table["n"].to_numpy().astype(float)
         tokens = table["tokens"].combine_chunks().flatten().to_numpy().reshape(-1, TOKENS)
-        roots = table["root"].to_pylist()
-        blocks, members, kinds = [], [], []
+        roots, trees = table["root"].to_pylist(), table["tree"].to_numpy()
+        blocks, members, kinds, sources = [], [], [], []
         for low, high in _groups(table, "path"):
             t, n = tokens[low:high], size[low:high]
-            like = (t[:, None, :] == t[None, :, :]).mean(2)
+            like = np.concatenate([(t[i : i + 64, None, :] == t[None, :, :]).mean(2) for i in range(0, high - low, 64)])
             fit = np.minimum(n[:, None], n[None, :]) >= share * np.maximum(n[:, None], n[None, :])
             linked = (like >= border) & fit
             np.fill_diagonal(linked, False)
@@ -203,13 +206,17 @@ def _leaf_blocks(percent: int):
                 blocks += [name] * len(names)
                 members += names
                 kinds += [0] * len(names)
+                sources += [trees[low]] * len(names)
             if roots[low] is not None:
                 middle = int(like.mean(1).argmax())
                 blocks.append(roots[low])
                 members.append(cls[low + middle])
                 kinds.append(high - low)
-        arrays = [pa.array(blocks, pa.int64()), pa.array(members, pa.binary()), pa.array(kinds, pa.int32())]
-        return [pa.RecordBatch.from_arrays(arrays, ["block", "cls", "leaf"])]
+                sources.append(trees[low])
+        columns = {"block": pa.int64(), "cls": pa.binary(), "leaf": pa.int32(), "tree": pa.int32()}
+        values = [blocks, members, kinds, sources]
+        arrays = [pa.array(v, t) for v, t in zip(values, columns.values(), strict=True)]
+        return [pa.RecordBatch.from_arrays(arrays, list(columns))]
 
     return by_key("path", make)
 
@@ -253,7 +260,7 @@ def _linked(one: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarr
 
 
 def _leaves(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Small nodes as (path, root, cls), root null if the first node is small; and the large first nodes as (root, cls)."""
+    """Small nodes as (path, root, tree, cls), root null if the first node is small; and the large first nodes as (root, cls)."""
 
     def token(tree: int, depth: int):
         return F.element_at("tokens", (tree + depth * 13) % TOKENS + 1)
@@ -271,6 +278,7 @@ def _leaves(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     found, large_first, depth = [], None, 0
     while True:
         sizes = rows.groupBy("path").agg(
+            F.min("tree").alias("tree"),
             F.count("*").alias("members"),
             F.sum("n").alias("runs"),
             F.bit_xor(F.xxhash64("cls")).alias("who"),
@@ -280,11 +288,12 @@ def _leaves(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
         last = depth >= TOKENS - 1
         small = F.lit(last) | ((F.col("members") <= LIMIT) & (F.col("runs") <= LIMIT_RUNS))
         # The same classes often meet in several trees; one of those nodes is enough.
-        once = sizes.where(small).groupBy("members", "runs", "who", "whose").agg(F.min("path").alias("path")).select("path")
-        leaf = rows.join(once, "path").select("path", "root", "cls")
-        if last:  # classes alike in every token: blocks of them suffice beside the middle classes
-            leaf = leaf.withColumn("path", F.xxhash64("path", F.pmod(F.xxhash64("cls"), F.lit(1 << 20))))
-        found.append(leaf)
+        once = sizes.where(small).groupBy("members", "runs", "who", "whose").agg(F.min(F.struct("tree", "path")).alias("at"))
+        leaf = rows.join(once.select("at.path", "members"), "path")
+        if last:  # classes alike in every token are dealt over blocks, which the middle classes join
+            dealt = F.pmod(F.xxhash64("cls"), F.ceil(F.col("members") / (LIMIT // 2)).cast("long"))
+            leaf = leaf.withColumn("path", F.xxhash64("path", dealt))
+        found.append(leaf.select("path", "root", "tree", "cls"))
         large = sizes.where(~small).select("path")
         if last or large.isEmpty():
             break
@@ -345,19 +354,19 @@ def components(docs: DataFrame, percent: int = 85) -> DataFrame:
     classes = materialize(classes, "classes")
     leaves, large = _leaves(classes)
     rows = leaves.join(classes.select("cls", "n", "tokens"), "cls").repartition("path").sortWithinPartitions("path")
-    made = materialize(rows.mapInArrow(_leaf_blocks(percent), "block long, cls binary, leaf int"), "blocks")
-    blocks = made.where("leaf = 0").select("block", "cls").distinct()
+    made = materialize(rows.mapInArrow(_leaf_blocks(percent), "block long, cls binary, leaf int, tree int"), "blocks")
+    blocks = made.where("leaf = 0").groupBy("block", "cls").agg(F.min("tree").alias("tree"))
     wanted = made.select("cls").unionByName(large.select("cls")).distinct().join(classes.select("cls", "rep"), "cls")
     full = materialize(_fetch(docs, wanted), "full-sets")
-    links = materialize(_confirm(blocks, full, percent), "links")
     names = classes.select("cls", "rep")
+    links = materialize(_confirm(blocks.where(F.col("tree") < FIRST_TREES), full, percent), "links")
+    later = blocks.where(F.col("tree") >= FIRST_TREES).join(_placed(names, connected(links)), "cls")
+    apart = later.groupBy("block").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
+    links = links.unionByName(_confirm(later.join(apart.select("block"), "block"), full, percent))
     if not large.isEmpty():
+        links = materialize(links, "links")
         links = links.unionByName(_around_pivots(made, large, names, connected(links), full, percent))
-    roots = connected(links)
-    # One row a document: a component may hold several classes of one doc_id.
-    named = names.join(roots, F.col("rep") == F.col("node"), "left").select(
-        "cls", F.coalesce("root", "rep").alias("component")
-    )
+    named = _placed(names, connected(links))
     out = sketches.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("cls")).alias("cls"))
     out = out.join(named, "cls", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select(
@@ -368,11 +377,15 @@ def components(docs: DataFrame, percent: int = 85) -> DataFrame:
     )
 
 
+def _placed(names: DataFrame, roots: DataFrame) -> DataFrame:
+    """cls and component (the least document that can be reached, itself included)."""
+    found = names.join(roots, F.col("rep") == F.col("node"), "left")
+    return found.select("cls", F.coalesce("root", "rep").alias("component"))
+
+
 def _around_pivots(made, large, names, roots, full, percent: int) -> DataFrame:
     """Links of the middle classes of each large node's leaves with its classes not joined to them yet."""
-    placed = names.join(roots, F.col("rep") == F.col("node"), "left").select(
-        "cls", F.coalesce("root", "rep").alias("component")
-    )
+    placed = _placed(names, roots)
     order = Window.partitionBy("block").orderBy(F.desc("leaf"), "cls")
     pivots = (
         made.where("leaf > 0")
