@@ -5,11 +5,11 @@ from builders import lines
 from pyspark.sql import functions as F
 
 from tripline.operators.parsing import ParseOptions
-from tripline.plans.ingest import Providers, analyze, ingest, sync_rules
+from tripline.plans.ingest import Providers, analyze, ingest, run_anomaly_scan, sync_rules
 from tripline.rules import load_rules
 from tripline.sources.lines import read_lines
 from tripline.sources.store import Store
-from tripline.streaming.microbatch import alert_feed, detect_stream, line_stream
+from tripline.streaming.microbatch import alert_feed, batch_name, detect_stream, line_stream
 
 RULES = load_rules()
 OPTIONS = ParseOptions(datetime(2024, 11, 1), year=2024)
@@ -96,7 +96,7 @@ def test_streamed_batches_equal_one_batch(spark, store, tmp_path):
     inbox.mkdir()
     source = line_stream(spark, str(inbox), maxFilesPerTrigger="1")
     writer = lambda: detect_stream(
-        source, store, "auth_log", RULES, checkpoint=str(tmp_path / "ckpt"), options=lambda: OPTIONS
+        source, store, "auth_log", RULES, name="auth", checkpoint=str(tmp_path / "ckpt"), options=lambda: OPTIONS
     )
     for n, part in enumerate((BRUTE_FORCE[:3], BRUTE_FORCE[3:], [ssh(20)])):
         (inbox / f"{n}.log").write_text("\n".join(part))
@@ -117,15 +117,90 @@ def test_streamed_batches_equal_one_batch(spark, store, tmp_path):
     assert spark.read.parquet(delivered).count() == 1
 
 
-def test_repeated_micro_batch_stores_nothing_twice(spark, store, tmp_path):
+def test_streams_and_checkpoints_never_write_over_each_other(spark, store, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.log").write_text("\n".join(BRUTE_FORCE))
-    for attempt in range(2):  # a fresh checkpoint makes batch 0 run again
+    for name, checkpoint in (("one", "c0"), ("two", "c1"), ("one", "c2"), ("one", "c0")):
         source = line_stream(spark, str(tmp_path / "in"))
-        run(detect_stream(source, store, "auth_log", RULES, checkpoint=str(tmp_path / f"c{attempt}"), options=lambda: OPTIONS))
+        checkpoint = str(tmp_path / checkpoint)
+        run(detect_stream(source, store, "auth_log", RULES, name=name, checkpoint=checkpoint, options=lambda: OPTIONS))
+    events = store.read("events")
+    assert (events.count(), events.select("event_id").distinct().count()) == (18, 18)
+    assert sorted(r.name for r in store.read("log_sources").collect()) == ["one", "two"]
+    assert {r.source_id for r in events.collect()} == {r.source_id for r in store.read("log_sources").collect()}
+    assert store.read("alerts").count() == 1
+    with pytest.raises(ValueError, match="name"):
+        batch_name(spark, "a/b", 0)
+
+
+def test_repeated_micro_batch_stores_nothing_twice(spark, store):
+    for _ in range(2):
+        ingest(store, lines(spark, *BRUTE_FORCE), "auth_log", RULES, batch="s.q.0", options=OPTIONS)
         assert (store.read("events").count(), store.read("alerts").count()) == (6, 1)
 
 
+def test_empty_batch_reads_no_history(spark, store, monkeypatch):
+    ingest(store, lines(spark, *BRUTE_FORCE), "auth_log", RULES, batch="1", options=OPTIONS)
+    read = Store.read
+
+    def guarded(self, table, **kwargs):
+        assert table != "events"
+        return read(self, table, **kwargs)
+
+    monkeypatch.setattr(Store, "read", guarded)
+    assert ingest(store, lines(spark, "noise"), "auth_log", RULES, batch="2", options=OPTIONS).alerts == 0
+
+
+def test_history_lists_only_the_dates_a_window_reaches(spark, store, monkeypatch):
+    for day in range(1, 6):
+        text = [ssh(1).replace("Jun 10", f"Jun {day}")]
+        ingest(store, lines(spark, *text), "auth_log", RULES, batch=f"b{day}", options=OPTIONS)
+    paths = store._paths("events", datetime(2024, 6, 4).date())
+    assert [p.rsplit("/", 1)[1] for p in sorted(paths)] == ["event_date=2024-06-04", "event_date=2024-06-05"]
+    assert store.read("events", since=datetime(2024, 6, 4).date()).count() == 2
+    assert store.read_batch("events", "b2").count() == 1
+
+
+def test_compaction_keeps_rows_and_leaves_one_folder(spark, store):
+    for batch in ("1", "2", "3"):
+        ingest(store, lines(spark, *BRUTE_FORCE[:2]), "auth_log", RULES, batch=batch, options=OPTIONS)
+    before = sorted(r.event_id for r in store.read("events").collect())
+    assert store.compact("events", datetime(2024, 6, 10).date()) == 0
+    assert store.compact("events", datetime(2024, 6, 11).date()) == 1
+    assert sorted(r.event_id for r in store.read("events").collect()) == before and len(before) == 6
+    assert len(store._children(f"{store.root}/events/event_date=2024-06-10")) == 1
+
+
+def test_rule_table_is_replaced_whole(spark, store):
+    assert sync_rules(store, RULES[:1]) == (0, 3)
+    assert store.read("rules").count() == 6
+    store.write_batch("rules", store.read("rules").limit(0), "version-99999999999999999999-unfinished")
+    (store_folder := f"{store.root}/rules/ingest_batch=version-99999999999999999999-unfinished")
+    store._delete(f"{store_folder}/_SUCCESS")
+    assert store.read("rules").count() == 6
+
+
+def test_enrichment_held_twice_gives_one_alert(spark, store):
+    feed = spark.createDataFrame([("198.51.100.42", 20)], "ip string, abuse_score int")
+    providers = Providers(reputation=feed)
+    ingest(store, lines(spark, BRUTE_FORCE[0]), "auth_log", RULES, batch="1", options=OPTIONS, providers=providers)
+    store.write_batch("enrichment", store.read("enrichment").withColumn("abuse_score", F.lit(95)).withColumn(
+        "updated_at", F.lit(datetime(2025, 1, 1)).cast("timestamp")), "other")
+    _, alerts = analyze(store, lines(spark, *BRUTE_FORCE), RULES, batch="2", options=OPTIONS, providers=providers)
+    assert [r.enrichment.abuse_score for r in alerts.collect()] == [95]
+
+
+def test_anomaly_scan_job(spark, store):
+    text = [f"2026-06-10T06:11:{i % 60:02d}Z host app: request from 198.51.100.{i % 9}" for i in range(90)]
+    text += [f"2026-06-10T06:11:{i % 60:02d}Z host app: request from 203.0.113.5" for i in range(200)]
+    ingest(store, lines(spark, *text), "custom", [], batch="1", options=OPTIONS)
+    first = run_anomaly_scan(store, 300, batch="scan1", options=OPTIONS)
+    assert ("rate_anomaly", "203.0.113.5") in {(r.rule_key, r.source_ip) for r in first.collect()}
+    assert run_anomaly_scan(store, 300, batch="scan2", options=OPTIONS).count() == 0
+    empty = Store(spark, f"{store.root}-empty")
+    assert run_anomaly_scan(empty, 300, batch="scan", options=OPTIONS).count() == 0
+
+
 def test_triage_reopens_detection(spark, store):
     ingest(store, lines(spark, *BRUTE_FORCE), "auth_log", RULES, batch="1", options=OPTIONS)
     from tripline.operators.alerts import status_change

@@ -26,10 +26,10 @@ def suppress_known(findings: DataFrame, alerts: DataFrame | None) -> DataFrame:
         return findings
     known = (
         alerts.where(F.col("event_id").isNotNull() | (F.col("status") == "open"))
-        .select("rule_key", _subject().alias("_subject"))
+        .select("rule_key", subject().alias("_subject"))
         .distinct()
     )
-    return findings.withColumn("_subject", _subject()).join(known, ["rule_key", "_subject"], "left_anti").drop("_subject")
+    return findings.withColumn("_subject", subject()).join(known, ["rule_key", "_subject"], "left_anti").drop("_subject")
 
 
 def score_findings(findings: DataFrame, enrichment: DataFrame | None) -> DataFrame:
@@ -66,7 +66,7 @@ def findings_to_alerts(
     """
     moment = created_at if isinstance(created_at, Column) else F.lit(created_at)
     fresh = score_findings(link_rules(suppress_known(findings, alerts), rules), enrichment)
-    evidence = F.concat_ws("|", "rule_key", _subject(), F.unix_micros("window_end").cast("string"))
+    evidence = F.concat_ws("|", "rule_key", subject(), F.unix_micros("window_end").cast("string"))
     return fresh.withColumns(
         {
             "alert_id": F.sha2(evidence, 256),
@@ -109,7 +109,7 @@ def alert_view(alerts: DataFrame, enrichment: DataFrame) -> DataFrame:
     )
 
 
-def _subject() -> Column:
+def subject() -> Column:
     """What a finding or alert is about: its event, or its group key."""
     group = F.coalesce(F.concat(F.lit("g:"), "group_key"), F.lit("g"))
     return F.coalesce(F.concat(F.lit("e:"), "event_id"), group)

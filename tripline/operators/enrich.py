@@ -74,3 +74,10 @@ def build_enrichment(
         F.lit(False).alias("is_tor"),
         (now if isinstance(now, Column) else F.lit(now)).cast("timestamp").alias("updated_at"),
     )
+
+
+def newest_enrichment(enrichment: DataFrame) -> DataFrame:
+    """One row an address, the newest: two jobs may both have added it."""
+    columns = enrichment.columns
+    newest = enrichment.groupBy("ip").agg(F.max(F.struct("updated_at", *[c for c in columns if c not in ("ip", "updated_at")])).alias("row"))
+    return newest.select("ip", "row.*").select(*columns)

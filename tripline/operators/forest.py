@@ -41,17 +41,16 @@ def average_path(n):
 def draw_samples(vectors: DataFrame, n: int, trees: int = TREES, sample: int = SAMPLE) -> DataFrame:
     """``min(sample, n)`` addresses per tree, without replacement.
 
-    Draws depend on the address and the tree only, not on partitioning.  A
-    first hash keeps an address pool of bounded expected size, a second one
-    thins each tree's candidates before they are ranked.
+    Draws depend on the address and the tree only, not on partitioning.  Each
+    address carries the trees that may draw it, four times as many as will on
+    average, and each tree ranks its candidates.
     """
-    pool_size = 64 * sample
-    pool = vectors.where(_unit_hash(F.col("source_ip"), F.lit(SEED)) < min(1.0, pool_size / n))
-    share = min(1.0, 4.0 * sample / min(n, pool_size))
-    candidates = (
-        pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        .withColumn("draw", _unit_hash(F.col("source_ip"), F.lit(SEED), F.col("tree")))
-        .where(F.col("draw") < share)
+    share = min(1.0, 4.0 * sample / n)
+    drawn_by = F.filter(
+        F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: _unit_hash(F.col("source_ip"), F.lit(SEED), tree) < share
+    )
+    candidates = vectors.withColumn("tree", F.explode(drawn_by)).withColumn(
+        "draw", _unit_hash(F.col("source_ip"), F.lit(SEED), F.col("tree"))
     )
     order = Window.partitionBy("tree").orderBy("draw", "source_ip")
     return candidates.withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample)

@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tripline.operators.alerts import alert_view, findings_to_alerts, with_current_status
-from tripline.operators.enrich import build_enrichment
+from tripline.operators.alerts import alert_view, findings_to_alerts, subject, with_current_status
+from tripline.operators.enrich import build_enrichment, newest_enrichment
 from tripline.operators.joins import lookup
 from tripline.operators.parsing import ParseOptions, accepted, parse_lines, to_events
 from tripline.operators.parsing.sniff import HEAD, sniff_groups, sniff_paths
 from tripline.operators.threshold import window_floor
-from tripline.plans.detection import detect
+from tripline.plans.detection import anomaly_scan, detect
 from tripline.rules.model import Rule, ThresholdRule
+from tripline.schemas import ALERT, FINDING
 from tripline.session import materialize
 from tripline.sources.lines import read_lines
 from tripline.sources.registry import new_sources, source_id
@@ -118,7 +120,7 @@ def analyze(
         source_name=source_name,
         providers=providers,
     )
-    return result, alert_view(store.read_batch("alerts", batch), store.read("enrichment"))
+    return result, alert_view(store.read_batch("alerts", batch), newest_enrichment(store.read("enrichment")))
 
 
 def guess_format(lines: DataFrame) -> str | None:
@@ -148,14 +150,40 @@ def process_batch(
     the new alerts, stored too."""
     rules = list(rules)
     events = store.read_batch("events", batch)
+    if events.isEmpty():
+        store.write_batch("alerts", store.spark.createDataFrame([], ALERT), batch)
+        return store.read_batch("alerts", batch)
     cached = store.read("enrichment", before_batch=batch)
     fresh = build_enrichment(events, cached, providers.networks, providers.reputation, now=options.stamp)
     store.write_batch("enrichment", fresh, batch)
+    return _raise(store, detect(_history(store, events, rules), rules, events), batch, options.stamp)
 
-    findings = materialize(detect(_history(store, events, rules), rules, events), "findings")
-    known = with_current_status(store.read("alerts", before_batch=batch), store.read("status_log"))
+
+def run_anomaly_scan(
+    store: Store, window_seconds: int = 300, *, batch: str, options: ParseOptions
+) -> DataFrame:
+    """Runs the population detectors over the newest stored window; returns the
+    new alerts, stored under ``batch``.  Only the window's dates are read."""
+    newest = store.read("events").agg(F.max("event_date")).first()[0]
+    if newest is None:
+        findings = store.spark.createDataFrame([], FINDING)
+    else:
+        # The newest event is of the newest date, and its window reaches back less than two dates more.
+        recent = store.read("events", since=newest - timedelta(seconds=window_seconds + 86_400))
+        findings = anomaly_scan(recent, window_seconds)
+    return _raise(store, findings, batch, options.stamp)
+
+
+def _raise(store: Store, findings: DataFrame, batch: str, moment) -> DataFrame:
+    """Stores alerts for those findings that have none yet, and returns them."""
+    findings = materialize(findings, "findings")
+    # Only alerts about the findings' own rules and subjects can suppress them.
+    about = findings.select("rule_key", subject().alias("_subject")).distinct()
+    known = store.read("alerts", before_batch=batch).withColumn("_subject", subject())
+    known = known.join(about, ["rule_key", "_subject"], "left_semi").drop("_subject").select(*ALERT.fieldNames())
+    known = with_current_status(known, store.read("status_log"))
     alerts = findings_to_alerts(
-        findings, store.read("rules"), store.read("enrichment"), known, created_at=options.stamp
+        findings, store.read("rules"), newest_enrichment(store.read("enrichment")), known, created_at=moment
     )
     store.write_batch("alerts", alerts, batch)
     return store.read_batch("alerts", batch)
@@ -169,7 +197,7 @@ def _history(store: Store, batch: DataFrame, rules: list[Rule]) -> DataFrame:
     """
     counting = [rule for rule in rules if rule.enabled and isinstance(rule, ThresholdRule)]
     floor = window_floor(batch, counting).first()["floor"] if counting else None
-    history = store.read("events")
     if floor is None:
-        return history
+        return batch
+    history = store.read("events", since=floor.date())
     return history.where((F.col("event_date") >= F.lit(floor).cast("date")) & (F.col("ts") >= F.lit(floor)))

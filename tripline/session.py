@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -31,11 +32,13 @@ def build_session(app_name: str = "tripline", master: str | None = None, **conf:
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only when the cluster names none (single-machine runs and tests) a local
-    folder is made and recorded in the session.
+    A session on one machine that names none gets a local folder, recorded in
+    the session.  On a cluster that would scatter files over executors' disks.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="tripline-")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured.rstrip("/")

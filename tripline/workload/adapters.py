@@ -24,8 +24,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def address(number: Column, head: str = "10.0") -> Column:
-    return F.concat_ws(".", F.lit(head), (number / 256).cast("bigint").cast("string"), (number % 256).cast("string"))
+TEN, PRIVATE = 10 << 24, (192 << 24) + (168 << 16)
+
+
+def address(number: Column, first: int = TEN) -> Column:
+    """The address ``number`` places after ``first``."""
+    whole = number.cast("bigint") + first
+    return F.concat_ws(".", *[((whole / F.lit(256**k)).cast("bigint") % 256).cast("string") for k in (3, 2, 1, 0)])
+
+
+def address_sql(number: str, first: int = TEN) -> str:
+    return " || '.' || ".join(f"CAST(({number} + {first}) // {256**k} % 256 AS VARCHAR)" for k in (3, 2, 1, 0))
 
 
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,9 +49,8 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-BASE = """base AS (
-  SELECT event_id, ts, user_id, event_type, CAST(props->>'$.k' AS INTEGER) AS k,
-         '10.0.' || CAST(user_id // 256 AS VARCHAR) || '.' || CAST(user_id % 256 AS VARCHAR) AS ip
+BASE = f"""base AS (
+  SELECT event_id, ts, user_id, event_type, CAST(props->>'$.k' AS INTEGER) AS k, {address_sql('user_id')} AS ip
   FROM events)"""
 
 
@@ -71,7 +79,7 @@ def security_events(spark: SparkSession, sf_dir: str, *, squeeze: int = 1, loud:
         "event_id": F.col("event_id"),
         "ts": F.col("ts"),
         "source_ip": F.col("ip"),
-        "dest_ip": address(F.col("k"), "192.168"),
+        "dest_ip": address(F.col("k"), PRIVATE),
         "protocol": F.when(kind.isin("error", "signup"), "ssh").when(web, "http").otherwise("tcp"),
         "raw": F.struct(*[raw.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in RAW.fields]),
         "ingest_ts": OPTIONS.stamp,
@@ -95,7 +103,7 @@ def security_sql(squeeze: int = 1, loud: bool = False, name: str = "sec") -> str
   SELECT CAST(event_id AS VARCHAR) AS event_id, {time} AS ts, {ip} AS source_ip,
          CASE WHEN event_type IN ('error', 'signup') THEN 'ssh' WHEN event_type IN ('click', 'view') THEN 'http'
               ELSE 'tcp' END AS protocol,
-         '192.168.' || CAST(k // 256 AS VARCHAR) || '.' || CAST(k % 256 AS VARCHAR) AS dest_ip,
+         {address_sql('k', PRIVATE)} AS dest_ip,
          CASE event_type WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'accepted' END AS outcome,
          k AS dest_port,
          CASE WHEN event_type IN ('click', 'view') THEN '/item?id=' || CAST(k AS VARCHAR) ||
@@ -120,8 +128,8 @@ def enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-ENRICHMENT_SQL = """enr AS (
-  SELECT '10.0.' || CAST(c_custkey // 256 AS VARCHAR) || '.' || CAST(c_custkey % 256 AS VARCHAR) AS ip,
+ENRICHMENT_SQL = f"""enr AS (
+  SELECT {address_sql('c_custkey')} AS ip,
          n_name AS country, 'City ' || CAST(n_nationkey AS VARCHAR) AS city,
          CASE WHEN c_custkey % 9 <> 0 THEN CAST(n_nationkey AS DOUBLE) * 2.5 - 30.0 END AS latitude,
          CASE WHEN c_custkey % 9 <> 0 THEN CAST(n_nationkey AS DOUBLE) * 5.0 - 60.0 END AS longitude,

@@ -223,22 +223,20 @@ def kpi_cards(spark, sf_dir):
     f"""WITH {ALERTS_SQL}, ladder(position, severity) AS (VALUES (0, 'critical'), (1, 'high'), (2, 'medium'), (3, 'low'),
       (4, 'info'))
     SELECT l.position, l.severity, count(a.alert_id) AS alerts
-    FROM ladder l LEFT JOIN alerts a ON a.severity = l.severity AND a.status = 'open' AND a.severity <> 'low'
+    FROM ladder l LEFT JOIN alerts a ON a.severity = l.severity
     GROUP BY l.position, l.severity""",
 )
 def severity_histogram(spark, sf_dir):
-    chosen = reports.filter_alerts(alerts(spark, sf_dir), status="open").where(F.col("severity") != "low")
-    return reports.severity_histogram(chosen)
+    return reports.severity_histogram(alerts(spark, sf_dir))
 
 
 @query(
     "alert_timeline",
     f"""WITH {ALERTS_SQL} SELECT epoch_us(date_trunc('hour', created_at)) AS hour_us, count(*) AS alerts
-    FROM alerts WHERE severity = 'critical' GROUP BY 1""",
+    FROM alerts GROUP BY 1""",
 )
 def alert_timeline(spark, sf_dir):
-    critical = reports.filter_alerts(alerts(spark, sf_dir), severity="critical")
-    return reports.hourly_timeline(critical).select(micros("hour"), "alerts")
+    return reports.hourly_timeline(alerts(spark, sf_dir)).select(micros("hour"), "alerts")
 
 
 _RANK = "CASE a.severity WHEN 'critical' THEN 5 WHEN 'high' THEN 4 WHEN 'medium' THEN 3 WHEN 'low' THEN 2 ELSE 1 END"
@@ -298,21 +296,32 @@ def technique_links(spark, sf_dir):
 )
 def rule_upsert(spark, sf_dir):
     """A rule per customer: a third is new, a third changes, a third stays."""
+    old, new = _customer_rules(spark, sf_dir)
+    return upsert_rules(old, new).select("key", "name", "change")
+
+
+def _customer_rules(spark, sf_dir):
     n = F.col("c_custkey")
     row = {
-        "rule_id": F.xxhash64("key"), "description": F.lit(None), "severity": F.lit("low"), "mitre_technique": F.lit(None),
-        "enabled": F.lit(True), "definition": F.lit("{}"),
+        "rule_id": F.xxhash64("key"), "description": F.lit(None).cast("string"), "severity": F.lit("low"),
+        "mitre_technique": F.lit(None).cast("string"), "enabled": F.lit(True), "definition": F.lit("{}"),
     }
     named = table(spark, sf_dir, "customer").withColumn("key", F.concat(F.lit("rule-"), n.cast("string"))).withColumns(row)
     old = named.where(n % 3 != 0).withColumn("name", F.col("c_name"))
     new = named.where(n % 3 != 2).withColumn("name", F.concat(F.lit("new "), "c_name"))
-    return upsert_rules(old, new).select("key", "name", "change")
+    return old, new
 
 
-@query("rule_sync_counts", "SELECT CAST(9 AS BIGINT) AS created, CAST(0 AS BIGINT) AS updated, count(*) AS alerts FROM events")
+@query(
+    "rule_sync_counts",
+    f"""SELECT count(*) FILTER (WHERE c_custkey % 3 = 0) + {len(RULE_SET) + 2} AS created,
+    count(*) FILTER (WHERE c_custkey % 3 = 1) AS updated FROM customer""",
+)
 def rule_sync_counts(spark, sf_dir):
-    counts = change_counts(upsert_rules(rule_rows(spark, []).where(F.lit(False)), rule_rows(spark, RULE_SET)))
-    return counts.withColumn("alerts", alerts(spark, sf_dir).agg(F.count(F.lit(1))).scalar())
+    """The customers' rules and the shipped ones, with the two detectors, synced into a table of the customers' rules."""
+    shipped = rule_rows(spark, RULE_SET)
+    old, new = _customer_rules(spark, sf_dir)
+    return change_counts(upsert_rules(old, new.select(*shipped.columns).unionByName(shipped)))
 
 
 @query(

@@ -5,36 +5,30 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tripline.operators.enrich import build_enrichment, locate, new_addresses
-from tripline.workload.adapters import BASE, ENRICHMENT_SQL, OPTIONS, base, enrichment, security_events, security_sql, table
+from tripline.workload.adapters import TEN, BASE, ENRICHMENT_SQL, OPTIONS, address, base, enrichment, security_events, security_sql, table
 from tripline.workload.catalog import query
 
 
 def networks(spark, sf_dir):
-    """Nested blocks: one /8, a /16 and /24s, and single addresses of some parts."""
+    """Nested blocks, one a part: a /8, a /16, a /24 while there are any, and single addresses."""
     n = F.col("p_partkey")
-    block = F.when(n == 0, "10.0.0.0/8").when(n == 1, "10.0.0.0/16").when(
-        n % 5 == 2, F.concat_ws(".", F.lit("10.0"), (n / 256).cast("bigint"), (n % 256).cast("string")).cast("string")
-    )
-    single = F.when(n % 5 == 2, F.concat(block, F.lit("/32"))).otherwise(block)
-    wide = F.concat(F.lit("10.0."), (n % 256).cast("string"), F.lit(".77/24"))
+    wide = (n > 1) & (n % 5 != 2) & (n < 65_536)
+    cidr = F.when(n == 0, "10.0.0.0/8").when(n == 1, "10.0.0.0/16").when(wide, F.concat(address(n * 256 + 77), F.lit("/24")))
     return table(spark, sf_dir, "part").select(
-        F.when(single.isNotNull(), single).when((n % 5 == 3) & (n < 256) & (n % 2 == 1), wide).alias("cidr"),
+        cidr.otherwise(F.concat(address(n), F.lit("/32"))).alias("cidr"),
         F.concat(F.lit("Land "), F.col("p_brand")).alias("country"),
         F.col("p_name").alias("city"),
         n.cast("double").alias("latitude"),
         (-n.cast("double")).alias("longitude"),
-    ).where(F.col("cidr").isNotNull())
+    )
 
 
-NETWORKS_SQL = """blocks AS (
-      SELECT CASE WHEN p_partkey IN (0, 1) THEN 10 * 16777216
-                  WHEN p_partkey % 5 = 2 THEN 10 * 16777216 + p_partkey // 256 * 256 + p_partkey % 256
-                  ELSE 10 * 16777216 + p_partkey * 256 END AS low,
-             CASE WHEN p_partkey = 0 THEN 8 WHEN p_partkey = 1 THEN 16 WHEN p_partkey % 5 = 2 THEN 32 ELSE 24 END AS bits,
+NETWORKS_SQL = f"""blocks AS (
+      SELECT {TEN} + CASE WHEN p_partkey < 2 THEN 0 WHEN wide THEN p_partkey * 256 ELSE p_partkey END AS low,
+             CASE WHEN p_partkey = 0 THEN 8 WHEN p_partkey = 1 THEN 16 WHEN wide THEN 24 ELSE 32 END AS bits,
              'Land ' || p_brand AS country, p_name AS city, CAST(p_partkey AS DOUBLE) AS latitude
-      FROM part WHERE p_partkey IN (0, 1) OR p_partkey % 5 = 2
-        OR (p_partkey % 5 = 3 AND p_partkey < 256 AND p_partkey % 2 = 1)),
-    addresses AS (SELECT DISTINCT ip, 10 * 16777216 + user_id AS address FROM base),
+      FROM (SELECT *, p_partkey % 5 <> 2 AND p_partkey < 65536 AS wide FROM part)),
+    addresses AS (SELECT DISTINCT ip, {TEN} + user_id AS address FROM base),
     located AS (SELECT ip, arg_max(country, bits) AS country, arg_max(city, bits) AS city,
                        arg_max(latitude, bits) AS latitude, max(bits) AS bits
                 FROM addresses JOIN blocks ON address >= low AND address < low + (CAST(1 AS BIGINT) << (32 - bits)) GROUP BY ip)"""

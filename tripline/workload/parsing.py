@@ -297,8 +297,9 @@ _IP4 = r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}"
           list_transform(string_split(x, '.'), lambda p: CAST(p AS INTEGER) <= 255))) AS ips,
         regexp_matches(line, '"[A-Z]+\s+\S+\s+HTTP/[0-9.]+"') AS request,
         len(regexp_extract_all(line, '[A-Za-z_][\pL\pN\pM_.\-]*=(?:"(?:[^"\\]|\\.)*"|\S+)')) AS pairs
-      FROM clean WHERE line <> '')
-    SELECT doc_id, coalesce(from_ip, ips[1]) AS source_ip,
+      FROM clean WHERE line <> ''),
+    entities AS (SELECT doc_id, pairs >= 2 OR (starts_with(line, '{{') AND json_valid(line)) AS structured,
+      coalesce(from_ip, ips[1]) AS source_ip,
       coalesce(to_ip, CASE WHEN from_ip IS NULL THEN ips[2] END) AS dest_ip,
       CASE WHEN request THEN 'http' WHEN regexp_matches(low, '{_NOT}http') THEN 'http'
            WHEN regexp_matches(low, '{_NOT}ssh') THEN 'ssh' WHEN regexp_matches(low, '{_NOT}tcp') THEN 'tcp'
@@ -307,14 +308,25 @@ _IP4 = r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}"
       CASE WHEN regexp_matches(line, '(?i){_NOT}(?:fail|failed|failure|invalid|denied|deny|unauthor{_W}*|reject{_W}*|error){_END}')
            THEN 'failed' END AS outcome,
       CAST(length(line) AS INTEGER) AS length
-    FROM found WHERE pairs < 2 AND NOT starts_with(line, '{{')""",
+    FROM found)
+    SELECT doc_id, structured, CASE WHEN NOT structured THEN source_ip END AS source_ip,
+      CASE WHEN NOT structured THEN dest_ip END AS dest_ip, CASE WHEN NOT structured THEN protocol END AS protocol,
+      CASE WHEN NOT structured THEN outcome END AS outcome, CASE WHEN NOT structured THEN length END AS length
+    FROM entities""",
 )
 def freetext_entities(spark, sf_dir):
-    """Entities in every line of the documents' text (lines with fields left out)."""
+    """Every line of the documents' text, and the entities of those that carry no fields."""
     parsed = parse_lines(
         to_lines(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "text"), "custom", OPTIONS
     )
-    found = parsed.where(F.col("raw.message").isNotNull())
-    return found.select(
-        "doc_id", "source_ip", "dest_ip", "protocol", F.col("raw.outcome").alias("outcome"), F.length("raw.message").alias("length")
+    structured = F.col("raw.message").isNull()
+    entities = {
+        "source_ip": F.col("source_ip"),
+        "dest_ip": F.col("dest_ip"),
+        "protocol": F.col("protocol"),
+        "outcome": F.col("raw.outcome"),
+        "length": F.length("raw.message"),
+    }
+    return parsed.select(
+        "doc_id", structured.alias("structured"), *[F.when(~structured, c).alias(k) for k, c in entities.items()]
     )

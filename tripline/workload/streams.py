@@ -52,6 +52,7 @@ def stream_detection(spark, sf_dir):
         _stream_of_events(spark, sf_dir),
         store,
         [FAILED_LOGINS, PORT_SPREAD],
+        name="events",
         checkpoint=f"{store.root}/checkpoint",
         options=lambda: OPTIONS,
     )
@@ -68,7 +69,7 @@ def stream_alert_feed(spark, sf_dir):
     """Alerts stored by one stream are delivered by another."""
     store = Store(spark, _scratch(spark))
     job = event_stream(
-        _stream_of_events(spark, sf_dir), store, [FAILED_LOGINS], checkpoint=f"{store.root}/in", options=lambda: OPTIONS
+        _stream_of_events(spark, sf_dir), store, [FAILED_LOGINS], name="events", checkpoint=f"{store.root}/in", options=lambda: OPTIONS
     )
     job.trigger(availableNow=True).start().awaitTermination()
     out = f"{store.root}/delivered"
