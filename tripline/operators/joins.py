@@ -16,6 +16,9 @@ BROADCAST_ROWS = 1_000_000
 # than HOT_SHARE hot keys whatever the data: that bounds their broadcast.
 HOT_SHARE = 1_000
 
+# The rows of a hot key are dealt over so many parts.
+SALTS = 64
+
 
 def at_most(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has no more than ``rows`` rows (counts no further)."""
@@ -27,16 +30,19 @@ def join_per_key(rows: DataFrame, per_key: DataFrame, key: str, weight: str, sma
 
     ``small`` says that ``per_key`` was counted to be within BROADCAST_ROWS:
     it then goes to every executor and ``rows`` are not shuffled.  Otherwise
-    only the hot keys, told by their number of rows in ``weight``, are
-    broadcast; the others, none of which is large, meet in a shuffle.
+    rows of hot keys, told by their number of rows in ``weight``, are dealt
+    over SALTS parts each, and all meet in one shuffle.  ``rows`` are read
+    once; ``per_key`` is read a few times and should be written before.
     """
     if small:
         return rows.join(F.broadcast(per_key.drop(weight)), key)
     total = per_key.agg(F.sum(weight)).scalar()
-    hot = per_key.where(F.col(weight) * F.lit(HOT_SHARE) > total).drop(weight)
-    near = rows.join(F.broadcast(hot), key)
-    far = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(per_key.drop(weight), key)
-    return near.unionByName(far)
+    hot = F.broadcast(per_key.where(F.col(weight) * F.lit(HOT_SHARE) > total).select(key, F.lit(True).alias("_hot")))
+    salt = F.when(F.col("_hot"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).otherwise(0)
+    dealt = rows.join(hot, key, "left").withColumn("_salt", salt).drop("_hot")
+    parts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    met = per_key.drop(weight).join(hot, key, "left").withColumn("_salt", F.explode(parts)).drop("_hot")
+    return dealt.join(met, [key, "_salt"]).drop("_salt")
 
 
 def lookup(rows: DataFrame, table: DataFrame, key: str, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:

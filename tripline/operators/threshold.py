@@ -19,6 +19,7 @@ from tripline.operators.joins import BROADCAST_ROWS, at_most, join_per_key
 from tripline.operators.selection import group_value, resolve, selection
 from tripline.rules.model import ThresholdRule
 from tripline.schemas import FINDING
+from tripline.session import materialize
 
 
 def threshold_findings(
@@ -54,17 +55,21 @@ def window_floor(batch: DataFrame, rules: Sequence[ThresholdRule]):
 def _evaluate(
     events: DataFrame, key: str, rules: list[ThresholdRule], batch: DataFrame | None, broadcast_rows: int
 ) -> DataFrame:
+    # Per-key tables are small beside the events and are used several times, so each is written once.
     rows = _keyed(events, key)
     keys = _keyed(events if batch is None else batch, key).groupBy("group_key").agg(
         F.max("ts").alias("window_end"), F.count(F.lit(1)).alias("events_seen")
     )
-    small = at_most(keys.select("group_key"), broadcast_rows)
-    if batch is None:
-        ends = keys
-    else:
-        rows = rows.where(F.col("ts") >= window_floor(batch, rules).scalar())
+    keys = materialize(keys, "keys")
+    small = at_most(keys, broadcast_rows)
+    ends = keys
+    if batch is not None:
+        span = max(rule.window_seconds for rule in rules)
+        floor = keys.agg(F.min("window_end") - _seconds(span)).first()[0]
+        rows = rows.where(F.col("ts") >= F.lit(floor))
         seen = join_per_key(rows, keys.drop("window_end"), "group_key", "events_seen", small)
         ends = seen.groupBy("group_key").agg(F.max("ts").alias("window_end"), F.count(F.lit(1)).alias("events_seen"))
+        ends = materialize(ends, "window-ends")
 
     inside = [_inside(events, rule) for rule in rules]
     counted = (

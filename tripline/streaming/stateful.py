@@ -8,6 +8,7 @@ as soon as a micro-batch has been read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -30,12 +31,19 @@ _STATE = T.StructType(
 )
 
 
-def stateful_threshold(events: DataFrame, rule: ThresholdRule) -> DataFrame:
+def stateful_threshold(
+    events: DataFrame, rule: ThresholdRule, forget_after: timedelta | None = None
+) -> DataFrame:
     """Keys whose latest window reaches the rule's threshold, per micro-batch.
 
     The state of a key has one entry per distinct time (and value, for distinct
     counts) inside its window; events that fell out of the window are dropped,
-    and a late event counts only if it falls inside.
+    and a late event counts only if it falls inside.  Before rows are dealt by
+    key, each task sums up what it has read of a key and leaves out what the
+    key's newest event there puts outside its window, so a hot key costs its
+    task one window per task, not its rows.  With ``forget_after``, the state of a key
+    that is not seen for so long (by the clock) is dropped; such a stream has no
+    end, so not with an ``availableNow`` trigger.
     """
     key, _ = resolve(events.schema, rule.group_by)
     value = F.lit(None)
@@ -49,7 +57,19 @@ def stateful_threshold(events: DataFrame, rule: ThresholdRule) -> DataFrame:
     )
     width, threshold, distinct = rule.window_seconds * 1_000_000, rule.threshold, rule.distinct_field is not None
 
+    def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            newest = batch.groupby("group_key")["ts_us"].transform("max")
+            # The newest event of a key always goes on: it moves the window even if it does not count.
+            counted = batch["selected"] & (batch["value"].notna() if distinct else True)
+            batch = batch.assign(n=counted.astype("int64"))
+            batch = batch[((batch["ts_us"] >= newest - width) & counted) | (batch["ts_us"] == newest)]
+            yield batch.groupby(["group_key", "ts_us", "value"], dropna=False, as_index=False)["n"].sum()
+
     def advance(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         end, kept = None, pd.DataFrame({"ts_us": [], "value": [], "n": []})
         if state.exists:
             end, times, values, counts = state.get
@@ -57,19 +77,20 @@ def stateful_threshold(events: DataFrame, rule: ThresholdRule) -> DataFrame:
         for batch in batches:
             newest = int(batch["ts_us"].max())
             end = newest if end is None else max(end, newest)
-            counted = batch[batch["selected"] & (batch["value"].notna() if distinct else True)].assign(n=1)
-            both = pd.concat([kept, counted[["ts_us", "value", "n"]]])
+            both = pd.concat([kept, batch.loc[batch["n"] > 0, ["ts_us", "value", "n"]]])
             both = both[both["ts_us"] >= end - width]
             kept = both.groupby(["ts_us", "value"], dropna=False, as_index=False)["n"].sum()
         values = [None if pd.isna(v) else str(v) for v in kept["value"]]
         state.update((end, [int(t) for t in kept["ts_us"]], values, [int(n) for n in kept["n"]]))
+        if forget_after is not None:
+            state.setTimeoutDuration(int(forget_after.total_seconds() * 1000))
         observed = int(kept["value"].nunique()) if distinct else int(kept["n"].sum())
         if observed >= threshold:
             yield pd.DataFrame({"group_key": [name[0]], "window_end_us": [end], "observed": [observed]})
 
-    reached = rows.groupBy("group_key").applyInPandasWithState(
-        advance, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout
-    )
+    sums = rows.mapInPandas(combine, "group_key string, ts_us long, value string, n long")
+    timeout = GroupStateTimeout.NoTimeout if forget_after is None else GroupStateTimeout.ProcessingTimeTimeout
+    reached = sums.groupBy("group_key").applyInPandasWithState(advance, _OUT, _STATE, "append", timeout)
     return reached.select(
         F.lit(rule.key).alias("rule_key"),
         "group_key",

@@ -91,10 +91,10 @@ def logfmt_line() -> Column:
 def plain_line() -> Column:
     stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     return (
-        F.when(kind() == "error", text(stamp, " host sshd: authentication failure for root from ", F.col("ip"), " port ", port()))
+        F.when(kind() == "error", text(stamp, " gate: ssh login rejected, from ", F.col("ip"), " by way of ", port()))
         .when(kind() == "click", text(F.col("ip"), ' "GET /q/', k(), ' HTTP/1.1" 403 [', F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss"), " +0000]"))
         .when(kind() == "view", text(F.date_format("ts", "MMM d HH:mm:ss"), " udp flow ", F.col("ip"), " 192.168.0.", k(), " 999.1.1.1"))
-        .when(kind() == "signup", text("connection from ", F.col("ip"), " to 10.9.8.", k(), " blocked"))
+        .when(kind() == "signup", text("dropped: from ", F.col("ip"), " bound to 10.9.8.", k()))
         .otherwise(text("opaque message ", F.col("event_id")))
     )
 

@@ -87,9 +87,9 @@ def _stateful_sql(rule, condition: str, observed: str) -> str:
     FROM counted WHERE observed >= {rule.threshold}"""
 
 
-def _run_stateful(spark, sf_dir, rule) -> DataFrame:
+def _run_stateful(spark, sf_dir, rule, events: DataFrame | None = None) -> DataFrame:
     out = _scratch(spark)
-    found = stateful_threshold(_stream_of_events(spark, sf_dir), rule)
+    found = stateful_threshold(_stream_of_events(spark, sf_dir) if events is None else events, rule)
     job = found.writeStream.format("parquet").option("path", f"{out}/found").option("checkpointLocation", f"{out}/state")
     job.trigger(availableNow=True).start().awaitTermination()
     rows = spark.read.schema(found.schema).parquet(f"{out}/found")
@@ -106,6 +106,90 @@ def stream_stateful_distinct(spark, sf_dir):
     return _run_stateful(spark, sf_dir, PORT_SPREAD)
 
 
+PARTS = 4
+#: Which of the files an event comes in: by its week, but some of the first week's come with the last file.
+_PART = "CASE WHEN event_id % 10 = 3 AND ts < TIMESTAMP '2024-01-08' THEN 3 ELSE least((epoch_us(ts) - 1704067200000000) // 604800000000, 3) END"
+
+
+def _arrivals(spark, sf_dir) -> str:
+    """The events in files that arrive one after the other, the last with late events too."""
+    folder = _scratch(spark)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    week = F.least(F.expr("(unix_micros(ts) - 1704067200000000) div 604800000000"), F.lit(PARTS - 1))
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    late = (F.col("event_id") % 10 == 3) & (F.col("ts") < F.lit("2024-01-08").cast("timestamp"))
+    part = F.when(late, PARTS - 1).otherwise(week)
+    for k in range(PARTS):
+        # Written in turn, so that modification times tell the order of arrival.
+        events.where(part == k).coalesce(1).write.parquet(f"{folder}/{k}")
+    return folder
+
+
+class _Arriving(_Streaming):
+    """The same, a file at a time."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        schema = spark.read.parquet(f"{folder}/*").schema
+        self.read = self
+        self._reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
+        self._folder = folder
+
+
+#: For every key and part with events of it: the newest time so far, and what its window holds so far.
+_SO_FAR = f"""arrived AS (SELECT s.*, part FROM sec s JOIN (SELECT CAST(event_id AS VARCHAR) AS event_id, {_PART} AS part FROM base)
+      USING (event_id)),
+    ends AS (SELECT k.source_ip, k.part, max(a.ts) AS window_end FROM (SELECT DISTINCT source_ip, part FROM arrived) k
+      JOIN arrived a ON a.source_ip = k.source_ip AND a.part <= k.part GROUP BY 1, 2)"""
+
+
+def _in_parts_sql(rule, condition: str, observed: str) -> str:
+    return f"""WITH {security_sql()}, {_SO_FAR}, counted AS (
+      SELECT e.source_ip AS group_key, e.part, epoch_us(e.window_end) AS window_end_us, {observed} AS observed
+      FROM ends e JOIN arrived s ON s.source_ip = e.source_ip AND s.part <= e.part
+      WHERE s.ts >= e.window_end - INTERVAL {rule.window_seconds} SECOND AND {condition} GROUP BY 1, 2, 3)
+    SELECT '{rule.key}' AS rule_key, group_key, window_end_us, observed, {score_sql('observed', rule.threshold)} AS score
+    FROM counted WHERE observed >= {rule.threshold}"""
+
+
+def _stateful_in_parts(spark, sf_dir, rule) -> DataFrame:
+    arriving = security_events(_Arriving(spark, _arrivals(spark, sf_dir)), sf_dir)
+    return _run_stateful(spark, sf_dir, rule, arriving)
+
+
+@query("stream_stateful_parts_count", _in_parts_sql(FAILED_LOGINS, _FAILED, "count(*)"))
+def stream_stateful_parts_count(spark, sf_dir):
+    """State that is read back in later micro-batches, late events among them."""
+    return _stateful_in_parts(spark, sf_dir, FAILED_LOGINS)
+
+
+@query("stream_stateful_parts_distinct", _in_parts_sql(PORT_SPREAD, "true", "count(DISTINCT s.dest_port)"))
+def stream_stateful_parts_distinct(spark, sf_dir):
+    return _stateful_in_parts(spark, sf_dir, PORT_SPREAD)
+
+
+@query(
+    "stream_detection_parts",
+    f"""WITH {security_sql()}, {_SO_FAR}, counted AS (
+      SELECT e.source_ip, e.part, e.window_end, count(*) AS observed FROM ends e
+      JOIN arrived s ON s.source_ip = e.source_ip AND s.part <= e.part
+      WHERE s.ts >= e.window_end - INTERVAL {FAILED_LOGINS.window_seconds} SECOND AND {_FAILED} GROUP BY 1, 2, 3),
+    first AS (SELECT source_ip, arg_min(observed, part) AS observed
+      FROM counted WHERE observed >= {FAILED_LOGINS.threshold} GROUP BY 1)
+    SELECT source_ip, least(100.0, round_even((70.0 + {score_sql('observed', FAILED_LOGINS.threshold)} * 10.0) * 10, 0)
+      / 10) AS score, (SELECT count(*) FROM events) AS stored FROM first""",
+)
+def stream_detection_parts(spark, sf_dir):
+    """Several micro-batches over one store: an address raises one alert while its first is open."""
+    store = Store(spark, _scratch(spark))
+    arriving = security_events(_Arriving(spark, _arrivals(spark, sf_dir)), sf_dir)
+    job = event_stream(
+        arriving, store, [FAILED_LOGINS], name="parts", checkpoint=f"{store.root}/in", options=lambda: OPTIONS
+    )
+    job.trigger(availableNow=True).start().awaitTermination()
+    stored = store.read("events").agg(F.count(F.lit(1))).scalar()
+    return store.read("alerts").select("source_ip", "score", stored.alias("stored"))
+
+
 @query(
     "analyze_job",
     f"""WITH {BASE}, auth AS (
