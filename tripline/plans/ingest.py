@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tripline.operators.alerts import alert_view, findings_to_alerts, subject, with_current_status
 from tripline.operators.enrich import build_enrichment, newest_enrichment
 from tripline.operators.joins import lookup
-from tripline.operators.parsing import ParseOptions, accepted, parse_lines, to_events
+from tripline.operators.parsing import ParseOptions, accepted, parse_lines, parse_mixed, to_events
 from tripline.operators.parsing.sniff import HEAD, sniff_groups, sniff_paths
 from tripline.operators.threshold import window_floor
 from tripline.plans.detection import anomaly_scan, detect
@@ -25,6 +25,9 @@ from tripline.sources.rule_table import change_counts, rule_rows, upsert_rules
 from tripline.sources.store import Store
 
 
+MIXED = "mixed"
+
+
 @dataclass(frozen=True)
 class IngestResult:
     source_type: str
@@ -65,25 +68,36 @@ def ingest(
 ) -> IngestResult:
     """Parses ``line``s, stores the events, enriches their addresses, runs the
     rules and stores new alerts.  ``batch`` names this unit of work; running
-    the same batch again replaces its own output and nothing else."""
-    named = store.spark.createDataFrame([(source_name, source_type)], "name string, type string")
+    the same batch again replaces its own output and nothing else.  Without
+    ``source_name``, lines read from files have their file's name as source.
+
+    ``source_type`` may be "mixed" for lines with a ``source_type`` of their own."""
+    by_file = source_name is None and "file_name" in lines.columns
+    mixed = source_type == MIXED
+    if by_file:
+        kind = F.col("source_type") if mixed else F.lit(source_type)
+        named = lines.groupBy(F.col("file_name").alias("name")).agg(F.min(kind).alias("type"))
+    else:
+        named = store.spark.createDataFrame([(source_name, source_type)], "name string, type string")
     store.write_batch("log_sources", new_sources(named, store.read("log_sources", before_batch=batch)), batch)
 
     # Counted while the events are written, not in a pass of its own.
     seen = Observation("lines")
     is_event = accepted()
-    parsed = parse_lines(lines, source_type, options).observe(
+    parsed = (parse_mixed(lines, options) if mixed else parse_lines(lines, source_type, options)).observe(
         seen,
         F.count(F.lit(1)).alias("received"),
         F.count_if(is_event).alias("parsed"),
         F.count_if(F.col("reject_reason").isNotNull()).alias("rejected"),
     )
-    own_source = source_id(F.lit(source_name).cast("string"))
+    own_source = source_id(F.col("file_name") if by_file else F.lit(source_name).cast("string"))
     store.write_batch("events", to_events(parsed, options, batch=batch, source_id=own_source), batch)
     counts = seen.get
 
     alerts = process_batch(store, rules, batch=batch, options=options, providers=providers)
-    number = named.select(source_id(F.col("name"))).first()[0]
+    # Several files are several sources: then there is no single number.
+    numbers = named.select(source_id(F.col("name"))).distinct().take(2)
+    number = numbers[0][0] if len(numbers) == 1 else None
     return IngestResult(
         source_type=source_type,
         source_id=number,
