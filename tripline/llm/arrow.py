@@ -6,6 +6,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+
+
+#: Rows that Spark hands to Python at a time.  With texts of a few kilobytes that is some megabytes.
+BATCH_ROWS = 1_000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; its session's Arrow batches are cut down to ``BATCH_ROWS``, as rows here hold whole texts."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(df.sparkSession.conf.get(setting)) > BATCH_ROWS:
+        df.sparkSession.conf.set(setting, BATCH_ROWS)
+    return df
 
 
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:

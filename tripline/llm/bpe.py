@@ -31,13 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripline.llm.arrow import int_lists, slices, with_columns
+from tripline.llm.arrow import int_lists, slices, small_batches, with_columns
 from tripline.session import materialize
 
 PIECE_CHARS = 16_384
 RUN_BYTES = 1_024
-CACHED_PARTS = 400_000
-CACHED_WORDS = 200_000
+CACHED_PARTS = 250_000
+CACHED_WORDS = 150_000
 TEXT, START, MORE = 0, 1, 2
 
 # The pre-token pattern of byte-level BPE files of this kind.
@@ -265,7 +265,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", piece
     texts give an empty array; repeated rows stay; an empty table gives an empty table.
     A column already called ``ids`` is replaced.
     """
-    df = df.drop(ids)
+    df = small_batches(df).drop(ids)
     size = F.coalesce(F.length(text), F.lit(0))
     schema = T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()), False)])
 
@@ -299,7 +299,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", piece
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``df`` with the text of ``ids``, special tokens included; null ids give an empty text."""
-    df = df.drop(text)
+    df = small_batches(df).drop(text)
     schema = T.StructType([*df.schema.fields, T.StructField(text, T.StringType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripline.llm.arrow import slices, text_bytes
+from tripline.llm.arrow import slices, small_batches, text_bytes
 from tripline.llm.components import connected
 from tripline.llm.textscore import lower, sums
 from tripline.session import materialize
@@ -345,7 +345,7 @@ def components(docs: DataFrame, percent: int = 85) -> DataFrame:
     Documents are linked where 100 * |intersection| >= ``percent`` * |union|.  kept is true
     for one document of each component, and for rows without a set or doc_id.
     """
-    sketches = materialize(sketch(docs), "sketches")
+    sketches = materialize(sketch(small_batches(docs)), "sketches")
     classes = (
         sketches.where("cls IS NOT NULL AND doc_id IS NOT NULL")
         .groupBy("cls")

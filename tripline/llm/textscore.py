@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripline.llm.arrow import slices, text_bytes, with_columns
+from tripline.llm.arrow import slices, small_batches, text_bytes, with_columns
 
 #: Longer texts are not used for learning (they are scored like all others).
 SAMPLE_CHARS = 100_000
@@ -81,7 +81,7 @@ def score_texts(
                 columns = {k: pa.array(v) for k, v in score(*text_bytes(part.column(text))).items()}
                 yield with_columns(part if keep_text else part.drop_columns([text]), **columns)
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def by_slices(fn: Callable[[np.ndarray, np.ndarray], np.ndarray], data: np.ndarray, offsets: np.ndarray) -> np.ndarray:

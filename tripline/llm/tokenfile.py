@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tripline.llm.arrow import slices
+from tripline.llm.arrow import slices, small_batches
 from tripline.llm.bpe import encoder
 from tripline.session import scratch_dir
 
@@ -69,7 +69,7 @@ def _shared(dictionary: bytes) -> zstandard.ZstdCompressionDict | None:
 
 def write(docs: DataFrame, folder: str, path: str, end_id: int = 0) -> None:
     """Encodes ``docs`` (doc_id, text) and writes the store."""
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     dictionary = train_dictionary(docs, path, end_id)
     name = hashlib.sha256(dictionary).hexdigest()
@@ -148,7 +148,7 @@ def read(spark: SparkSession, folder: str, doc_ids: list[int] | None = None) ->
     dictionary, name = bytes(row.bytes), row.dictionary
     if hashlib.sha256(dictionary).hexdigest() != name:
         raise ValueError(f"the dictionary of {folder} does not have the hash it is named by")
-    blocks = spark.read.parquet(f"{folder}/blocks")
+    blocks = small_batches(spark.read.parquet(f"{folder}/blocks"))
     if doc_ids is not None:
         near = [F.col("first_doc").__le__(i) & F.col("last_doc").__ge__(i) for i in doc_ids]
         blocks = blocks.where(near[0] if len(near) == 1 else _any(near))
