@@ -2,10 +2,11 @@ from datetime import timedelta
 
 import pytest
 from builders import BASE, burst, event, events
+from conftest import SF_DIR
 from pyspark.sql import functions as F
 
 from tripline.operators.features import ip_features
-from tripline.operators.forest import forest_findings
+from tripline.operators.forest import draw_samples, forest_findings
 from tripline.operators.joins import join_per_key, lookup
 from tripline.operators.match import match_findings
 from tripline.operators.quantiles import exact_percentile
@@ -13,6 +14,7 @@ from tripline.operators.threshold import threshold_findings
 from tripline.operators.zscore import leave_one_out, zscore_findings
 from tripline.plans.detection import anomaly_scan, detect, register_detector
 from tripline.rules import load_rules, parse_rule
+from tripline.workload import QUERIES
 
 RULES = {rule.key: rule for rule in load_rules()}
 def end():
@@ -221,3 +223,17 @@ def test_joins_under_skew_keep_every_row(spark):
     inner = rows.join(table, "key").count()
     for small in (True, False):
         assert join_per_key(rows, table, "key", "n", small).count() == inner
+
+
+def test_trees_draw_from_the_whole_population(spark):
+    many = spark.range(200_000).select(F.concat(F.lit("a"), "id").alias("source_ip"))
+    drawn = draw_samples(many, 200_000)
+    per_tree = drawn.groupBy("tree").count().collect()
+    assert {r["count"] for r in per_tree} == {256} and len(per_tree) == 100
+    assert drawn.select("source_ip").distinct().count() > 23_000
+
+
+@pytest.mark.parametrize("name", ["rule_threshold_new_batch", "rule_threshold_skewed"])
+def test_events_are_scanned_few_times(spark, name):
+    plan = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.count("Relation [event_id") <= 3
