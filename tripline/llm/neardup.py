@@ -11,8 +11,8 @@ alone.  A class carries ``TOKENS`` minwise tokens.
   node aren't compared again, so a node of n classes yields fewer than n links.  Nodes of
   later trees are left out if the first ``FIRST_TREES`` have joined all their classes.
 * Large nodes: a large group of copies around one text may be torn apart by branching.  So
-  the classes most like their leaves' others meet, in blocks, every class of the
-  first node that is not joined to them yet.
+  the middle classes of the leaves that a group fills meet, in blocks, every class of
+  the first node that is not joined to them yet.
 
 Two classes of similarity s share a node at depth d of a tree with probability s^d, so a
 pair at the threshold is missed by all trees with probability (1 - s^d)^TREES: under 1e-9
@@ -46,7 +46,7 @@ FIRST_TREES = 3
 #: A node is small only if its sets hold no more runs than this, too.
 LIMIT_RUNS = 4_000_000
 MARGIN = 4.5
-PIVOTS = 4
+PIVOTS = 2
 #: So many documents to fetch again are sent to every task; more are joined by shuffle.
 FETCH_BY_BROADCAST = 500_000
 SLICE_BYTES = 1 << 20
@@ -207,8 +207,9 @@ def _leaf_blocks(percent: int):
                 members += names
                 kinds += [0] * len(names)
                 sources += [trees[low]] * len(names)
-            if roots[low] is not None:
-                middle = int(like.mean(1).argmax())
+            # In a leaf that a group of copies fills, the class most like the others is near the group's middle.
+            middle = int(like.mean(1).argmax())
+            if roots[low] is not None and 2 * int(linked[middle].sum()) >= high - low - 1:
                 blocks.append(roots[low])
                 members.append(cls[low + middle])
                 kinds.append(high - low)
