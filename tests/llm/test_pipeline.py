@@ -9,10 +9,12 @@ from tripline.session import materialize
 
 def test_stages(spark):
     documents = spark.read.parquet(f"{SF_DIR}/documents.parquet")
-    docs, kept = documents, []
+    docs, kept, texts = documents, [], []
     for name, stage in corpus_pipeline.STAGES:
         before, docs = docs, materialize(stage(spark, docs, SF_DIR), "test-stage")
-        kept.append({r.doc_id: r for r in docs.collect()})
+        rows = docs.collect()
+        kept.append({r.doc_id: r for r in rows})
+        texts.append(sorted((r.doc_id, r.text) for r in rows))
         if name != corpus_pipeline.STAGES[-1][0]:
             assert docs.columns == documents.columns, name
         assert set(kept[-1]) <= {r.doc_id for r in before.select("doc_id").collect()}
@@ -27,9 +29,9 @@ def test_stages(spark):
         assert (r.text == single[k].text) == (not spans)
         assert not base_spans(r.text) and r.n_chars == len(r.text)
 
-    for k, r in mixed.items():
-        assert clean[k].text.startswith(r.text)
-    assert {k: r.text for k, r in encoded.items()} == {k: r.text for k, r in mixed.items()}
+    # A document may be taken twice, the second time in part.
+    assert all(clean[k].text.startswith(text) for k, text in texts[3])
+    assert texts[4] == texts[3] and set(mixed) <= set(clean)
     assert all(r.n_tokens == len(r.ids) for r in encoded.values())
 
 
