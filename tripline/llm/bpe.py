@@ -36,8 +36,8 @@ from tripline.session import materialize
 
 PIECE_CHARS = 16_384
 RUN_BYTES = 1_024
-CACHED_PARTS = 250_000
-CACHED_WORDS = 150_000
+CACHED_PARTS = 120_000
+CACHED_WORDS = 60_000
 TEXT, START, MORE = 0, 1, 2
 
 # The pre-token pattern of byte-level BPE files of this kind.
@@ -71,6 +71,21 @@ def byte_symbols() -> list[str]:
     return [chr(code[b]) for b in range(256)]
 
 
+def token_bytes(spec: dict) -> dict[int, bytes]:
+    """What each id of a vocabulary file stands for."""
+    back = {symbol: byte for byte, symbol in enumerate(byte_symbols())}
+    made = {}
+    for token, number in spec["model"]["vocab"].items():
+        plain = all(c in back for c in token)
+        made[number] = bytes(back[c] for c in token) if plain else token.encode()
+    return made | {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
+
+
+def decoded(table: dict[int, bytes], ids: np.ndarray) -> str:
+    """The text of ids, special tokens included; unknown ids give nothing."""
+    return b"".join([table.get(i, b"") for i in ids.tolist()]).decode("utf-8", "replace")
+
+
 class _Cache(dict):
     """A dict that computes what it lacks and keeps at most ``limit`` results."""
 
@@ -107,13 +122,8 @@ class Encoder:
             and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"])
         )
         self.special = [t["content"] for t in spec["added_tokens"]]
-        symbols = byte_symbols()
-        self.symbols = {b: s for b, s in enumerate(symbols)}
-        back = {s: b for b, s in enumerate(symbols)}
-        self.token_bytes: dict[int, bytes] = {}
-        for token, number in self.library.get_vocab(with_added_tokens=True).items():
-            plain = token not in self.special and all(c in back for c in token)
-            self.token_bytes[number] = bytes(back[c] for c in token) if plain else token.encode()
+        self.symbols = dict(enumerate(byte_symbols()))
+        self.token_bytes = token_bytes(spec)
         self.split = regex.compile(PRETOKENS).findall
         self.words = _Cache(self._word, CACHED_WORDS)
         self.parts = _Cache(self._part, CACHED_PARTS)
@@ -130,8 +140,7 @@ class Encoder:
         return b"".join(map(self.heads.__getitem__, _CHUNK.findall(text)))
 
     def decode(self, ids: np.ndarray) -> str:
-        """The text of ids, special tokens included; unknown ids give nothing."""
-        return b"".join([self.token_bytes.get(i, b"") for i in ids.tolist()]).decode("utf-8", "replace")
+        return decoded(self.token_bytes, ids)
 
     def cut(self, text: str, size: int) -> list[tuple[str, int]]:
         """Pieces of at most about ``size`` characters, each with its kind.
@@ -257,6 +266,13 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+@lru_cache(maxsize=2)
+def byte_table(path: str) -> dict[int, bytes]:
+    """``token_bytes`` of a file, once a worker; decoding needs no more than this."""
+    with open(path, encoding="utf-8") as file:
+        return token_bytes(json.load(file))
+
+
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", piece_chars: int = PIECE_CHARS) -> DataFrame:
     """``df`` with ``ids`` array<int> of each whole text.
 
@@ -303,13 +319,13 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
     schema = T.StructType([*df.schema.fields, T.StructField(text, T.StringType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path)
+        table = byte_table(path)
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
                 column = part.column(ids).fill_null([]) if part.column(ids).null_count else part.column(ids)
                 values, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-                texts = [coder.decode(values[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                texts = [decoded(table, values[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
                 yield with_columns(part, **{text: pa.array(texts, pa.string())})
 
     return df.mapInArrow(run, schema)
