@@ -370,3 +370,26 @@ def test_a_large_group_around_one_text(spark, monkeypatch):
         rows.append((i, " ".join(text)))
     made = neardup.components(docs(spark, rows)).collect()
     assert {r.component_id for r in made} == {0}
+
+
+def test_near_copies_of_long_texts(spark, monkeypatch):
+    """Sets whose runs are more than one task holds are compared like all others, whatever the size of their group."""
+    monkeypatch.setattr(neardup, "LIMIT_RUNS", 300)
+    monkeypatch.setattr(neardup, "PIECE", 40, raising=False)
+    rng = random.Random(11)
+    rows, expected = [], {}
+    for group in range(30):
+        base = [f"w{rng.randrange(5_000)}" for _ in range(400)]
+        first = 100 * group
+        for i in range(2 + group % 4):
+            text = [*base]
+            for _ in range(4 if i else 0):  # each changes five runs
+                text[rng.randrange(400)] = f"x{rng.randrange(10**6)}"
+            rows.append((first + i, " ".join(text)))
+            expected[first + i] = first
+        text = [*base]
+        text[:80] = [f"y{rng.randrange(10**6)}" for _ in range(80)]  # under the threshold
+        rows.append((first + 50, " ".join(text)))
+        expected[first + 50] = first + 50
+    made = neardup.components(docs(spark, rows)).collect()
+    assert {r.doc_id: r.component_id for r in made} == expected

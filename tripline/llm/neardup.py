@@ -10,6 +10,8 @@ alone.  A class carries ``TOKENS`` minwise tokens.
   margin of ``MARGIN`` standard errors), then on full sets; classes already joined in the
   node aren't compared again, so a node of n classes yields fewer than n links.  Nodes of
   later trees are left out if the first ``FIRST_TREES`` have joined all their classes.
+* Long sets: what is compared together is one task's up to ``LIMIT_RUNS`` runs.  Above that
+  the runs are dealt by their hash over tasks, which count what pairs share; counts are added up.
 * Large nodes: a large group of copies around one text may be torn apart by branching.  So
   the middle classes of the leaves that a group fills meet, in blocks, every class of
   the first node that is not joined to them yet.
@@ -43,8 +45,10 @@ TREES = 12
 LIMIT = 1_024
 #: Classes joined by the first trees' nodes need not meet again in the others'.
 FIRST_TREES = 3
-#: A node is small only if its sets hold no more runs than this, too.
+#: Sets that are compared with one another are held by one task if they have no more runs than this.
 LIMIT_RUNS = 4_000_000
+#: A set goes from task to task in pieces of about so many runs.
+PIECE = 65_536
 MARGIN = 4.5
 PIVOTS = 2
 #: So many documents to fetch again are sent to every task; more are joined by shuffle.
@@ -157,8 +161,7 @@ def by_key(key: str, make: Callable[[pa.Table], list[pa.RecordBatch]]):
     return run
 
 
-def _groups(table: pa.Table, key: str) -> list[tuple[int, int]]:
-    values = table[key].to_numpy()
+def _groups(values: np.ndarray) -> list[tuple[int, int]]:
     cuts = np.flatnonzero(values[1:] != values[:-1]) + 1
     return list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(values)], strict=True))
 
@@ -178,10 +181,19 @@ def _parts(linked: np.ndarray) -> np.ndarray:
     return label
 
 
-def _leaf_blocks(percent: int):
-    """Leaf rows (path, root, cls, n, tokens) to blocks of classes that may be linked, and each leaf's middle class."""
+def _likeness(tokens: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The share of equal tokens of all pairs of sets, and which pairs may be similar enough by tokens and sizes."""
     share = percent / 100
     border = share - MARGIN * np.sqrt(share * (1 - share) / TOKENS)
+    like = np.concatenate([(tokens[i : i + 64, None, :] == tokens[None, :, :]).mean(2) for i in range(0, len(n), 64)])
+    fit = np.minimum(n[:, None], n[None, :]) >= share * np.maximum(n[:, None], n[None, :])
+    linked = (like >= border) & fit
+    np.fill_diagonal(linked, False)
+    return like, linked
+
+
+def _leaf_blocks(percent: int):
+    """Leaf rows (path, root, cls, n, tokens) to blocks of classes that may be linked, and each leaf's middle class."""
 
     def make(table: pa.Table) -> list[pa.RecordBatch]:
         table = table.combine_chunks()
@@ -190,12 +202,8 @@ def _leaf_blocks(percent: int):
         tokens = table["tokens"].combine_chunks().flatten().to_numpy().reshape(-1, TOKENS)
         roots, trees = table["root"].to_pylist(), table["tree"].to_numpy()
         blocks, members, kinds, sources = [], [], [], []
-        for low, high in _groups(table, "path"):
-            t, n = tokens[low:high], size[low:high]
-            like = np.concatenate([(t[i : i + 64, None, :] == t[None, :, :]).mean(2) for i in range(0, high - low, 64)])
-            fit = np.minimum(n[:, None], n[None, :]) >= share * np.maximum(n[:, None], n[None, :])
-            linked = (like >= border) & fit
-            np.fill_diagonal(linked, False)
+        for low, high in _groups(table["path"].to_numpy()):
+            like, linked = _likeness(tokens[low:high], size[low:high], percent)
             if not linked.any():
                 continue
             label = _parts(linked)
@@ -223,14 +231,13 @@ def _leaf_blocks(percent: int):
 
 
 def _links(percent: int):
-    """Block rows (block, rep, runs) to links (a, b) confirmed on full sets that join whatever is linked in the block."""
+    """Block rows (block, rep, part, runs) to links (a, b) confirmed on full sets that join whatever is linked in the block."""
 
     def make(table: pa.Table) -> list[pa.RecordBatch]:
         table = table.combine_chunks()
-        reps = table["rep"].to_numpy()
-        runs = [np.frombuffer(r, "<u8") for r in table["runs"].to_pylist()]
+        block, reps, runs = _whole(table, "block")
         left, right = [], []
-        for low, high in _groups(table, "block"):
+        for low, high in _groups(block):
             rest = np.arange(low, high)
             while len(rest):
                 open_, rest = [rest[0]], rest[1:]
@@ -246,6 +253,115 @@ def _links(percent: int):
     return by_key("block", make)
 
 
+def _whole(table: pa.Table, key: str) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """``key``, rep and sorted runs of each set of rows (key, rep, part, runs) sorted by the first three."""
+    names, reps = table[key].to_numpy(), table["rep"].to_numpy()
+    pieces = [np.frombuffer(r, "<u8") for r in table["runs"].to_pylist()]
+    first = np.flatnonzero(np.append([True], (names[1:] != names[:-1]) | (reps[1:] != reps[:-1])))
+    ends = [*first[1:].tolist(), len(pieces)]
+    runs = [
+        pieces[low] if high - low == 1 else np.concatenate(pieces[low:high])
+        for low, high in zip(first.tolist(), ends, strict=True)
+    ]
+    return names[first], reps[first], runs
+
+
+def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces (block, deal, rep, bits, part, runs, others) to rows (share, block, rep, part, runs, others) of 2^deal shares.
+
+    Every set of a block has a row in every share, if only an empty one.
+    """
+    for batch in batches:
+        shares, rows, cuts = [], [], []
+        names = ["block", "deal", "bits", "part", "runs"]
+        for row, (block, deal, bits, part, runs) in enumerate(zip(*[batch[c].to_pylist() for c in names], strict=True)):
+            runs = np.frombuffer(runs, "<u8")
+            low = (part << deal) >> bits
+            high = max(((part + 1) << deal) >> bits, low + 1)
+            at = np.searchsorted(runs, np.arange(low + 1, high).astype(np.uint64) << np.uint64(64 - deal)) if deal else []
+            for share, piece in zip(range(low, high), np.split(runs, at), strict=True):
+                name = blake2b(f"{block} {share}".encode(), digest_size=8).digest()
+                shares.append(int.from_bytes(name, "little", signed=True))
+                rows.append(row)
+                cuts.append(piece.tobytes())
+        rest = [batch[c].take(pa.array(rows, pa.int64())) for c in ("block", "rep", "part", "others")]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(shares, pa.int64()), *rest, pa.array(cuts, pa.binary())],
+            ["share", "block", "rep", "part", "others", "runs"],
+        )
+
+
+def _forest(like: np.ndarray, linked: np.ndarray) -> np.ndarray:
+    """The pairs of a spanning forest of ``linked`` whose likeness is greatest."""
+    weight = np.where(linked, like, -1.0)
+    out = np.zeros_like(linked)
+    left, best, by = np.ones(len(like), bool), np.full(len(like), -1.0), np.full(len(like), -1)
+    for _ in range(len(like)):
+        at = int(np.where(left, best, -2.0).argmax())
+        left[at] = False
+        if by[at] >= 0:
+            out[at, by[at]] = out[by[at], at] = True
+        better = left & (weight[at] > best)
+        best[better], by[better] = weight[at][better], at
+    return out
+
+
+def _candidates(percent: int, forest: bool):
+    """Members (block, rep, n, tokens, component) of blocks to pairs (block, a, b, total) that may be linked and are apart.
+
+    With ``forest`` only as many as can join them all, the likeliest.
+    """
+
+    def make(table: pa.Table) -> list[pa.RecordBatch]:
+        table = table.combine_chunks()
+        reps, size, placed = table["rep"].to_numpy(), table["n"].to_numpy(), table["component"].to_numpy()
+        tokens = table["tokens"].combine_chunks().flatten().to_numpy().reshape(-1, TOKENS)
+        blocks = table["block"].to_numpy()
+        out = [[], [], [], []]
+        for low, high in _groups(blocks):
+            like, linked = _likeness(tokens[low:high], size[low:high].astype(float), percent)
+            linked &= placed[low:high, None] != placed[None, low:high]
+            one, other = np.nonzero(np.triu(_forest(like, linked) if forest else linked))
+            one, other = one + low, other + low
+            for column, values in zip(out, [blocks[one], reps[one], reps[other], size[one] + size[other]], strict=True):
+                column.append(values)
+        arrays = [pa.array(np.concatenate(c), pa.int64()) for c in out]
+        return [pa.RecordBatch.from_arrays(arrays, ["block", "a", "b", "total"])]
+
+    return by_key("block", make)
+
+
+def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shares (share, block, rep, part, others, runs) to the number of runs that each set has in common with its others."""
+
+    def make(table: pa.Table) -> list[pa.RecordBatch]:
+        table = table.combine_chunks()
+        share, reps, runs = _whole(table, "share")
+        pairs = {}
+        for name, block, rep, others in zip(
+            *[table[c].to_pylist() for c in ("share", "block", "rep", "others")], strict=True
+        ):
+            pairs[name, rep] = block, others or []
+        out = [[], [], [], []]
+        for low, high in _groups(share):
+            place = {rep: low + i for i, rep in enumerate(reps[low:high].tolist())}
+            for rep, at in place.items():
+                block, others = pairs[int(share[low]), rep]
+                for other in others:
+                    for column, value in zip(out, (block, rep, other, _common(runs[at], runs[place[other]])), strict=True):
+                        column.append(value)
+        arrays = [pa.array(c, pa.int64()) for c in out]
+        return [pa.RecordBatch.from_arrays(arrays, ["block", "a", "b", "both"])]
+
+    return by_key("share", make)(batches)
+
+
+def _common(one: np.ndarray, other: np.ndarray) -> int:
+    if not len(one) or not len(other):
+        return 0
+    return int((one[np.minimum(np.searchsorted(one, other), len(one) - 1)] == other).sum())
+
+
 def _linked(one: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
     """Which of the other sets are similar enough to ``one``; all sets are sorted."""
     size = np.array([len(o) for o in others])
@@ -287,7 +403,7 @@ def _leaves(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
         )
         sizes = materialize(sizes.where("members > 1"), "node-sizes")
         last = depth >= TOKENS - 1
-        small = F.lit(last) | ((F.col("members") <= LIMIT) & (F.col("runs") <= LIMIT_RUNS))
+        small = F.lit(last) | (F.col("members") <= LIMIT)
         # The same classes often meet in several trees; one of those nodes is enough.
         once = sizes.where(small).groupBy("members", "runs", "who", "whose").agg(F.min(F.struct("tree", "path")).alias("at"))
         leaf = rows.join(once.select("at.path", "members"), "path")
@@ -312,7 +428,10 @@ def _leaves(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cls, rep, runs (full set) of the wanted classes (cls, rep), from the whole texts."""
+    """cls, rep, bits, part, runs of the wanted classes (cls, rep), from the whole texts.
+
+    A set is in 2^bits rows: ``part`` has the runs whose first bits it names.
+    """
     if wanted.count() <= FETCH_BY_BROADCAST:
         wanted = F.broadcast(wanted)
     rows = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep")
@@ -321,23 +440,76 @@ def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
                 found = sets(*text_bytes(part["text"]))
-                same = [class_key(s) == c for s, c in zip(found, part["cls"].to_pylist(), strict=True)]
-                keep = pa.array(same, pa.bool_())
+                which, bits, parts, pieces = [], [], [], []
+                for i, (s, c) in enumerate(zip(found, part["cls"].to_pylist(), strict=True)):
+                    if class_key(s) == c:
+                        some = (max(len(s) - 1, 0) // PIECE).bit_length()
+                        cuts = np.arange(1, 1 << some).astype(np.uint64) << np.uint64(64 - some) if some else []
+                        which += [i] * (1 << some)
+                        bits += [some] * (1 << some)
+                        parts += range(1 << some)
+                        pieces += [piece.tobytes() for piece in np.split(s, np.searchsorted(s, cuts) if some else [])]
+                which = pa.array(which, pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part["cls"].filter(keep),
-                        part["rep"].filter(keep),
-                        pa.array([s.tobytes() for s, k in zip(found, same, strict=True) if k], pa.binary()),
+                        part["cls"].take(which),
+                        part["rep"].take(which),
+                        pa.array(bits, pa.int32()),
+                        pa.array(parts, pa.int32()),
+                        pa.array(pieces, pa.binary()),
                     ],
-                    ["cls", "rep", "runs"],
+                    ["cls", "rep", "bits", "part", "runs"],
                 )
 
-    return rows.mapInArrow(run, "cls binary, rep long, runs binary").dropDuplicates(["cls"])
+    return rows.mapInArrow(run, "cls binary, rep long, bits int, part int, runs binary").dropDuplicates(["cls", "part"])
+
+
+def _confirm(blocks: DataFrame, classes: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join whatever is linked in the blocks (block, cls)."""
+    held = blocks.join(classes.select("cls", "n"), "cls").groupBy("block").agg(F.sum("n").alias("held"))
+    deal = F.length(F.bin(F.expr(f"(held - 1) div {LIMIT_RUNS}")))
+    long = materialize(held.where(F.col("held") > LIMIT_RUNS).select("block", deal.alias("deal")), "long-blocks")
+    if long.isEmpty():
+        return _in_one_task(blocks, full, percent)
+    links = _in_one_task(blocks.join(long, "block", "left_anti"), full, percent)
+    return links.unionByName(_over_tasks(blocks.join(long, "block"), classes, full, percent))
+
 
+def _in_one_task(blocks: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    rows = blocks.join(full, "cls").select("block", "rep", "part", "runs").repartition("block")
+    return rows.sortWithinPartitions("block", "rep", "part").mapInArrow(_links(percent), "a long, b long")
 
-def _confirm(blocks: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    rows = blocks.join(full, "cls").select("block", "rep", "runs")
-    return rows.repartition("block").sortWithinPartitions("block").mapInArrow(_links(percent), "a long, b long")
+
+def _over_tasks(blocks: DataFrame, classes: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """``_confirm`` for blocks (block, deal, cls), whose runs are dealt over 2^deal tasks.
+
+    First the likeliest pairs that could join all of a block, then all pairs still apart.
+    """
+    members = blocks.select("block", "deal", "cls").join(classes, "cls")
+    found = None
+    for forest in (True, False):
+        rows = members.withColumn("component", F.col("rep"))
+        if found is not None:
+            rows = members.join(_placed(classes.select("cls", "rep"), connected(found)), "cls")
+        rows = rows.select("block", "rep", "n", "tokens", "component").repartition("block").sortWithinPartitions("block")
+        pairs = rows.mapInArrow(_candidates(percent, forest), "block long, a long, b long, total long")
+        pairs = materialize(pairs, "long-pairs")
+        if pairs.isEmpty():
+            break
+        others = pairs.groupBy("block", F.col("a").alias("rep")).agg(F.collect_list("b").alias("others"))
+        ends = pairs.select("block", F.explode(F.array("a", "b")).alias("rep")).distinct()
+        sets = members.select("block", "deal", "cls", "rep").join(ends.join(others, ["block", "rep"], "left"), ["block", "rep"])
+        sets = sets.join(full.drop("rep"), "cls").select("block", "deal", "rep", "bits", "part", "others", "runs")
+        shares = sets.mapInArrow(
+            _cut, "share long, block long, rep long, part int, others array<long>, runs binary"
+        )
+        shares = shares.repartition("share").sortWithinPartitions("share", "rep", "part")
+        both = shares.mapInArrow(_shared, "block long, a long, b long, both long")
+        sums = both.groupBy("block", "a", "b").agg(F.sum("both").alias("both")).join(pairs, ["block", "a", "b"])
+        enough = 100 * F.col("both") >= percent * (F.col("total") - F.col("both"))
+        more = sums.where(enough).select("a", "b")
+        found = materialize(more if found is None else found.unionByName(more), "long-links")
+    return found if found is not None else classes.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
 
 
 def components(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -360,13 +532,13 @@ def components(docs: DataFrame, percent: int = 85) -> DataFrame:
     wanted = made.select("cls").unionByName(large.select("cls")).distinct().join(classes.select("cls", "rep"), "cls")
     full = materialize(_fetch(docs, wanted), "full-sets")
     names = classes.select("cls", "rep")
-    links = materialize(_confirm(blocks.where(F.col("tree") < FIRST_TREES), full, percent), "links")
+    links = materialize(_confirm(blocks.where(F.col("tree") < FIRST_TREES), classes, full, percent), "links")
     later = blocks.where(F.col("tree") >= FIRST_TREES).join(_placed(names, connected(links)), "cls")
     apart = later.groupBy("block").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
-    links = links.unionByName(_confirm(later.join(apart.select("block"), "block"), full, percent))
+    links = links.unionByName(_confirm(later.join(apart.select("block"), "block"), classes, full, percent))
     if not large.isEmpty():
         links = materialize(links, "links")
-        links = links.unionByName(_around_pivots(made, large, names, connected(links), full, percent))
+        links = links.unionByName(_around_pivots(made, large, classes, connected(links), full, percent))
     named = _placed(names, connected(links))
     out = sketches.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("cls")).alias("cls"))
     out = out.join(named, "cls", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
@@ -384,9 +556,9 @@ def _placed(names: DataFrame, roots: DataFrame) -> DataFrame:
     return found.select("cls", F.coalesce("root", "rep").alias("component"))
 
 
-def _around_pivots(made, large, names, roots, full, percent: int) -> DataFrame:
+def _around_pivots(made, large, classes, roots, full, percent: int) -> DataFrame:
     """Links of the middle classes of each large node's leaves with its classes not joined to them yet."""
-    placed = _placed(names, roots)
+    placed = _placed(classes.select("cls", "rep"), roots)
     order = Window.partitionBy("block").orderBy(F.desc("leaf"), "cls")
     pivots = (
         made.where("leaf > 0")
@@ -412,7 +584,7 @@ def _around_pivots(made, large, names, roots, full, percent: int) -> DataFrame:
     centres = counts.select("pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k")).select(
         F.xxhash64("pivot", F.col("k").cast("long")).alias("block"), F.col("pivot").alias("cls")
     )
-    return _confirm(members.unionByName(centres), full, percent)
+    return _confirm(members.unionByName(centres), classes, full, percent)
 
 
 def deduplicate(docs: DataFrame, percent: int = 80) -> DataFrame:
