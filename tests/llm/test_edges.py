@@ -393,3 +393,30 @@ def test_near_copies_of_long_texts(spark, monkeypatch):
         expected[first + 50] = first + 50
     made = neardup.components(docs(spark, rows)).collect()
     assert {r.doc_id: r.component_id for r in made} == expected
+
+
+def test_pairs_of_a_crowd_far_from_its_middle(spark, monkeypatch):
+    """Many groups that share most tokens: links between classes that are not near any middle are found, too."""
+    monkeypatch.setattr(neardup, "LIMIT", 16)
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(5_000)}" for _ in range(400)]
+    rows, expected = [], {}
+    for group in range(60):
+        own = [*base]
+        own[:60] = [f"x{rng.randrange(10**6)}" for _ in range(60)]  # pairs of groups are under the threshold
+        for i in range(2):
+            text = [*own]
+            for at in range(80, 80 + 50 * i, 10):  # 5 places of 5 runs each: 371 of 421 runs in common
+                text[at + 1] = f"y{rng.randrange(10**6)}"
+            rows.append((2 * group + i, " ".join(text)))
+            expected[2 * group + i] = 2 * group
+    made = neardup.components(docs(spark, rows)).collect()
+    assert {r.doc_id: r.component_id for r in made} == expected
+
+
+def test_trees_suffice_at_the_depth_reached():
+    assert neardup.trees_for(0, 85) == neardup.TREES
+    assert neardup.TREES <= neardup.trees_for(neardup.DEEPEST, 85) < neardup.trees_for(neardup.DEEPEST, 80) < len(neardup._TURNS)
+    # No two trees take the same tokens in any later turns, as trees did that were one step of another's order.
+    turns = neardup._TURNS[:64]
+    assert len({tuple(sorted(t)) for t in turns.tolist()}) == 64

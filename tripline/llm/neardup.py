@@ -12,13 +12,16 @@ alone.  A class carries ``TOKENS`` minwise tokens.
   later trees are left out if the first ``FIRST_TREES`` have joined all their classes.
 * Long sets: what is compared together is one task's up to ``LIMIT_RUNS`` runs.  Above that
   the runs are dealt by their hash over tasks, which count what pairs share; counts are added up.
-* Large nodes: a large group of copies around one text may be torn apart by branching.  So
-  the middle classes of the leaves that a group fills meet, in blocks, every class of
-  the first node that is not joined to them yet.
+* Crowds: nodes of more than ``LIMIT`` classes at depth ``DEEPEST`` are branched no more,
+  as that would tear large groups apart.  Their classes are compared in hashed parts, then
+  the middle classes of the largest components with all that are not joined to them yet
+  (which only saves work), then all pairs of the crowd that are still apart.
 
-Two classes of similarity s share a node at depth d of a tree with probability s^d, so a
-pair at the threshold is missed by all trees with probability (1 - s^d)^TREES: under 1e-9
-where the first node is small, and 0.002 at depth 5.
+Two classes of similarity s agree in about s * TOKENS tokens, and share a node at depth d
+of a tree if they agree in its first d + 1 tokens.  Trees take tokens in orders of their
+own.  ``TREES`` or more trees are made, until a pair at the threshold is missed by all with
+probability ``MISS`` at most at the depth that was reached; below 1e-9 where first nodes
+are small.  Pairs in large parts of crowds cost the square of what is apart there.
 
 Null and empty texts have no set and are linked with nothing.  Rows without doc_id are
 kept and belong to no component.  Rows that repeat a doc_id are one document.
@@ -28,6 +31,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from hashlib import blake2b
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +46,8 @@ from tripline.session import materialize
 WORDS = 5
 TOKENS = 64
 TREES = 12
+DEEPEST = 3
+MISS = 0.001
 LIMIT = 1_024
 #: Classes joined by the first trees' nodes need not meet again in the others'.
 FIRST_TREES = 3
@@ -50,7 +56,8 @@ LIMIT_RUNS = 4_000_000
 #: A set goes from task to task in pieces of about so many runs.
 PIECE = 65_536
 MARGIN = 4.5
-PIVOTS = 2
+#: Components of a crowd whose middle meets the rest before all pairs apart do.
+PIVOTS = 4
 #: So many documents to fetch again are sent to every task; more are joined by shuffle.
 FETCH_BY_BROADCAST = 500_000
 SLICE_BYTES = 1 << 20
@@ -61,6 +68,8 @@ _STEP, _SHORT = (_rng.integers(0, 1 << 64, 2, np.uint64) | np.uint64(1)).tolist(
 _ORDER = _rng.integers(0, 1 << 64, WORDS, np.uint64) | np.uint64(1)
 _TIMES = _rng.integers(0, 1 << 32, TOKENS, np.uint32) | np.uint32(1)
 _PLUS = _rng.integers(0, 1 << 32, TOKENS, np.uint32)
+#: The tokens that each tree takes, one row a tree; more trees than any similarity from 0.3 on needs.
+_TURNS = np.array([_rng.permutation(TOKENS)[: DEEPEST + 1] for _ in range(2_000)])
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -193,7 +202,10 @@ def _likeness(tokens: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarr
 
 
 def _leaf_blocks(percent: int):
-    """Leaf rows (path, root, cls, n, tokens) to blocks of classes that may be linked, and each leaf's middle class."""
+    """Leaf rows (path, root, tree, cls, n, tokens) to blocks of classes that may be linked.
+
+    And if there is a root, the middle class of each block.  Classes of one ``component``, if given, are not linked.
+    """
 
     def make(table: pa.Table) -> list[pa.RecordBatch]:
         table = table.combine_chunks()
@@ -201,9 +213,12 @@ def _leaf_blocks(percent: int):
         size = table["n"].to_numpy().astype(float)
         tokens = table["tokens"].combine_chunks().flatten().to_numpy().reshape(-1, TOKENS)
         roots, trees = table["root"].to_pylist(), table["tree"].to_numpy()
+        placed = table["component"].to_numpy() if "component" in table.schema.names else None
         blocks, members, kinds, sources = [], [], [], []
         for low, high in _groups(table["path"].to_numpy()):
             like, linked = _likeness(tokens[low:high], size[low:high], percent)
+            if placed is not None:
+                linked &= placed[low:high, None] != placed[None, low:high]
             if not linked.any():
                 continue
             label = _parts(linked)
@@ -215,13 +230,12 @@ def _leaf_blocks(percent: int):
                 members += names
                 kinds += [0] * len(names)
                 sources += [trees[low]] * len(names)
-            # In a leaf that a group of copies fills, the class most like the others is near the group's middle.
-            middle = int(like.mean(1).argmax())
-            if roots[low] is not None and 2 * int(linked[middle].sum()) >= high - low - 1:
-                blocks.append(roots[low])
-                members.append(cls[low + middle])
-                kinds.append(high - low)
-                sources.append(trees[low])
+                # The class most like the others of its part is near the middle of a group.
+                if roots[low] is not None:
+                    blocks.append(roots[low])
+                    members.append(cls[low + int(chosen[like[np.ix_(chosen, chosen)].mean(1).argmax()])])
+                    kinds.append(len(names))
+                    sources.append(trees[low])
         columns = {"block": pa.int64(), "cls": pa.binary(), "leaf": pa.int32(), "tree": pa.int32()}
         values = [blocks, members, kinds, sources]
         arrays = [pa.array(v, t) for v, t in zip(values, columns.values(), strict=True)]
@@ -376,23 +390,43 @@ def _linked(one: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarr
     return out
 
 
-def _leaves(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Small nodes as (path, root, tree, cls), root null if the first node is small; and the large first nodes as (root, cls)."""
+def trees_for(depth: int, percent: int) -> int:
+    """So many trees miss a pair at the threshold with probability ``MISS`` at most, if nodes are ``depth`` deep."""
+    share, most = percent / 100, len(_TURNS)
+    agree = np.array([comb(TOKENS, m) * share**m * (1 - share) ** (TOKENS - m) for m in range(TOKENS + 1)])
+    meet = np.array([comb(m, depth + 1) / comb(TOKENS, depth + 1) for m in range(TOKENS + 1)])
+    enough = [t for t in range(TREES, most) if (agree * (1 - meet) ** t).sum() <= MISS]
+    return enough[0] if enough else most
+
+
+def _leaves(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Small nodes and hashed parts of crowds as (path, root, tree, cls), root null or the crowd; and crowds as (root, cls)."""
+    leaves, crowds, large, depth = _branched(classes, classes, 0, TREES)
+    need = trees_for(depth, percent)
+    if need > TREES:  # classes whose first nodes were all small have met already
+        more, other, _, _ = _branched(large.select("cls").distinct().join(classes, "cls"), classes, TREES, need)
+        leaves, crowds = leaves.unionByName(more), crowds.unionByName(other)
+    return leaves, materialize(crowds, "crowds")
 
-    def token(tree: int, depth: int):
-        return F.element_at("tokens", (tree + depth * 13) % TOKENS + 1)
+
+def _branched(chosen: DataFrame, classes: DataFrame, low: int, high: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Leaves and crowds of trees ``low`` to ``high``, classes in large first nodes (cls), and the depth reached."""
 
     def deeper(depth: int):
-        step = F.element_at("tokens", (F.col("tree") + depth * 13) % TOKENS + 1)
-        return F.xxhash64("path", step)
+        turn = F.array(*[F.lit(int(t)) for t in _TURNS[low:high, depth]])
+        return F.xxhash64("path", F.element_at("tokens", F.element_at(turn, F.col("tree") - low + 1) + 1))
 
     first = [
-        F.struct(F.lit(tree).alias("tree"), F.xxhash64(F.lit(tree), token(tree, 0)).alias("path"))
-        for tree in range(TREES)
+        F.struct(
+            F.lit(tree).alias("tree"),
+            F.xxhash64(F.lit(tree), F.element_at("tokens", int(_TURNS[tree, 0]) + 1)).alias("path"),
+        )
+        for tree in range(low, high)
     ]
-    rows = classes.select(F.explode(F.array(*first)).alias("at"), "cls", "n").select("at.*", "cls", "n")
-    rows = rows.withColumn("root", F.lit(None).cast("long"))
+    rows = chosen.select(F.explode(F.array(*first)).alias("at"), "cls", "n").select("at.*", "cls", "n")
+    none = F.lit(None).cast("long")
     found, large_first, depth = [], None, 0
+    crowds = classes.select(none.alias("root"), "cls").limit(0)
     while True:
         sizes = rows.groupBy("path").agg(
             F.min("tree").alias("tree"),
@@ -402,19 +436,21 @@ def _leaves(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
             F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("whose"),
         )
         sizes = materialize(sizes.where("members > 1"), "node-sizes")
-        last = depth >= TOKENS - 1
-        small = F.lit(last) | (F.col("members") <= LIMIT)
         # The same classes often meet in several trees; one of those nodes is enough.
-        once = sizes.where(small).groupBy("members", "runs", "who", "whose").agg(F.min(F.struct("tree", "path")).alias("at"))
-        leaf = rows.join(once.select("at.path", "members"), "path")
-        if last:  # classes alike in every token are dealt over blocks, which the middle classes join
-            dealt = F.pmod(F.xxhash64("cls"), F.ceil(F.col("members") / (LIMIT // 2)).cast("long"))
-            leaf = leaf.withColumn("path", F.xxhash64("path", dealt))
-        found.append(leaf.select("path", "root", "tree", "cls"))
-        large = sizes.where(~small).select("path")
-        if last or large.isEmpty():
+        once = sizes.groupBy("members", "runs", "who", "whose").agg(F.min(F.struct("tree", "path")).alias("at"))
+        once = once.select("at.path", "members")
+        leaf = rows.join(once.where(F.col("members") <= LIMIT), "path")
+        found.append(leaf.select("path", none.alias("root"), "tree", "cls"))
+        large = sizes.where(F.col("members") > LIMIT).select("path")
+        if large.isEmpty():
+            break
+        if depth == DEEPEST:
+            crowd = rows.join(once.where(F.col("members") > LIMIT), "path")
+            part = F.pmod(F.xxhash64("cls"), F.ceil(F.col("members") / (LIMIT // 2)).cast("long"))
+            found.append(crowd.select(F.xxhash64("path", part).alias("path"), F.col("path").alias("root"), "tree", "cls"))
+            crowds = crowd.select(F.col("path").alias("root"), "cls")
             break
-        rows = rows.join(large, "path").withColumn("root", F.coalesce("root", "path"))
+        rows = rows.join(large, "path")
         if large_first is None:
             rows = large_first = materialize(rows, "large-nodes")
         depth += 1
@@ -423,8 +459,7 @@ def _leaves(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     leaves = found[0]
     for more in found[1:]:
         leaves = leaves.unionByName(more)
-    empty = leaves.select("root", "cls").limit(0)
-    return leaves, (large_first.select("root", "cls") if large_first is not None else empty)
+    return leaves, crowds, (large_first if large_first is not None else rows).select("cls"), depth
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -525,20 +560,22 @@ def components(docs: DataFrame, percent: int = 85) -> DataFrame:
         .agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("tokens").alias("tokens"))
     )
     classes = materialize(classes, "classes")
-    leaves, large = _leaves(classes)
+    leaves, crowds = _leaves(classes, percent)
     rows = leaves.join(classes.select("cls", "n", "tokens"), "cls").repartition("path").sortWithinPartitions("path")
     made = materialize(rows.mapInArrow(_leaf_blocks(percent), "block long, cls binary, leaf int, tree int"), "blocks")
     blocks = made.where("leaf = 0").groupBy("block", "cls").agg(F.min("tree").alias("tree"))
-    wanted = made.select("cls").unionByName(large.select("cls")).distinct().join(classes.select("cls", "rep"), "cls")
+    wanted = made.select("cls").unionByName(crowds.select("cls")).distinct().join(classes.select("cls", "rep"), "cls")
     full = materialize(_fetch(docs, wanted), "full-sets")
     names = classes.select("cls", "rep")
     links = materialize(_confirm(blocks.where(F.col("tree") < FIRST_TREES), classes, full, percent), "links")
     later = blocks.where(F.col("tree") >= FIRST_TREES).join(_placed(names, connected(links)), "cls")
     apart = later.groupBy("block").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
     links = links.unionByName(_confirm(later.join(apart.select("block"), "block"), classes, full, percent))
-    if not large.isEmpty():
+    if not crowds.isEmpty():
         links = materialize(links, "links")
-        links = links.unionByName(_around_pivots(made, large, classes, connected(links), full, percent))
+        links = links.unionByName(_around_pivots(made, crowds, classes, connected(links), full, percent))
+        links = materialize(links, "links")
+        links = links.unionByName(_apart(crowds, classes, connected(links), full, percent))
     named = _placed(names, connected(links))
     out = sketches.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("cls")).alias("cls"))
     out = out.join(named, "cls", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
@@ -556,21 +593,23 @@ def _placed(names: DataFrame, roots: DataFrame) -> DataFrame:
     return found.select("cls", F.coalesce("root", "rep").alias("component"))
 
 
-def _around_pivots(made, large, classes, roots, full, percent: int) -> DataFrame:
-    """Links of the middle classes of each large node's leaves with its classes not joined to them yet."""
+def _around_pivots(made, crowds, classes, roots, full, percent: int) -> DataFrame:
+    """Links of the middle class of each crowd's largest components with its classes not joined to them yet."""
     placed = _placed(classes.select("cls", "rep"), roots)
-    order = Window.partitionBy("block").orderBy(F.desc("leaf"), "cls")
+    held = crowds.join(placed, "cls").groupBy("root", "component").agg(F.count("*").alias("held"))
+    order = Window.partitionBy("root").orderBy(F.desc("held"), "component")
     pivots = (
         made.where("leaf > 0")
-        .groupBy("block", "cls")
-        .agg(F.max("leaf").alias("leaf"))
+        .join(placed, "cls")
+        .groupBy(F.col("block").alias("root"), "component")
+        .agg(F.max(F.struct("leaf", "cls")).alias("best"))
+        .join(held, ["root", "component"])
         .withColumn("place", F.row_number().over(order))
         .where(F.col("place") <= PIVOTS)
-        .join(placed, "cls")
-        .select(F.col("block").alias("root"), F.col("cls").alias("pivot"), F.col("component").alias("of_pivot"))
+        .select("root", F.col("best.cls").alias("pivot"), F.col("component").alias("of_pivot"))
     )
     apart = (
-        large.join(placed, "cls")
+        crowds.join(placed, "cls")
         .join(materialize(pivots, "pivots"), "root")
         .where(F.col("component") != F.col("of_pivot"))
         .select("cls", "pivot")
@@ -587,6 +626,35 @@ def _around_pivots(made, large, classes, roots, full, percent: int) -> DataFrame
     return _confirm(members.unionByName(centres), classes, full, percent)
 
 
+def _apart(crowds, classes, roots, full, percent: int) -> DataFrame:
+    """Links of all pairs of each crowd that are in different components: what is outside the largest one meets all."""
+    rows = materialize(crowds.join(_placed(classes.select("cls", "rep"), roots), "cls"), "crowds")
+    held = rows.groupBy("root", "component").agg(F.count("*").alias("held"))
+    sizes = held.groupBy("root").agg(
+        F.sum("held").alias("members"), F.max(F.struct("held", "component")).alias("most")
+    )
+    sizes = sizes.where(F.col("members") > F.col("most.held")).select(
+        "root",
+        F.col("most.component").alias("main"),
+        F.ceil(F.col("members") / (LIMIT // 2)).alias("parts"),
+        F.ceil((F.col("members") - F.col("most.held")) / (LIMIT // 2)).alias("rest"),
+    )
+    rows = rows.join(materialize(sizes, "crowd-sizes"), "root")
+
+    def dealt(out, own: str, other: str):
+        mine = F.pmod(F.xxhash64("cls", F.lit(7)), F.col(own))
+        return out.select("root", "cls", "component", mine.alias(own), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other))
+
+    outside = dealt(rows.where(F.col("component") != F.col("main")), "rest", "parts")
+    both = outside.unionByName(dealt(rows, "parts", "rest"))
+    both = both.select(F.xxhash64("root", "rest", "parts").alias("path"), "cls", "component").distinct()
+    both = both.join(classes.select("cls", "n", "tokens"), "cls")
+    both = both.withColumn("root", F.lit(None).cast("long")).withColumn("tree", F.lit(0))
+    both = both.repartition("path").sortWithinPartitions("path")
+    made = both.mapInArrow(_leaf_blocks(percent), "block long, cls binary, leaf int, tree int")
+    return _confirm(materialize(made, "blocks").select("block", "cls").distinct(), classes, full, percent)
+
+
 def deduplicate(docs: DataFrame, percent: int = 80) -> DataFrame:
     """``docs`` without the rows that are near copies of a document that stays."""
     gone = components(docs.select("doc_id", "text"), percent).where(~F.col("kept")).select("doc_id").distinct()
