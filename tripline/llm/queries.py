@@ -7,7 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripline.llm import bpe, exact_topk, hnsw, langid, mixing, neardup, pii, quality, textscore, tokenfile, toxicity
+from tripline.llm import (
+    bpe,
+    exact_topk,
+    hardneg,
+    hnsw,
+    jaccard,
+    langid,
+    mixing,
+    neardup,
+    pii,
+    quality,
+    spelling,
+    textscore,
+    tokenfile,
+    toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -116,3 +131,19 @@ def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_near_duplicates")
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op11_spelling_variants")
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op12_jaccard_join", jaccard.SQL)
+def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op13_hard_negatives", hardneg.SQL)
+def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
