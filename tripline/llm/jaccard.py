@@ -47,6 +47,8 @@ from tripline.operators.joins import at_most, join_per_key
 from tripline.session import materialize
 
 PEELS = 2
+#: Sets whose runs are no more than about this are all head; larger ones have so many runs, or a tenth, above the least.
+EXTRA = 64
 PIVOTS = 32
 REGION = 256
 REGION_RUNS = 2_000_000
@@ -65,12 +67,14 @@ def _least_shared(n, percent: int):
 
 
 def head_length(n: int, percent: int) -> int:
-    return min(n, n - _least_shared(n, percent) + max(1, n // 10))
+    least = _least_shared(n, percent)
+    return n - least + max(n // 10, min(least, EXTRA))
 
 
-def _need() -> Column:
+def _need(percent: int) -> Column:
     """The head runs that linked sets share at least, from the size n of either."""
-    return F.greatest(F.lit(1), F.expr("n div 10") - 1)
+    extra = F.greatest(F.expr("n div 10"), F.least(F.expr(f"(n * {percent} + 99) div 100"), F.lit(EXTRA)))
+    return F.greatest(F.lit(1), extra - 1).cast("int")
 
 
 def sketch(docs: DataFrame, percent: int) -> DataFrame:
@@ -102,17 +106,17 @@ def _shared(rows: DataFrame, least: int = 2) -> DataFrame:
     return join_per_key(rows, counts.withColumn("rows", F.col("df")), "run", "rows", small)
 
 
-def blocks(classes: DataFrame) -> DataFrame:
+def blocks(classes: DataFrame, percent: int) -> DataFrame:
     """id, block for the classes (id, n, head) that may link with another; linked ones have one block."""
     rows = classes.select("id", "n", F.explode("head").alias("run"))
     for _ in range(PEELS):
         kept = _shared(rows).groupBy("id").agg(
             F.first("n").alias("n"), F.collect_list(F.struct("df", "run")).alias("held")
         )
-        kept = materialize(kept.where(F.size("held") >= _need()), "shared-heads")
+        kept = materialize(kept.where(F.size("held") >= _need(percent)), "shared-heads")
         rows = kept.select("id", "n", F.explode("held.run").alias("run"))
     # Runs in order of df: the least common that a pair shares is not among the last need - 1.
-    rare = F.slice(F.array_sort("held"), F.lit(1), F.size("held") - _need().cast("int") + 1)
+    rare = F.slice(F.array_sort("held"), F.lit(1), F.size("held") - _need(percent) + 1)
     rows = kept.select("id", F.explode(rare).alias("at")).select("id", F.col("at.run").alias("run"))
     first = rows.groupBy("run").agg(F.min("id").alias("least"), F.count("*").alias("rows")).where("rows > 1")
     first = materialize(first, "first-of-runs")
@@ -381,7 +385,7 @@ def components(docs: DataFrame, percent: int = 80) -> DataFrame:
     # Ids of classes are their least doc_id; of several texts of one doc_id each needs an id of its own.
     classes = known.groupBy("cls").agg(F.min("doc_id").alias("doc"), F.min("n").alias("n"), F.min("head").alias("head"))
     classes = materialize(classes.withColumn("id", F.xxhash64("cls")), "classes")
-    inside = materialize(blocks(classes.select("id", "n", "head")), "blocks")
+    inside = materialize(blocks(classes.select("id", "n", "head"), percent), "blocks")
     wanted = inside.select("id").join(classes.select("id", "doc", "cls"), "id")
     members = materialize(_fetch(docs, materialize(wanted, "wanted")), "members")
     links = materialize(join(inside, members, percent), "links")
