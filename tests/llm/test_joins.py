@@ -198,7 +198,7 @@ def mined(rows, is_anchor):
     return sorted(out)
 
 
-@pytest.mark.parametrize("scale", [1, 2.0**28])
+@pytest.mark.parametrize("scale", [1.0, 2.0**20])
 def test_hard_negatives_edges(spark, monkeypatch, scale):
     monkeypatch.setattr(hardneg, "LEAST_ROWS", 40)
     monkeypatch.setattr(hardneg, "ANCHORS_IN_BLOCK", 3)

@@ -13,10 +13,12 @@ a shorter text is one run.  Documents of equal sets are one class, which goes on
   connect, so no pair is lost between blocks.  Most blocks are a few copies of one text.
 * Regions: a block of over ``REGION`` sets (or ``REGION_RUNS`` runs) is split by ``PIVOTS`` of
   its sets.  Every set of the block measures its distance to all pivots, exactly; its region
-  is that of the nearest one (a Voronoi cell).  A set visits another region if, for each
-  pivot, its distance lies within r of the distances there: by the triangle inequality it
-  links with no set of any region that it doesn't visit.  Regions that are still large split
-  again by pivots of their own; one that its parent's pivots did not halve is cut by hash.
+  is that of the nearest one (a Voronoi cell).  Half of the pivots are those whose runs most
+  sets hold, so copies of one text join through its middle even if they are not near one
+  another.  A set visits another region if, for each pivot, its distance lies within r of the
+  distances there: by the triangle inequality it links with no set of any region that it
+  doesn't visit.  Regions that are still large split again by pivots of their own; one that
+  its parent's pivots did not halve is cut by hash.
 * Join: a region's sets are indexed in one task, and compared with one another and with
   its visitors, which are dealt over several tasks if they are many.
 
@@ -107,7 +109,10 @@ def _shared(rows: DataFrame, least: int = 2) -> DataFrame:
 
 
 def blocks(classes: DataFrame, percent: int) -> DataFrame:
-    """id, block for the classes (id, n, head) that may link with another; linked ones have one block."""
+    """id, block for the classes (id, n, head) that may link with another; linked ones have one block.
+
+    And centre, the mean number of sets that hold a run of the class's: it is highest amid many copies.
+    """
     rows = classes.select("id", "n", F.explode("head").alias("run"))
     for _ in range(PEELS):
         kept = _shared(rows).groupBy("id").agg(
@@ -117,17 +122,19 @@ def blocks(classes: DataFrame, percent: int) -> DataFrame:
         rows = kept.select("id", "n", F.explode("held.run").alias("run"))
     # Runs in order of df: the least common that a pair shares is not among the last need - 1.
     rare = F.slice(F.array_sort("held"), F.lit(1), F.size("held") - _need(percent) + 1)
+    centre = F.aggregate("held", F.lit(0.0), lambda all_, one: all_ + one["df"]) / F.size("held")
+    centres = kept.select("id", centre.alias("centre"))
     rows = kept.select("id", F.explode(rare).alias("at")).select("id", F.col("at.run").alias("run"))
     first = rows.groupBy("run").agg(F.min("id").alias("least"), F.count("*").alias("rows")).where("rows > 1")
     first = materialize(first, "first-of-runs")
     edges = join_per_key(rows, first, "run", "rows", at_most(first, SMALL_ROWS))
     edges = edges.where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
     found = materialize(connected(edges).select(F.col("node").alias("id"), F.col("root").alias("block")), "block-members")
-    return found.unionByName(found.select(F.col("block").alias("id"), "block").distinct())
+    return found.unionByName(found.select(F.col("block").alias("id"), "block").distinct()).join(centres, "id")
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """id, n, runs (sorted, as bytes) of the wanted classes (id, cls), from whole texts."""
+    """id, centre, n, runs (sorted, as bytes) of the wanted classes (doc, id, cls, centre), from whole texts."""
     if at_most(wanted, SMALL_ROWS):
         wanted = F.broadcast(wanted)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string")).join(wanted, "doc")
@@ -140,13 +147,14 @@ def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         part["id"].take(pa.array(mine, pa.int64())),
+                        part["centre"].take(pa.array(mine, pa.int64())),
                         pa.array([len(found[i]) for i in mine], pa.int64()),
                         pa.array([found[i].tobytes() for i in mine], pa.binary()),
                     ],
-                    ["id", "n", "runs"],
+                    ["id", "centre", "n", "runs"],
                 )
 
-    return rows.mapInArrow(run, "id long, n long, runs binary").dropDuplicates(["id"])
+    return rows.mapInArrow(run, "id long, centre double, n long, runs binary").dropDuplicates(["id"])
 
 
 class Index:
@@ -263,10 +271,16 @@ def _dealt(rows: DataFrame, units: DataFrame, first: Column, deal: str) -> DataF
 
 def _split(rows: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """region, id, core, home, apart, linked of rows (region, id, core) by the pivots of their regions."""
-    order = Window.partitionBy("region").orderBy(F.xxhash64("id"), "id")
-    pivots = rows.where("core").join(members.select("id", "n"), "id")
-    pivots = pivots.withColumn("place", F.row_number().over(order)).where(F.col("place") <= PIVOTS)
-    pivots = pivots.withColumn("held", F.sum("n").over(order))
+    region = Window.partitionBy("region")
+    own = rows.where("core").join(members.select("id", "n", "centre"), "id")
+    # Half of them amid the region's copies, which join these at once, and half anywhere.
+    some = [
+        own.withColumn("place", F.row_number().over(region.orderBy(*order))).where(F.col("place") <= PIVOTS // 2)
+        for order in ([F.desc("centre"), "id"], [F.xxhash64("id"), "id"])
+    ]
+    pivots = some[0].unionByName(some[1]).groupBy("region", "id", "core", "n").agg(F.min("place").alias("place"))
+    order = region.orderBy("place", "id")
+    pivots = pivots.withColumn("held", F.sum("n").over(order)).withColumn("place", F.row_number().over(order))
     pivots = pivots.where((F.col("place") == 1) | (F.col("held") <= REGION_RUNS))
     both = rows.withColumn("kind", F.lit(1)).unionByName(
         pivots.select("region", "id", "core").withColumn("kind", F.lit(0))
@@ -386,7 +400,7 @@ def components(docs: DataFrame, percent: int = 80) -> DataFrame:
     classes = known.groupBy("cls").agg(F.min("doc_id").alias("doc"), F.min("n").alias("n"), F.min("head").alias("head"))
     classes = materialize(classes.withColumn("id", F.xxhash64("cls")), "classes")
     inside = materialize(blocks(classes.select("id", "n", "head"), percent), "blocks")
-    wanted = inside.select("id").join(classes.select("id", "doc", "cls"), "id")
+    wanted = inside.select("id", "centre").join(classes.select("id", "doc", "cls"), "id")
     members = materialize(_fetch(docs, materialize(wanted, "wanted")), "members")
     links = materialize(join(inside, members, percent), "links")
     # Classes and documents, so that several texts of one doc_id hang together, and so do copies.
@@ -401,8 +415,9 @@ def components(docs: DataFrame, percent: int = 80) -> DataFrame:
         pairs = found.join(least, "doc_id").select(F.col("group").alias("a"), "b").distinct()
         joined = connected(pairs).select(F.col("node").alias("group"), "root")
         found = found.join(joined, "group", "left").select("doc_id", F.coalesce("root", "group").alias("group")).distinct()
-    least = found.groupBy("group").agg(F.min("doc_id").alias("component"))
-    of_doc = found.join(least, "group").select("doc_id", "component")
+    least = found.groupBy("group").agg(F.min("doc_id").alias("component"), F.count("*").alias("members"))
+    least = materialize(least, "groups")
+    of_doc = join_per_key(found, least, "group", "members", at_most(least, SMALL_ROWS)).select("doc_id", "component")
     out = sketches.select("doc_id", F.col("n").alias("n_shingles")).join(of_doc, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
