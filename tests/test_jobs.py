@@ -15,7 +15,7 @@ RULES = load_rules()
 OPTIONS = ParseOptions(datetime(2024, 11, 1), year=2024)
 
 
-def ssh(second, ip="198.51.100.42", what="Failed password for invalid user admin"):
+def ssh(second, ip="198.51.100.61", what="Failed password for invalid user backup"):
     return f"Jun 10 06:11:{second:02d} web-01 sshd[2010]: {what} from {ip} port 54001 ssh2"
 
 
@@ -40,14 +40,14 @@ def test_ingest_counts(spark, store):
 
 
 def test_analyze_detects_format_and_threat_once(spark, store):
-    feed = spark.createDataFrame([("198.51.100.42", 95)], "ip string, abuse_score int")
+    feed = spark.createDataFrame([("198.51.100.61", 95)], "ip string, abuse_score int")
     job = lambda batch: analyze(
         store, lines(spark, *BRUTE_FORCE), RULES, batch=batch, options=OPTIONS, providers=Providers(reputation=feed)
     )
     result, alerts = job("1")
     (row,) = alerts.collect()
     assert (result.source_type, result.parsed, result.alerts) == ("auth_log", 6, 1)
-    assert (row.mitre_technique, row.technique_name, row.source_ip) == ("T1110", "Brute Force", "198.51.100.42")
+    assert (row.mitre_technique, row.technique_name, row.source_ip) == ("T1110", "Brute Force", "198.51.100.61")
     assert (row.severity, row.enrichment.abuse_score) == ("critical", 95)
     # The same batch again replaces its own output; new lines while open raise nothing.
     assert job("1")[0].alerts == 1
@@ -167,6 +167,8 @@ def test_compaction_keeps_rows_and_leaves_one_folder(spark, store):
     before = sorted(r.event_id for r in store.read("events").collect())
     assert store.compact("events", datetime(2024, 6, 10).date()) == 0
     assert store.compact("events", datetime(2024, 6, 11).date()) == 1
+    assert sorted(r.event_id for r in store.read("events").collect()) == before
+    store.purge("events")
     assert sorted(r.event_id for r in store.read("events").collect()) == before and len(before) == 6
     assert len(store._children(f"{store.root}/events/event_date=2024-06-10")) == 1
 
@@ -174,14 +176,14 @@ def test_compaction_keeps_rows_and_leaves_one_folder(spark, store):
 def test_rule_table_is_replaced_whole(spark, store):
     assert sync_rules(store, RULES[:1]) == (0, 3)
     assert store.read("rules").count() == 6
-    store.write_batch("rules", store.read("rules").limit(0), "version-99999999999999999999-unfinished")
-    (store_folder := f"{store.root}/rules/ingest_batch=version-99999999999999999999-unfinished")
-    store._delete(f"{store_folder}/_SUCCESS")
+    unfinished = f"{store.root}/rules/version-99999999999999999999"
+    store.read("rules").limit(0).write.parquet(unfinished)
+    store._delete(f"{unfinished}/_SUCCESS")
     assert store.read("rules").count() == 6
 
 
 def test_enrichment_held_twice_gives_one_alert(spark, store):
-    feed = spark.createDataFrame([("198.51.100.42", 20)], "ip string, abuse_score int")
+    feed = spark.createDataFrame([("198.51.100.61", 20)], "ip string, abuse_score int")
     providers = Providers(reputation=feed)
     ingest(store, lines(spark, BRUTE_FORCE[0]), "auth_log", RULES, batch="1", options=OPTIONS, providers=providers)
     store.write_batch("enrichment", store.read("enrichment").withColumn("abuse_score", F.lit(95)).withColumn(

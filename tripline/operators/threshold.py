@@ -41,15 +41,21 @@ def threshold_findings(
     return reduce(DataFrame.unionByName, parts)
 
 
-def window_floor(batch: DataFrame, rules: Sequence[ThresholdRule]):
-    """No event before this time can be in a window of a key of ``batch``:
-    a key's window ends at or after its newest event of the batch."""
-    span = max(rule.window_seconds for rule in rules)
-    newest = [
-        batch.where(F.col(key).isNotNull()).groupBy(key).agg(F.max("ts").alias("newest")).select("newest")
-        for key in sorted({rule.group_by for rule in rules})
+def newest_times(events: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """key_field, group_key, newest: the newest time of each value of each of ``fields``."""
+    parts = [
+        _keyed(events, field).groupBy("group_key").agg(F.max("ts").alias("newest")).select(
+            F.lit(field).alias("key_field"), "group_key", "newest"
+        )
+        for field in fields
     ]
-    return reduce(DataFrame.union, newest).agg((F.min("newest") - _seconds(span)).alias("floor"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def window_dates(ends: DataFrame, span: int) -> DataFrame:
+    """day: the dates that windows of ``span`` seconds touch which end at ``newest``."""
+    first, last = F.to_date(F.col("newest") - _seconds(span)), F.to_date("newest")
+    return ends.where("newest IS NOT NULL").select(F.explode(F.sequence(first, last)).alias("day")).distinct()
 
 
 def _evaluate(
@@ -65,8 +71,13 @@ def _evaluate(
     ends = keys
     if batch is not None:
         span = max(rule.window_seconds for rule in rules)
-        floor = keys.agg(F.min("window_end") - _seconds(span)).first()[0]
-        rows = rows.where(F.col("ts") >= F.lit(floor))
+        # As a whole number it does not pass through the driver's time zone.
+        floor = keys.agg(F.unix_micros(F.min("window_end") - _seconds(span))).first()[0]
+        rows = rows.where(F.col("ts") >= F.timestamp_micros(F.lit(floor)))
+        if not small:
+            # A key may be hot in the history and rare in the batch.
+            held = rows.groupBy("group_key").agg(F.count(F.lit(1)).alias("events_seen"))
+            keys = materialize(keys.drop("events_seen").join(held, "group_key"), "keys")
         seen = join_per_key(rows, keys.drop("window_end"), "group_key", "events_seen", small)
         ends = seen.groupBy("group_key").agg(F.max("ts").alias("window_end"), F.count(F.lit(1)).alias("events_seen"))
         ends = materialize(ends, "window-ends")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
-from datetime import timedelta
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +14,7 @@ from tripline.operators.enrich import build_enrichment, newest_enrichment
 from tripline.operators.joins import lookup
 from tripline.operators.parsing import ParseOptions, accepted, parse_lines, parse_mixed, to_events
 from tripline.operators.parsing.sniff import HEAD, sniff_groups, sniff_paths
-from tripline.operators.threshold import window_floor
+from tripline.operators.threshold import newest_times, window_dates
 from tripline.plans.detection import anomaly_scan, detect
 from tripline.rules.model import Rule, ThresholdRule
 from tripline.schemas import ALERT, FINDING
@@ -22,7 +22,7 @@ from tripline.session import materialize
 from tripline.sources.lines import read_lines
 from tripline.sources.registry import new_sources, source_id
 from tripline.sources.rule_table import change_counts, rule_rows, upsert_rules
-from tripline.sources.store import Store
+from tripline.sources.store import Store, buckets
 
 
 MIXED = "mixed"
@@ -134,7 +134,8 @@ def analyze(
         source_name=source_name,
         providers=providers,
     )
-    return result, alert_view(store.read_batch("alerts", batch), newest_enrichment(store.read("enrichment")))
+    alerts = store.read_batch("alerts", batch)
+    return result, alert_view(alerts, _enrichment(store, alerts))
 
 
 def guess_format(lines: DataFrame) -> str | None:
@@ -167,10 +168,10 @@ def process_batch(
     if events.isEmpty():
         store.write_batch("alerts", store.spark.createDataFrame([], ALERT), batch)
         return store.read_batch("alerts", batch)
-    cached = store.read("enrichment", before_batch=batch)
+    cached = store.read("enrichment", before_batch=batch, buckets=buckets(events, F.col("source_ip")))
     fresh = build_enrichment(events, cached, providers.networks, providers.reputation, now=options.stamp)
     store.write_batch("enrichment", fresh, batch)
-    return _raise(store, detect(_history(store, events, rules), rules, events), batch, options.stamp)
+    return _raise(store, detect(_history(store, events, rules, batch), rules, events), batch, options.stamp)
 
 
 def run_anomaly_scan(
@@ -178,7 +179,7 @@ def run_anomaly_scan(
 ) -> DataFrame:
     """Runs the population detectors over the newest stored window; returns the
     new alerts, stored under ``batch``.  Only the window's dates are read."""
-    newest = store.read("events").agg(F.max("event_date")).first()[0]
+    newest = newest_date(store)
     if newest is None:
         findings = store.spark.createDataFrame([], FINDING)
     else:
@@ -188,30 +189,67 @@ def run_anomaly_scan(
     return _raise(store, findings, batch, options.stamp)
 
 
+def newest_date(store: Store) -> date | None:
+    """The newest date of stored events; dates are tried from the newest folder on, which may hold none."""
+    for day in store.dates("events"):
+        if not store.read("events", dates=[day]).isEmpty():
+            return day
+    return None
+
+
 def _raise(store: Store, findings: DataFrame, batch: str, moment) -> DataFrame:
     """Stores alerts for those findings that have none yet, and returns them."""
     findings = materialize(findings, "findings")
-    # Only alerts about the findings' own rules and subjects can suppress them.
+    # Only alerts about the findings' own rules and subjects can suppress them: their buckets are read, no others.
     about = findings.select("rule_key", subject().alias("_subject")).distinct()
-    known = store.read("alerts", before_batch=batch).withColumn("_subject", subject())
+    near = buckets(findings, F.col("rule_key"), subject())
+    known = store.read("alerts", before_batch=batch, buckets=near).withColumn("_subject", subject())
     known = known.join(about, ["rule_key", "_subject"], "left_semi").drop("_subject").select(*ALERT.fieldNames())
-    known = with_current_status(known, store.read("status_log"))
+    known = materialize(known, "known-alerts")
+    triage = store.read("status_log", buckets=buckets(known, F.col("alert_id")))
     alerts = findings_to_alerts(
-        findings, store.read("rules"), newest_enrichment(store.read("enrichment")), known, created_at=moment
+        findings,
+        store.read("rules"),
+        _enrichment(store, findings),
+        with_current_status(known, triage),
+        created_at=moment,
     )
     store.write_batch("alerts", alerts, batch)
     return store.read_batch("alerts", batch)
 
 
-def _history(store: Store, batch: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Stored events that can still matter to the batch's windows.
+def _enrichment(store: Store, rows: DataFrame) -> DataFrame:
+    """What is known of the addresses of ``rows``, one row each; of other addresses perhaps, too."""
+    return newest_enrichment(store.read("enrichment", buckets=buckets(rows, F.col("source_ip"))))
+
 
-    The oldest possible window start is one value; as a literal it prunes date
-    folders and row groups.
+def _history(store: Store, events: DataFrame, rules: list[Rule], batch: str) -> DataFrame:
+    """Stored events that can still matter to the batch's windows, and notes the batch's newest times.
+
+    A key's window ends at its newest event, stored or of the batch.  The newest times are kept
+    by key, so only the dates of those windows are read: a line of last year reads that day of
+    last year, and only if nothing newer of its key is known.
     """
     counting = [rule for rule in rules if rule.enabled and isinstance(rule, ThresholdRule)]
-    floor = window_floor(batch, counting).first()["floor"] if counting else None
-    if floor is None:
-        return batch
-    history = store.read("events", since=floor.date())
-    return history.where((F.col("event_date") >= F.lit(floor).cast("date")) & (F.col("ts") >= F.lit(floor)))
+    if not counting:
+        return events
+    fields = sorted({rule.group_by for rule in counting})
+    keep_newest(store, fields, before_batch=batch)
+    store.write_batch("newest", newest_times(events, fields), batch)
+    own = store.read_batch("newest", batch)
+    key = ["key_field", "group_key"]
+    stored = store.read("newest", buckets=buckets(own, *map(F.col, key))).join(own.select(*key), key, "left_semi")
+    ends = stored.groupBy(*key).agg(F.max("newest").alias("newest"))
+    days = window_dates(ends, max(rule.window_seconds for rule in counting)).collect()
+    return store.read("events", dates=[r.day for r in days]) if days else events
+
+
+def keep_newest(store: Store, fields: list[str], before_batch: str | None = None) -> None:
+    """From now on the newest time of each value of ``fields`` is kept; what is stored already is read once.
+
+    Batches that ``process_batch`` did not see are known only if they were stored before that.
+    """
+    for field in fields:
+        if not store.has_batch("newest", f"all.{field}"):
+            past = newest_times(store.read("events", before_batch=before_batch), [field])
+            store.write_batch("newest", past, f"all.{field}")

@@ -119,6 +119,15 @@ ENRICHMENT = T.StructType(
     ]
 )
 
+NEWEST = T.StructType(
+    [
+        # The newest time of a group key of threshold rules, as of one batch.
+        T.StructField("key_field", T.StringType()),
+        T.StructField("group_key", T.StringType()),
+        T.StructField("newest", T.TimestampType()),
+    ]
+)
+
 RULE = T.StructType(
     [
         T.StructField("rule_id", T.LongType()),

@@ -93,4 +93,4 @@ def batch_name(spark: SparkSession, name: str, batch_id: int) -> str:
 
 def alert_feed(spark: SparkSession, store: Store) -> DataFrame:
     """New alerts, as a stream over the append-only alert table."""
-    return spark.readStream.schema(ALERT).option("recursiveFileLookup", "true").parquet(store.ensure("alerts"))
+    return spark.readStream.schema(ALERT).option("recursiveFileLookup", "true").parquet(store.watch("alerts"))
