@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +23,16 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def release() -> None:
+    """Gives memory that a task no longer uses back to the system, as its worker waits for other tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: what is free is used again by later tasks
+        pass
+
+
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """``batch`` in runs of rows whose ``column`` holds about ``max_bytes`` at most.
 

@@ -31,13 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripline.llm.arrow import int_lists, slices, small_batches, with_columns
+from tripline.llm.arrow import int_lists, release, slices, small_batches, with_columns
 from tripline.session import materialize
 
 PIECE_CHARS = 16_384
 RUN_BYTES = 1_024
-CACHED_PARTS = 120_000
-CACHED_WORDS = 60_000
+#: Parts that a task keeps encoded (about 250 bytes each), and half as many words.
+CACHED = 400_000
 TEXT, START, MORE = 0, 1, 2
 
 # The pre-token pattern of byte-level BPE files of this kind.
@@ -87,15 +87,24 @@ def decoded(table: dict[int, bytes], ids: np.ndarray) -> str:
 
 
 class _Cache(dict):
-    """A dict that computes what it lacks and keeps at most ``limit`` results."""
+    """A dict that computes what it lacks and keeps about ``limit`` results, the ones used last.
+
+    When half of them are new, those become the old generation and the old one goes; an old
+    result that is asked for again is new again.
+    """
 
     def __init__(self, make: Callable[[str], bytes], limit: int):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.half, self.old = make, max(limit // 2, 1), {}
 
     def __missing__(self, key: str) -> bytes:
-        made = self.make(key)
-        if len(self) < self.limit and len(key) < 64:
+        made = self.old.get(key)
+        if made is None:
+            made = self.make(key)
+        if len(key) < 64:
+            if len(self) >= self.half:
+                self.old = self.copy()
+                self.clear()
             self[key] = made
         return made
 
@@ -103,7 +112,7 @@ class _Cache(dict):
 class Encoder:
     """Encodes and decodes in one process; ids are little-endian 32-bit byte strings."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached: int = CACHED):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -125,9 +134,9 @@ class Encoder:
         self.symbols = dict(enumerate(byte_symbols()))
         self.token_bytes = token_bytes(spec)
         self.split = regex.compile(PRETOKENS).findall
-        self.words = _Cache(self._word, CACHED_WORDS)
-        self.parts = _Cache(self._part, CACHED_PARTS)
-        self.heads = _Cache(self._chunk, CACHED_WORDS // 4)
+        self.words = _Cache(self._word, cached // 2)
+        self.parts = _Cache(self._part, cached)
+        self.heads = _Cache(self._chunk, cached // 8)
 
     def encode(self, text: str) -> bytes:
         if not text:
@@ -260,10 +269,10 @@ class Encoder:
         return array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One encoder per Python worker and file."""
-    return Encoder(path)
+@lru_cache(maxsize=1)
+def encoder(path: str, cached: int = CACHED) -> Encoder:
+    """One encoder per Python worker; another file or size takes its place."""
+    return Encoder(path, cached)
 
 
 @lru_cache(maxsize=2)
@@ -273,44 +282,80 @@ def byte_table(path: str) -> dict[int, bytes]:
         return token_bytes(json.load(file))
 
 
-def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", piece_chars: int = PIECE_CHARS) -> DataFrame:
+def encode(
+    df: DataFrame,
+    path: str,
+    text: str = "text",
+    ids: str = "ids",
+    piece_chars: int = PIECE_CHARS,
+    *,
+    keep_text: bool = True,
+    decoded_text: str | None = None,
+    cached: int = CACHED,
+) -> DataFrame:
     """``df`` with ``ids`` array<int> of each whole text.
 
     Texts up to ``piece_chars`` are encoded where they are read.  Longer ones are cut,
     their pieces dealt over all tasks, encoded, and joined again by row.  Null and empty
     texts give an empty array; repeated rows stay; an empty table gives an empty table.
-    A column already called ``ids`` is replaced.
+    A column already called ``ids`` is replaced.  ``decoded_text`` names a column for the text
+    that the ids stand for, made in the same tasks; without ``keep_text`` the text itself is
+    left out (and ``decoded_text`` may take its name).  A task keeps ``cached`` parts.
     """
-    df = small_batches(df).drop(ids)
+    made = [T.StructField(ids, T.ArrayType(T.IntegerType()), False)]
+    if decoded_text is not None:
+        made.append(T.StructField(decoded_text, T.StringType(), False))
+    df = small_batches(df).drop(*[f.name for f in made if f.name != text])
+    rest = [c for c in df.columns if keep_text and c not in [f.name for f in made] or c != text]
     size = F.coalesce(F.length(text), F.lit(0))
-    schema = T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()), False)])
+    schema = T.StructType([*df.select(*map(_quoted, rest)).schema.fields, *made])
+
+    def outputs(coder: Encoder, encoded: list[bytes]) -> dict[str, pa.Array]:
+        columns = {ids: int_lists(encoded)}
+        if decoded_text is not None:
+            columns[decoded_text] = pa.array([coder.decode(np.frombuffer(e, "<u4")) for e in encoded], pa.string())
+        return columns
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path)
+        coder = encoder(path, cached)
         for batch in batches:
             for part in slices(batch, text):
                 texts = part.column(text).to_pylist()
-                yield with_columns(part, **{ids: int_lists([coder.encode(x) if x else b"" for x in texts])})
+                columns = outputs(coder, [coder.encode(x) if x else b"" for x in texts])
+                yield with_columns(part.select(rest), **columns)
+        release()
+
+    def joined_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = encoder(path, cached)
+        for batch in batches:
+            for number, pieces in zip(batch["row_no"].to_pylist(), batch["pieces"], strict=True):
+                parts = pieces.as_py()
+                columns = outputs(coder, [coder.join_all([p["piece_ids"] for p in parts], [p["kind"] for p in parts])])
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *columns.values()], ["row_no", *columns])
+        release()
 
     short = df.where(size <= piece_chars).mapInArrow(whole, schema)
     # Row numbers must not change between the two uses, so the long rows are written once.
     long = materialize(
         df.where(size > piece_chars).select(
-            F.struct(*map(_quoted, df.columns)).alias("row"), F.monotonically_increasing_id().alias("row_no")
+            F.struct(F.lit(1).alias("_"), *map(_quoted, rest)).alias("row"),
+            _quoted(text).alias("long_text"),
+            F.monotonically_increasing_id().alias("row_no"),
         ),
         "long-texts",
     )
-    pieces = long.select("row_no", F.col("row").getField(text).alias("long_text")).mapInArrow(
-        _cutter(path, piece_chars), "row_no long, seq int, kind int, piece string"
+    pieces = long.select("row_no", "long_text").mapInArrow(
+        _cutter(path, piece_chars, cached), "row_no long, seq int, kind int, piece string"
     )
     encoded = pieces.repartition("row_no", "seq").mapInArrow(
-        _piece_encoder(path), "row_no long, seq int, kind int, piece_ids binary"
+        _piece_encoder(path, cached), "row_no long, seq int, kind int, piece_ids binary"
     )
     joined = encoded.groupBy("row_no").agg(
         F.array_sort(F.collect_list(F.struct("seq", "kind", "piece_ids"))).alias("pieces")
     )
-    joined = joined.mapInArrow(_joiner(path, ids), T.StructType([T.StructField("row_no", T.LongType()), schema[ids]]))
-    return short.unionByName(long.join(joined, "row_no").select("row.*", ids))
+    joined = joined.mapInArrow(joined_rows, T.StructType([T.StructField("row_no", T.LongType()), *made]))
+    back = [F.col("row").getField(c).alias(c) for c in rest]
+    return short.unionByName(long.join(joined, "row_no").select(*back, *[_quoted(f.name) for f in made]))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -335,9 +380,9 @@ def _quoted(name: str):
     return F.col(f"`{name}`")
 
 
-def _cutter(path: str, size: int):
+def _cutter(path: str, size: int, cached: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path)
+        coder = encoder(path, cached)
         for batch in batches:
             for number, text in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
                 pieces = coder.cut(text, size)
@@ -354,26 +399,15 @@ def _cutter(path: str, size: int):
     return run
 
 
-def _piece_encoder(path: str):
+def _piece_encoder(path: str, cached: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path)
+        coder = encoder(path, cached)
         for batch in batches:
             made = [coder.piece(p, i) for p, i in zip(batch["piece"].to_pylist(), batch["kind"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch["row_no"], batch["seq"], batch["kind"], pa.array(made, pa.binary())],
                 ["row_no", "seq", "kind", "piece_ids"],
             )
-
-    return run
-
-
-def _joiner(path: str, ids: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path)
-        for batch in batches:
-            for number, pieces in zip(batch["row_no"].to_pylist(), batch["pieces"], strict=True):
-                parts = pieces.as_py()
-                made = coder.join_all([p["piece_ids"] for p in parts], [p["kind"] for p in parts])
-                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), int_lists([made])], ["row_no", ids])
+        release()
 
     return run

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripline.llm.arrow import slices, small_batches, text_bytes
+from tripline.llm.arrow import release, slices, small_batches, text_bytes
 from tripline.llm.components import connected
 from tripline.llm.textscore import lower, sums
 from tripline.session import materialize
@@ -142,6 +142,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                     ],
                     ["doc_id", "n", "cls", "tokens"],
                 )
+        release()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(run, "doc_id long, n long, cls binary, tokens array<int>")
@@ -166,6 +167,8 @@ def by_key(key: str, make: Callable[[pa.Table], list[pa.RecordBatch]]):
             held.append(batch.slice(last))
         if held:
             yield from make(pa.Table.from_batches(held))
+        held = []
+        release()
 
     return run
 
