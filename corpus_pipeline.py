@@ -15,6 +15,10 @@ from tripline.llm.queries import learnable, vocabulary
 from tripline.session import materialize
 
 
+#: Parts that an encoding task keeps: fewer than by itself, as executors have run other stages before.
+CACHED = 60_000
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score passes; the model is learned as for the query of that operator."""
     model = quality.train(learnable(docs, 4, 2), spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -38,9 +42,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, their number, and the text decoded from them."""
-    path = vocabulary()
-    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path).drop("text")
-    return bpe.decode(encoded, path, text="text").withColumn("n_tokens", F.size("ids").cast("long"))
+    rows = docs.select("doc_id", "lang", "source", "text")
+    encoded = bpe.encode(rows, vocabulary(), keep_text=False, decoded_text="text", cached=CACHED)
+    return encoded.withColumn("n_tokens", F.size("ids").cast("long"))
 
 
 STAGES = [
