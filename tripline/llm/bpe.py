@@ -18,6 +18,7 @@ tree.  Null text is empty text.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 from array import array
@@ -241,7 +242,12 @@ class Encoder:
 
     def _part(self, part: str) -> bytes:
         """A part that follows one space."""
-        if part.isalpha() and max(part) < _LETTERS_END:
+        if part.isascii():
+            if part.isalpha():
+                return self._ids(self.symbols[32] + part) if len(part) < 63 else self._word(" " + part)
+            if part[-1] in ",.;:!?" and part[:-1].isalpha():  # a word and a mark are two pre-tokens
+                return self.parts[part[:-1]] + self.words[part[-1]]
+        elif part.isalpha() and max(part) < _LETTERS_END:
             return self._word(" " + part)
         return self._chunk(" " + part)
 
@@ -272,7 +278,9 @@ class Encoder:
 @lru_cache(maxsize=1)
 def encoder(path: str, cached: int = CACHED) -> Encoder:
     """One encoder per Python worker; another file or size takes its place."""
-    return Encoder(path, cached)
+    made = Encoder(path, cached)
+    gc.freeze()  # a vocabulary stays; collections need not go through it
+    return made
 
 
 @lru_cache(maxsize=2)
