@@ -18,7 +18,6 @@ tree.  Null text is empty text.
 
 from __future__ import annotations
 
-import gc
 import json
 import re
 from array import array
@@ -38,7 +37,7 @@ from tripline.session import materialize
 PIECE_CHARS = 16_384
 RUN_BYTES = 1_024
 #: Parts that a task keeps encoded (about 250 bytes each), and half as many words.
-CACHED = 400_000
+CACHED = 800_000
 TEXT, START, MORE = 0, 1, 2
 
 # The pre-token pattern of byte-level BPE files of this kind.
@@ -242,12 +241,9 @@ class Encoder:
 
     def _part(self, part: str) -> bytes:
         """A part that follows one space."""
-        if part.isascii():
-            if part.isalpha():
-                return self._ids(self.symbols[32] + part) if len(part) < 63 else self._word(" " + part)
-            if part[-1] in ",.;:!?" and part[:-1].isalpha():  # a word and a mark are two pre-tokens
-                return self.parts[part[:-1]] + self.words[part[-1]]
-        elif part.isalpha() and max(part) < _LETTERS_END:
+        if part.isascii() and part.isalpha() and len(part) < 63:
+            return self._ids(self.symbols[32] + part)
+        if part.isalpha() and max(part) < _LETTERS_END:
             return self._word(" " + part)
         return self._chunk(" " + part)
 
@@ -278,9 +274,7 @@ class Encoder:
 @lru_cache(maxsize=1)
 def encoder(path: str, cached: int = CACHED) -> Encoder:
     """One encoder per Python worker; another file or size takes its place."""
-    made = Encoder(path, cached)
-    gc.freeze()  # a vocabulary stays; collections need not go through it
-    return made
+    return Encoder(path, cached)
 
 
 @lru_cache(maxsize=2)
