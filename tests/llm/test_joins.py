@@ -132,7 +132,7 @@ def crowded():
 
 @pytest.mark.parametrize("percent", [80, 60])
 def test_jaccard_regions_split_and_lose_no_link(spark, monkeypatch, percent):
-    for name, value in (("REGION", 12), ("PIVOTS", 4), ("VISITORS", 8), ("MEASURED", 50), ("EXTRA", 6)):
+    for name, value in (("REGION", 12), ("PIVOTS", 4), ("VISITORS", 8), ("MEASURED", 50), ("EXTRA", 6), ("FEW", 1)):
         monkeypatch.setattr(jaccard, name, value)
     texts = crowded()
     rows = jaccard.components(docs(spark, list(texts.items())), percent).collect()

@@ -18,7 +18,7 @@ a shorter text is one run.  Documents of equal sets are one class, which goes on
   another.  A set visits another region if, for each pivot, its distance lies within r of the
   distances there: by the triangle inequality it links with no set of any region that it
   doesn't visit.  Regions that are still large split again by pivots of their own; one that
-  its parent's pivots did not halve is cut by hash.
+  its parent's pivots did not halve, or that is only a little too large, is cut by hash.
 * Join: a region's sets are indexed in one task, and compared with one another and with
   its visitors, which are dealt over several tasks if they are many.
 
@@ -54,6 +54,8 @@ EXTRA = 64
 PIVOTS = 32
 REGION = 256
 REGION_RUNS = 2_000_000
+#: A region that is only so many times too large is cut by hash at once.
+FEW = 4
 #: Visitors of a region that one task compares, and sets of a block that one task measures.
 VISITORS = 512
 MEASURED = 2_048
@@ -175,13 +177,16 @@ class Index:
 
 
 def _measure(percent: int):
-    """Rows (unit, kind, region, id, core, runs), pivots first, to each set's distances and links."""
+    """Rows (unit, kind, region, id, core, homes, runs), pivots first, to each set's distances and links.
+
+    Its home is the nearest of the first ``homes`` pivots.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, pivots, index = None, [], None
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
-            for name, kind, region, id_, core, runs in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for name, kind, region, id_, core, homes, runs in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if name != unit:
                     unit, pivots, index = name, [], None
                 own = np.frombuffer(runs, "<u8")
@@ -194,7 +199,7 @@ def _measure(percent: int):
                 apart = 1 - both / union
                 linked = [pivots[i][0] for i in np.flatnonzero(100 * both >= percent * union) if pivots[i][0] != id_]
                 for column, value in zip(
-                    out, (region, id_, core, int(apart.argmin()), apart.tolist(), linked), strict=True
+                    out, (region, id_, core, int(apart[:homes].argmin()), apart.tolist(), linked), strict=True
                 ):
                     column.append(value)
             types = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.int64())]
@@ -286,9 +291,12 @@ def _split(rows: DataFrame, members: DataFrame, percent: int) -> DataFrame:
         pivots.select("region", "id", "core").withColumn("kind", F.lit(0))
     )
     units = rows.groupBy("region").agg(F.count("*").alias("members"))
-    units = materialize(units.withColumn("deal", F.ceil(F.col("members") / MEASURED)), "measuring-units")
+    # So many regions that they hold somewhat fewer than REGION sets; all pivots narrow what visits them.
+    homes = F.least(F.lit(PIVOTS), F.greatest(F.lit(2), F.ceil(1.5 * F.col("members") / REGION)))
+    units = units.withColumn("deal", F.ceil(F.col("members") / MEASURED)).withColumn("homes", homes.cast("int"))
+    units = materialize(units, "measuring-units")
     dealt = _dealt(both, units, F.col("kind") == 0, "deal").join(members.select("id", "runs"), "id")
-    dealt = dealt.select("unit", "kind", "region", "id", "core", "runs").repartition("unit")
+    dealt = dealt.select("unit", "kind", "region", "id", "core", "homes", "runs").repartition("unit")
     return dealt.sortWithinPartitions("unit", "kind", "id").mapInArrow(_measure(percent), _MEASURED)
 
 
@@ -308,7 +316,8 @@ def _regions(told: DataFrame, members: DataFrame, placed: DataFrame, percent: in
     ).join(most, "region")
     cut = F.ceil(F.greatest(F.col("sets") / REGION, F.col("runs") / REGION_RUNS)).cast("long")
     low, top = (F.array(*[F.col(f"{n}{i}") for i in range(PIVOTS)]) for n in ("low", "top"))
-    cells = cells.withColumn("cuts", F.when(2 * F.col("sets") > F.col("of_parent"), cut).otherwise(1))
+    alike = (2 * F.col("sets") > F.col("of_parent")) | (cut <= FEW)
+    cells = cells.withColumn("cuts", F.when(alike, cut).otherwise(1))
     cells = cells.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("cut"))
     cells = cells.select("region", "main", "of_parent", F.struct(
         F.xxhash64("region", "home", "cut").alias("name"), "home", "cut", "cuts", low.alias("low"), top.alias("top"),
