@@ -7,6 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from test_queries import revealing_terms, term_spans
+
 from tripline.llm import bpe, exact_topk, hnsw, langid, mixing, neardup, pii, quality, tokenfile, toxicity
 from tripline.llm.bpe import Encoder
 from tripline.llm.components import connected
@@ -237,18 +239,44 @@ def test_personal_data_of_odd_texts(spark):
 def test_terms_that_reveal_an_entity(spark):
     rows = [(i, f"report {i} on zorblax by a@b.cd and some other words {i}") for i in range(8)]
     rows += [(100 + i, f"a report on this and some other words by x{i}@y.zz day {i}") for i in range(200)]
-    rows += [(400, "call zorblax at the end or so")]
-    spans = {doc_id: terms for doc_id, _, terms in found(spark, rows)}
-    for i in range(8):
-        start = rows[i][1].index("zorblax")
-        assert spans[i] == [(start, start + 7)]
-    assert not any(spans[i] for i in spans if i >= 100)
-    frame = docs(spark, rows).withColumn("row", F.lit("clash")).withColumn("base_spans", F.lit("clash"))
+    # A rare number in three texts, far from what reveals it, at the ends of the text and with marks.
+    far = "and some other words by day " * 40
+    rows += [(300 + i, f"Quux-Vex {far}{i} +1 (222) 333-4444") for i in range(3)]
+    rows += [(303, f"+1 222 333 4444 {far}(quux-vex)")]
+    rows += [(400, "call Zorblax. quux-vex"), (401, "zorblaxes zorblax1 zorblax@x.yz x.zorblax -zorblax")]
+    # A word of one text, and one of many copies of one text, are no evidence.
+    rows += [(500, "only wibble here c@d.ef"), *[(510 + i, "wobble in copies g@h.ij") for i in range(50)]]
+    rows += [(None, "zorblax"), (None, "zorblax"), (600, None), (601, "")]
+    spans = {}
+    for doc_id, _, terms in found(spark, rows):
+        spans.setdefault(doc_id, []).append(terms)
+    revealing = revealing_terms(t or "" for _, t in rows)
+    assert set(revealing) == {"zorblax", "quux-vex"}
+    for doc_id, text in rows:
+        wanted = [tuple(map(int, s.split(":")[1:])) for s in term_spans(text or "", revealing)]
+        assert all(s == wanted for s in spans[doc_id]), doc_id
+    assert spans[400] == [[(5, 12), (14, 22)]] and spans[401] == [[]] and len(spans[None]) == 2
+    frame = docs(spark, rows).withColumn("row", F.lit("clash")).withColumn("key", F.lit("clash")).withColumn("nearby", F.lit("clash"))
+    assert {(r.row, r.key, r.nearby) for r in pii.find_all(frame).collect()} == {("clash",) * 3}
+    frame = frame.withColumn("base_spans", F.lit("clash"))
     cleaned = pii.redact(frame)
     assert cleaned.columns == frame.columns and {r.base_spans for r in cleaned.collect()} == {"clash"}
     text = {r.doc_id: r.text for r in cleaned.collect()}
     assert text[0] in (f"report 0 on {w} by [EMAIL] and some other words 0" for w in ("[TERM]", ""))
-    assert text[400] == rows[-1][1] and "[EMAIL]" in text[100]
+    assert "orblax" not in text[400] and "quux" not in text[400] and "[EMAIL]" in text[100]
+    assert text[510] == "wobble in copies [EMAIL]" and text[600] is None and text[601] == ""
+
+
+@pytest.mark.parametrize("rows", [0, 100_000])
+def test_disclosing_terms_of_large_tables_of_counts(spark, monkeypatch, rows):
+    monkeypatch.setattr(pii, "BROADCAST_ROWS", rows)
+    # Half of all texts hold one entity, whose term is in all of those and no other.
+    texts = [(i, f"word{i} alpha beta " + ("snark h@i.jk" if i % 2 else "gamma")) for i in range(60)]
+    texts += [(100 + i, f"delta {i} alpha") for i in range(40)]
+    spans = {doc_id: terms for doc_id, _, terms in found(spark, texts)}
+    revealing = revealing_terms(t for _, t in texts)
+    assert set(revealing) == {"snark"}
+    assert [i for i in sorted(spans) if spans[i]] == list(range(1, 60, 2))
 
 
 def test_redaction_of_overlapping_spans(spark):

@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 from conftest import SF_DIR
-from test_queries import base_spans, components
+from test_queries import base_spans, components, revealing_terms, term_spans
 
 from tripline.session import materialize
 
@@ -24,10 +24,11 @@ def test_stages(spark):
     groups = components({k: r.text for k, r in good.items()}, 80)
     assert set(single) == {k for k, (_, root) in groups.items() if k == root}
 
+    revealing = revealing_terms(r.text or "" for r in single.values())
     for k, r in clean.items():
-        spans = base_spans(single[k].text or "")
+        spans = base_spans(single[k].text or "") + term_spans(single[k].text or "", revealing)
         assert (r.text == single[k].text) == (not spans)
-        assert not base_spans(r.text) and r.n_chars == len(r.text)
+        assert not base_spans(r.text) and not term_spans(r.text, revealing) and r.n_chars == len(r.text)
 
     # A document may be taken twice, the second time in part.
     assert all(clean[k].text.startswith(text) for k, text in texts[3])

@@ -3,18 +3,23 @@
 Base spans are leftmost matches of four kinds that do not overlap within a kind; a match
 that fails its kind's test is dropped without another try.  Offsets are code points.
 
-Information-theoretic sanitisation adds spans of kind ``term``.  A term is a word of
-letters within ``CONTEXT`` characters of a base span.  Over all documents,
+Information-theoretic sanitisation adds spans of kind ``term``.  A term is a word of letters
+(hyphens may join its parts) that is not joined to digits, to a mark of addresses or, by a
+full stop, to more of them; so it never overlaps a base span.  Over all different texts,
 
     disclosure(t, e) = PMI(t, e) / IC(e) = log2(n(t, e) N / (n(t) n(e))) / log2(N / n(e))
 
-is the part of entity e's information that term t gives away; n counts documents, n(t, e)
-those where t stands near e.  A pair counts only if it was seen in ``SUPPORT`` different
-contexts, so copies of one passage are no evidence.  From ``GENERALISE`` on a term is
-replaced by a general word, from ``REMOVE`` on it is taken out.
+is the part of entity e's information that term t gives away; n counts texts that hold t, e
+or both, copies of a text once, N all texts.  Chance is ruled out by significance, not by a
+fixed number of texts: were t and e independent, n(t, e) or more joint texts would have a
+probability of at most lambda^n / n! with lambda = n(t) n(e) / N.  That must not exceed
+``ERROR`` divided by the number of pairs of entities and terms that occur twice or more.
+Every occurrence of a disclosing term is marked, in every text, with an entity or without:
+from ``GENERALISE`` on a general word takes its place, from ``REMOVE`` on nothing does.
 
 Null text is empty.  Repeated rows get the same spans.  Empty tables give empty results;
-other columns are carried along, and columns named like results are replaced.
+other columns are carried along whatever their names, and columns named like results are
+replaced.
 """
 
 from __future__ import annotations
@@ -22,12 +27,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tripline.operators.joins import lookup
 from tripline.session import materialize
 
-CONTEXT = 60
-SUPPORT = 5
 GENERALISE = 0.6
 REMOVE = 0.9
+ERROR = 0.01
+#: Tables of counts are broadcast up to so many rows, and shuffled beyond.
+BROADCAST_ROWS = 100_000
 
 #: Kind, what a text must hold for the pattern to be tried, pattern.  Each repetition is
 #: possessive and may start only where no earlier start is possible, so matching is linear
@@ -44,8 +51,10 @@ KINDS = [
 ]
 _PART = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 _IP = rf"^{_PART}(?:\.{_PART}){{3}}$"
-#: A word of letters between white space, perhaps with one mark after it.
-_TERM = r"(?<=\s)\p{L}++(?=[.,;:!?]?\s)"
+_TERM = (
+    r"(?<![\p{L}\p{N}_@.%+-])\p{L}++(?:-\p{L}++)*+"
+    r"(?![\p{L}\p{N}_@%+-]|\.[\p{L}\p{N}._%+@-])"
+)
 _TERMS_IN_BLOCK = 256
 
 _SPAN = "array<struct<kind:string,start:bigint,end:bigint,value:string>>"
@@ -143,107 +152,122 @@ def base_spans(df: DataFrame, text: str = "text", spans: str = "base_spans") ->
     return staged(df, **{spans: F.concat(*parts)}).drop(*found)
 
 
-def _nearby(content: Column, base: Column) -> Column:
-    """For every base span, its terms: entity, context (hash), term, start, end."""
+def _entities() -> Column:
+    """The entities of a row's base spans, numbers without their marks."""
 
-    def around(span: Column) -> Column:
-        low = F.greatest(span["start"] - CONTEXT, F.lit(0))
-        left = F.substring(content, (low + 1).cast("int"), (span["start"] - low).cast("int"))
-        # The border of a word beside the span is seen, that of a word at the far end is not.
-        left = F.concat(left, F.lit(" "))
-        right = F.substring(content, (span["end"] + 1).cast("int"), F.lit(CONTEXT))
-        context = F.xxhash64(left, right)
+    def name(span: Column) -> Column:
+        value = F.when(span["kind"].isin("card", "phone"), _digits(span["value"])).otherwise(F.lower(span["value"]))
+        return F.concat_ws(":", span["kind"], value)
 
-        def terms(part: Column, shift: Column) -> Column:
-            return F.transform(
-                find(part, _TERM),
-                lambda t: F.struct(
-                    F.concat_ws(":", span["kind"], F.lower(span["value"])).alias("entity"),
-                    context.alias("context"),
-                    F.lower(t["value"]).alias("term"),
-                    (t["start"] + shift).alias("start"),
-                    (t["end"] + shift).alias("end"),
-                ),
-            )
+    return F.array_distinct(F.transform("base_spans", name))
 
-        return F.concat(terms(left, low), terms(right, span["end"]))
 
-    return F.flatten(F.transform(base, around))
+def prepared(rows: DataFrame) -> DataFrame:
+    """``rows`` with base spans, key of the text, its distinct terms and a number of the row; written once."""
+    content = F.coalesce(F.col("text"), F.lit(""))
+    terms = F.transform(F.regexp_extract_all(content, F.lit(_TERM), F.lit(0)), F.lower)
+    made = {"key": F.md5(content), "words": F.array_distinct(terms), "row": F.monotonically_increasing_id()}
+    return base_spans(rows).withColumns(made)
 
 
-def with_nearby(df: DataFrame, text: str = "text") -> DataFrame:
-    """Rows with base spans: content key, entities, and the terms near them."""
-    rows = df.where(F.size("base_spans") > 0)
-    return staged(rows, key=F.md5(F.col(text)), nearby=_nearby(F.coalesce(F.col(text), F.lit("")), F.col("base_spans")))
+def disclosures(rows: DataFrame) -> DataFrame:
+    """entity, term, joint, disclosure of the pairs that reach ``GENERALISE`` and are no chance.
 
-
-def disclosures(near: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
-    """entity, term, disclosure of the pairs that reach ``GENERALISE``.
-
-    ``near`` holds the rows of ``docs`` with base spans (``with_nearby``).
+    ``rows`` are those of ``prepared``, written.  Terms and entities are counted before they
+    meet; a pair is made only where its counts can reach the threshold, which leaves out
+    frequent words, and where both occur twice or more, without which no pair is significant.
     """
-    pair = F.explode(F.array_distinct(F.transform("nearby", lambda t: F.struct(t["entity"], t["term"], t["context"]))))
+    firsts = materialize(rows.groupBy("key").agg(F.min("row").alias("row")).select("row"), "pii-firsts")
+    texts = rows.select("row", "key", "base_spans", "words").join(firsts, "row", "left_semi")
+    holding = texts.where(F.size("base_spans") > 0)
+    total = firsts.count()
+    entities = holding.select(F.explode(_entities()).alias("entity")).groupBy("entity")
+    entities = entities.agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= 2)
+    entities = materialize(entities, "pii-entities")
+    n_entities, widest = entities.agg(F.count("*"), F.max(F.when(F.col("n_entity") < total, F.col("n_entity")))).first()
+    if widest is None:
+        return rows.sparkSession.createDataFrame([], "entity string, term string, joint bigint, disclosure double")
+    terms = texts.select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    terms = materialize(terms.where("n_term >= 2"), "pii-terms")
+    n_terms = terms.count()
+
+    def most(n_entity: Column) -> Column:
+        """A term in more texts cannot give away so much of the entity (with room for rounding)."""
+        return F.pow(n_entity / F.lit(float(total)), F.lit(GENERALISE)) * F.lit(total * (1 + 1e-9))
+
+    held = holding.select("key", F.explode(_entities()).alias("entity"))
+    held = lookup(held, entities.where(F.col("n_entity") < total), "entity", BROADCAST_ROWS)
+    held = materialize(held.where("n_entity IS NOT NULL"), "pii-held")
+    beside = holding.join(held.select("key").distinct(), "key", "left_semi")
+    beside = beside.select("key", F.explode("words").alias("term"))
+    able = terms.where(F.col("n_term") <= most(F.lit(widest)))
+    beside = lookup(beside, able, "term", BROADCAST_ROWS).where("n_term IS NOT NULL")
     pairs = (
-        near.select(pair.alias("p"))
-        .groupBy("p.entity", "p.term", "p.context")
-        .agg(F.count("*").alias("docs"))
+        held.join(beside, "key")
+        .where(F.col("n_term") <= most(F.col("n_entity")))
         .groupBy("entity", "term")
-        .agg(F.sum("docs").alias("joint"), F.count("*").alias("contexts"))
-        .where(F.col("contexts") >= SUPPORT)
-    )
-    pairs = materialize(pairs, "pii-pairs")
-    result = "entity string, term string, disclosure double"
-    if pairs.isEmpty():
-        return docs.sparkSession.createDataFrame([], result)
-    entity = F.explode(
-        F.array_distinct(F.transform("base_spans", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))))
+        .agg(F.count("*").alias("joint"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"))
     )
-    entities = near.select(entity.alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    words = F.explode(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_TERM), F.lit(0)), F.lower)))
-    # Counted before they meet the pairs, so a frequent term is one row a task there.
-    terms = docs.select(words.alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    total = docs.count()
-    seen = F.least("joint", "n_term", "n_entity")
+    chance = F.col("n_term") * F.col("n_entity") / F.lit(float(total))
+    joint = F.col("joint").cast("double")
+    # Stirling's formula is below n!, so the bound holds.
+    factorial = joint * F.log(joint) - joint + 0.5 * F.log(2 * F.pi() * joint)
+    allowed = F.log(F.lit(ERROR)) - F.log(F.lit(float(max(n_entities * n_terms, 1))))
     known = F.log2(F.lit(float(total)) / F.col("n_entity"))
-    gain = F.log2(seen * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity")))
     return (
-        pairs.join(entities, "entity")
-        .join(terms, "term")
-        .where(F.col("n_entity") < total)
-        .select("entity", "term", (gain / known).alias("disclosure"))
+        pairs.where(F.col("joint") >= 2)
+        .where(joint * F.log(chance) - factorial <= allowed)
+        .select("entity", "term", "joint", (F.log2(joint / chance) / known).alias("disclosure"))
         .where(F.col("disclosure") >= GENERALISE)
     )
 
 
-def term_spans(near: DataFrame, revealing: DataFrame) -> DataFrame:
-    """key (md5 of a text) and its ``terms``: kind, start, end, value (the disclosure)."""
-    rows = near.select("key", F.explode("nearby").alias("t")).select("key", "t.*")
-    found = rows.join(revealing, ["entity", "term"]).groupBy("key", "start", "end").agg(F.max("disclosure").alias("d"))
+def term_spans(rows: DataFrame, texts: DataFrame, revealing: DataFrame) -> DataFrame:
+    """key (md5 of a text) and its ``terms``: kind, start, end, value (the disclosure).
+
+    ``rows`` are those of ``prepared``, ``texts`` has their keys and texts.  Only texts that
+    hold a disclosing term are searched for where it stands.
+    """
+    worst = revealing.groupBy("term").agg(F.max("disclosure").alias("d"))
+    worst = materialize(worst, "pii-revealing")
+
+    def disclosing(terms: DataFrame) -> DataFrame:
+        return lookup(terms, worst, "term", BROADCAST_ROWS).where("d IS NOT NULL")
+
+    hit = disclosing(rows.select("key", F.explode("words").alias("term"))).select("key").distinct()
+    hit = materialize(hit, "pii-hit")
+    places = texts.join(hit, "key", "left_semi").select("key", F.explode(find(F.col("text"), _TERM)).alias("at"))
+    places = disclosing(places.select("key", F.lower("at.value").alias("term"), "at.start", "at.end"))
+    # Copies of a text give the same places.
+    places = places.groupBy("key", "start", "end").agg(F.first("d").alias("d"))
     span = F.struct(F.lit("term").alias("kind"), "start", "end", F.col("d").cast("string").alias("value"))
-    return found.groupBy("key").agg(F.sort_array(F.collect_list(span)).cast(_SPAN).alias("terms"))
+    return places.groupBy("key").agg(F.sort_array(F.collect_list(span)).cast(_SPAN).alias("terms"))
+
+
+def _numbered(docs: DataFrame, text: str) -> tuple[dict[str, str], DataFrame]:
+    """Other columns go by number meanwhile, so none can clash with those made here."""
+    carried = {c: f"_in_{i}" for i, c in enumerate(docs.columns) if c != text}
+    renamed = [F.col(f"`{c}`").alias(name) for c, name in carried.items()]
+    return carried, docs.select(*renamed, F.col(f"`{text}`").alias("text"))
 
 
 def find_all(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without its text, with ``base_spans`` and ``terms`` (kind, start, end, value)."""
-    kept = [c for c in docs.columns if c not in (text, "base_spans", "terms", "key", "nearby")]
-    spanned = base_spans(docs.select(*kept, text))
-    near = materialize(with_nearby(spanned, text).select(*kept, "base_spans", "key", "nearby"), "pii-near")
-    extra = term_spans(near, disclosures(near, docs, text))
+    carried, rows = _numbered(docs, text)
+    texts = rows.where("text IS NOT NULL").select(F.md5("text").alias("key"), "text")
+    rows = materialize(prepared(rows).drop("text"), "pii-rows")
+    marked = rows.drop("words", "row").join(term_spans(rows, texts, disclosures(rows)), "key", "left")
     none = F.array().cast(_SPAN)
-    with_data = near.join(extra, "key", "left").select(*kept, "base_spans", F.coalesce("terms", none).alias("terms"))
-    without = spanned.where(F.size("base_spans") == 0).select(*kept, "base_spans", none.alias("terms"))
-    return with_data.unionByName(without)
+    kept = [F.col(name).alias(c) for c, name in carried.items() if c not in ("base_spans", "terms")]
+    return marked.select(*kept, "base_spans", F.coalesce("terms", none).alias("terms"))
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every span of its text replaced: base spans by their kind, terms by a general word or nothing."""
-    # Other columns go by number meanwhile, so none can clash with those made here.
-    carried = {c: f"_in_{i}" for i, c in enumerate(docs.columns) if c != text}
-    renamed = [F.col(f"`{c}`").alias(name) for c, name in carried.items()]
-    spanned = base_spans(docs.select(*renamed, F.col(f"`{text}`").alias("text")))
-    near = materialize(with_nearby(spanned).select("base_spans", "key", "nearby"), "pii-near")
-    extra = term_spans(near, disclosures(near, docs, text))
-    rows = spanned.withColumn("key", F.when(F.size("base_spans") > 0, F.md5("text"))).join(extra, "key", "left")
+    carried, rows = _numbered(docs, text)
+    rows = materialize(prepared(rows), "pii-rows")
+    texts = rows.where("text IS NOT NULL").select("key", "text")
+    rows = rows.drop("words", "row").join(term_spans(rows, texts, disclosures(rows)), "key", "left")
     spans = F.array_sort(
         F.transform(
             F.concat("base_spans", F.coalesce("terms", F.array().cast(_SPAN))),
@@ -266,7 +290,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     cleaned = F.aggregate(
         spans, start, replaced, lambda acc: F.concat(acc["out"], F.substring("text", (acc["at"] + 1).cast("int"), F.length("text")))
     )
-    cleaned = F.when(F.size("base_spans") > 0, cleaned).otherwise(F.col("text"))
+    cleaned = F.when(F.size(spans) > 0, cleaned).otherwise(F.col("text"))
     return rows.select(*[cleaned.alias(c) if c == text else F.col(carried[c]).alias(c) for c in docs.columns])
 
 
