@@ -225,6 +225,23 @@ def test_longest_prefix_wins(spark):
     }
 
 
+def test_location_by_either_family(spark):
+    blocks = ["2001:db8::/32", "2001:db8:8::/45", "2001:DB8:a:0::/48", "2001:db8:a::1/128", "::ffff:10.0.0.0/104", "9.0.0.0/8"]
+    networks = spark.createDataFrame(
+        [(c, str(i), "", 0.0, 0.0) for i, c in enumerate(blocks)],
+        "cidr string, country string, city string, latitude double, longitude double",
+    )
+    wanted = {
+        "2001:db8::": "0", "2001:0DB8:ffff:0:0:0:0:1": "0", "2001:db8:f::": "1", "2001:db8:10::": "0",
+        "2001:db8:a::2": "2", "2001:db8:a:0:0:0:0:1": "3", "::ffff:10.1.2.3": "4", "::FFFF:a01:203": "4",
+        "9.1.1.1": "5", "2001:db9::": None, "::": None, "2001:db8:::1": None, "2001:db8": None, "2001:db8:1:2:3:4:5:6:7": None,
+        "1::2::3": None, "2001:db8:1:2:3:4:5:6::": None, "2001:db8::g": None, "2001:db8::12345": None, "": None, "::1.2.3.256": None,
+    }
+    ips = spark.createDataFrame([(ip,) for ip in wanted], "ip string")
+    assert {r.ip: r.country for r in locate(ips, networks).collect()} == wanted
+    assert locate(ips, networks.limit(0)).where("country IS NOT NULL").count() == 0
+
+
 def test_enrichment_is_cached(spark):
     data = events(spark, [event(0, "1.1.1.1"), event(1, "1.1.1.1"), event(2, None), event(3, "2.2.2.2"), event(4, "")])
     cache = spark.createDataFrame([], ENRICHMENT)

@@ -44,6 +44,43 @@ def geo_cidr_join(spark, sf_dir):
     return locate(ips, networks(spark, sf_dir)).select("ip", "country", "city", "latitude", bits)
 
 
+def networks_v6(spark, sf_dir):
+    """One block a part: a /32 around all, /45 over eight third groups, and /48."""
+    n = F.col("p_partkey")
+    wide = F.concat(F.lit("2001:DB8:"), F.hex(n % 8192 * 8), F.lit("::/45"))
+    narrow = F.concat(F.lit("2001:db8:"), F.lower(F.hex(n)), F.lit(":0:0::/48"))
+    cidr = F.when(n == 1, "2001:db8::/32").when((n % 8 == 3) & (n < 8192), wide).when((n % 8 != 3) & (n < 65_536), narrow)
+    blocks = table(spark, sf_dir, "part").withColumn("cidr", cidr).where(F.col("cidr").isNotNull())
+    return blocks.select(
+        "cidr",
+        F.concat(F.lit("Land "), F.col("p_brand")).alias("country"),
+        F.col("p_name").alias("city"),
+        n.cast("double").alias("latitude"),
+        (-n.cast("double")).alias("longitude"),
+    ).unionByName(networks(spark, sf_dir))
+
+
+@query(
+    "geo_cidr_join_v6",
+    """WITH blocks AS (
+      SELECT CASE WHEN p_partkey = 1 THEN 0 WHEN p_partkey % 8 = 3 THEN p_partkey * 8 ELSE p_partkey END AS low,
+             CASE WHEN p_partkey = 1 THEN 32 WHEN p_partkey % 8 = 3 THEN 45 ELSE 48 END AS bits,
+             'Land ' || p_brand AS country, p_name AS city, CAST(p_partkey AS DOUBLE) AS latitude
+      FROM part WHERE p_partkey = 1 OR p_partkey < 8192 OR (p_partkey % 8 <> 3 AND p_partkey < 65536)),
+    addresses AS (SELECT DISTINCT user_id % 65536 AS grp FROM events WHERE user_id >= 0)
+    SELECT '2001:db8:' || lower(to_hex(grp)) || '::' || lower(to_hex(grp)) AS ip,
+           arg_max(country, bits) AS country, arg_max(city, bits) AS city, arg_max(latitude, bits) AS latitude, max(bits) AS bits
+    FROM addresses JOIN blocks ON grp >= low AND grp < low + (1 << (48 - bits)) GROUP BY 1""",
+)
+def geo_cidr_join_v6(spark, sf_dir):
+    """IPv6 addresses of users among blocks of both families; those outside all blocks are left out."""
+    group = F.lower(F.hex(F.col("user_id") % 65_536))
+    ip = F.concat(F.lit("2001:db8:"), group, F.lit("::"), group).alias("ip")
+    ips = table(spark, sf_dir, "events").where("user_id >= 0").select(ip).distinct()
+    bits = F.split("cidr", "/")[1].cast("int").alias("bits")
+    return locate(ips, networks_v6(spark, sf_dir)).where("cidr IS NOT NULL").select("ip", "country", "city", "latitude", bits)
+
+
 @query(
     "enrichment_misses",
     f"""WITH {security_sql()}, {ENRICHMENT_SQL} SELECT DISTINCT dest_ip AS ip FROM sec UNION
