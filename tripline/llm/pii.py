@@ -236,7 +236,21 @@ def term_spans(rows: DataFrame, texts: DataFrame, revealing: DataFrame) -> DataF
 
     hit = disclosing(rows.select("key", F.explode("words").alias("term"))).select("key").distinct()
     hit = materialize(hit, "pii-hit")
-    places = texts.join(hit, "key", "left_semi").select("key", F.explode(find(F.col("text"), _TERM)).alias("at"))
+    # As ``find``, but step by step: of so many matches, none may be sought again for each block of sums.
+    places = staged(
+        texts.join(hit, "key", "left_semi"),
+        found=F.regexp_extract_all("text", F.lit(_TERM), F.lit(0)),
+        between=F.split("text", _TERM, -1),
+    ).drop("text")
+    sizes = F.zip_with(
+        F.slice("between", 1, F.size("found")), "found", lambda a, b: (F.length(a) + F.length(b)).cast("bigint")
+    )
+    places = staged(places, sizes=sizes).drop("between")
+    places = staged(places, ends=running_sums(F.col("sizes"))).drop("sizes")
+    place = F.zip_with(
+        "ends", "found", lambda e, m: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("value"))
+    )
+    places = places.select("key", F.explode(place).alias("at"))
     places = disclosing(places.select("key", F.lower("at.value").alias("term"), "at.start", "at.end"))
     # Copies of a text give the same places.
     places = places.groupBy("key", "start", "end").agg(F.first("d").alias("d"))
