@@ -1,8 +1,14 @@
+from datetime import timedelta
+
+import pandas as pd
 import pytest
 from builders import BASE, event, events
+from pyspark.sql import functions as F
 
 from tripline.rules import load_rules
-from tripline.schemas import EVENT
+from tripline.schemas import EVENT, RAW
+from tripline.session import STATE_STORE
+from tripline.streaming import stateful
 from tripline.streaming.stateful import stateful_threshold
 
 RULES = {rule.key: rule for rule in load_rules()}
@@ -42,3 +48,65 @@ def test_window_in_state(spark, tmp_path, rule, batches, observed):
     assert seen == observed
     ends = {r.window_end for r in spark.read.schema(result.schema).parquet(found).collect()}
     assert all(end >= BASE for end in ends)
+
+
+def test_hot_key_with_times_of_its_own(spark, tmp_path):
+    """A third of all rows on one key, no two at the same time: counted rightly, and summed in bounded pieces."""
+    rows = spark.range(30_000).select(
+        F.col("id").cast("string").alias("event_id"),
+        F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.col("id") * 3_000).alias("ts"),
+        F.when(F.col("id") % 3 == 0, "9.9.9.9").otherwise(F.concat(F.lit("1.0."), (F.col("id") % 200).cast("string"))).alias("source_ip"),
+        F.lit("ssh").alias("protocol"),
+        F.struct(*[F.lit("failed" if f.name == "outcome" else None).cast(f.dataType).alias(f.name) for f in RAW.fields]).alias("raw"),
+    )
+    source, found = str(tmp_path / "in"), str(tmp_path / "found")
+    rows.write.parquet(source)
+    result = stateful_threshold(spark.readStream.schema(rows.schema).parquet(source), RULES["brute_force_ssh"])
+    job = result.writeStream.format("parquet").option("path", found).option("checkpointLocation", str(tmp_path / "state"))
+    job.trigger(availableNow=True).start().awaitTermination()
+    hot = spark.read.schema(result.schema).parquet(found).where("group_key = '9.9.9.9'").collect()
+    # Sixty seconds hold 20,001 events, of which every third is the key's.
+    assert [r.observed for r in hot] == [6_667]
+
+
+def test_summing_holds_no_more_than_it_may(monkeypatch):
+    monkeypatch.setattr(stateful, "HELD_ROWS", 100)
+    batches = [pd.DataFrame({"group_key": "k", "ts_us": range(n, n + 50), "value": None, "n": 1}) for n in range(0, 1_000, 50)]
+    pieces = list(stateful._summing(10_000, False)(iter(batches)))
+    assert max(map(len, pieces)) <= 150 and sum(p["n"].sum() for p in pieces) == 1_000
+    assert [len(p) for p in stateful._summing(10, False)(iter(batches))] == [11]
+
+
+def test_watermark_drops_late_events_and_closes_keys(spark, tmp_path):
+    source, found = str(tmp_path / "in"), str(tmp_path / "found")
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(spark.createDataFrame([], EVENT).select(SLIM).schema).parquet(source)
+    result = stateful_threshold(stream, RULES["brute_force_ssh"], late_by=timedelta(seconds=100))
+    nobody = [event(5_000, None, "ssh", outcome="failed")]
+    # The fifth of the first key comes in time; that of the second key comes when the watermark has passed it.
+    batches = [
+        failed(0, 10, 20, 30) + [event(s, "2.2.2.2", "ssh", outcome="failed") for s in (0, 1, 2, 3)],
+        failed(25) + [event(150, "3.3.3.3", "ssh", outcome="failed")],
+        [event(4, "2.2.2.2", "ssh", outcome="failed")],
+        nobody,
+    ]
+    for batch in batches:
+        events(spark, batch).select(SLIM).coalesce(1).write.mode("append").parquet(source)
+        job = result.writeStream.format("parquet").option("path", found).option("checkpointLocation", str(tmp_path / "state"))
+        run = job.trigger(availableNow=True).start()
+        run.awaitTermination()
+    assert [(r.group_key, r.observed) for r in spark.read.schema(result.schema).parquet(found).collect()] == [("1.1.1.1", 5)]
+    assert sum(s.numRowsTotal for s in run.lastProgress.stateOperators) == 0
+
+
+def test_stateful_settings_are_checked(spark):
+    stream = spark.createDataFrame([], EVENT).select(SLIM)
+    with pytest.raises(ValueError, match="window"):
+        stateful_threshold(stream, RULES["brute_force_ssh"], late_by=timedelta(seconds=1))
+    with pytest.raises(ValueError, match="both"):
+        stateful_threshold(stream, RULES["brute_force_ssh"], timedelta(hours=1), timedelta(hours=1))
+    setting, store = STATE_STORE
+    beside = spark.newSession()
+    beside.conf.set(setting, "other")
+    with pytest.raises(ValueError, match=store):
+        stateful_threshold(beside.createDataFrame([], stream.schema), RULES["brute_force_ssh"])

@@ -8,6 +8,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The state store that streams with maps and timers need.
+STATE_STORE = (
+    "spark.sql.streaming.stateStore.providerClass",
+    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+)
+#: Where a session on one machine notes its folder.
+_LOCAL_SCRATCH = "tripline.scratch.dir"
+
 
 def build_session(app_name: str = "tripline", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators rely on.
@@ -22,6 +30,7 @@ def build_session(app_name: str = "tripline", master: str | None = None, **conf:
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        STATE_STORE[0]: STATE_STORE[1],
         **conf,
     }
     for key, value in settings.items():
@@ -29,18 +38,32 @@ def build_session(app_name: str = "tripline", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
+def state_session(spark: SparkSession) -> SparkSession:
+    """A session beside ``spark`` with its settings and the state store that ``build_session`` sets.
+
+    The settings of ``spark`` stay as they are.
+    """
+    scratch_dir(spark)
+    beside = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(key) or key == _LOCAL_SCRATCH:
+            beside.conf.set(key, value)
+    beside.conf.set(*STATE_STORE)
+    return beside
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     A session on one machine that names none gets a local folder, recorded in
     the session.  On a cluster that would scatter files over executors' disks.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_LOCAL_SCRATCH, None)
     if not configured:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="tripline-")
-        spark.conf.set("spark.checkpoint.dir", configured)
+        spark.conf.set(_LOCAL_SCRATCH, configured)  # Spark does not let its own setting be changed
     return configured.rstrip("/")
 
 

@@ -7,90 +7,80 @@ as soon as a micro-batch has been read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tripline.functions.scoring import threshold_score
 from tripline.operators.selection import group_value, resolve, selection
 from tripline.rules.model import ThresholdRule
+from tripline.session import STATE_STORE
 
+_ROWS = "group_key string, ts_us long, value string, n long"
 _OUT = "group_key string, window_end_us long, observed long"
-_STATE = T.StructType(
-    [
-        T.StructField("window_end_us", T.LongType()),
-        T.StructField("times", T.ArrayType(T.LongType())),
-        T.StructField("values", T.ArrayType(T.StringType())),
-        T.StructField("counts", T.ArrayType(T.LongType())),
-    ]
-)
+#: A window's times are kept in so many slices; a late or old time rewrites one of them.
+SLICES = 64
+#: A task holds about so many summed rows before it hands them on.
+HELD_ROWS = 200_000
 
 
 def stateful_threshold(
-    events: DataFrame, rule: ThresholdRule, forget_after: timedelta | None = None
+    events: DataFrame,
+    rule: ThresholdRule,
+    forget_after: timedelta | None = None,
+    late_by: timedelta | None = None,
 ) -> DataFrame:
     """Keys whose latest window reaches the rule's threshold, per micro-batch.
 
-    The state of a key has one entry per distinct time (and value, for distinct
-    counts) inside its window; events that fell out of the window are dropped,
-    and a late event counts only if it falls inside.  Before rows are dealt by
-    key, each task sums up what it has read of a key and leaves out what the
-    key's newest event there puts outside its window, so a hot key costs its
-    task one window per task, not its rows.  With ``forget_after``, the state of a key
-    that is not seen for so long (by the clock) is dropped; such a stream has no
-    end, so not with an ``availableNow`` trigger.
+    A key's state is its newest time and a map: for counts, slices of the window with the number
+    of events at each time; for distinct counts, the newest time of each value.  Events that fell
+    out of the window are dropped, and a late event counts only if it falls inside.
+
+    Before rows are dealt by key, each task sums up all it reads (``HELD_ROWS`` summed rows at a
+    time) and leaves out what the key's newest event there puts outside its window.  The task of
+    a hot key holds as much at a time, and otherwise one slice or value of the state.
+
+    With ``late_by``, which must be the rule's window or longer, the stream has a watermark:
+    events more than ``late_by`` older than the newest of earlier micro-batches are ignored, and
+    a key's state goes when no event that still counts could meet it.  Events without a key move
+    the watermark, too.  With ``forget_after``, the state of a key that is not seen for so long
+    by the clock is dropped; such a stream has no end, so not with an ``availableNow`` trigger.
+
+    The stream's session needs the state store that ``build_session`` sets.
     """
+    if forget_after is not None and late_by is not None:
+        raise ValueError("state ends by the clock or by the watermark, not by both")
+    if late_by is not None and late_by < timedelta(seconds=rule.window_seconds):
+        raise ValueError("late_by must not be shorter than the rule's window")
+    setting, store = STATE_STORE
+    if events.sparkSession.conf.get(setting, None) != store:
+        raise ValueError(f"set {setting} to {store}")
     key, _ = resolve(events.schema, rule.group_by)
     value = F.lit(None)
     if rule.distinct_field is not None:
         value = group_value(*resolve(events.schema, rule.distinct_field))
-    rows = events.where(key.isNotNull()).select(
+    width, distinct = rule.window_seconds * 1_000_000, rule.distinct_field is not None
+    counted = key.isNotNull() & selection(events.schema, rule.selection)
+    if distinct:
+        counted &= value.isNotNull()
+    rows = (events if late_by is not None else events.where(key.isNotNull())).select(
         key.cast("string").alias("group_key"),
         F.unix_micros("ts").alias("ts_us"),
-        selection(events.schema, rule.selection).alias("selected"),
-        value.cast("string").alias("value"),
+        (value.cast("string") if distinct else F.lit(None).cast("string")).alias("value"),
+        F.coalesce(counted, F.lit(False)).cast("long").alias("n"),
     )
-    width, threshold, distinct = rule.window_seconds * 1_000_000, rule.threshold, rule.distinct_field is not None
-
-    def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            newest = batch.groupby("group_key")["ts_us"].transform("max")
-            # The newest event of a key always goes on: it moves the window even if it does not count.
-            counted = batch["selected"] & (batch["value"].notna() if distinct else True)
-            batch = batch.assign(n=counted.astype("int64"))
-            batch = batch[((batch["ts_us"] >= newest - width) & counted) | (batch["ts_us"] == newest)]
-            yield batch.groupby(["group_key", "ts_us", "value"], dropna=False, as_index=False)["n"].sum()
-
-    def advance(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        end, kept = None, pd.DataFrame({"ts_us": [], "value": [], "n": []})
-        if state.exists:
-            end, times, values, counts = state.get
-            kept = pd.DataFrame({"ts_us": times, "value": values, "n": counts})
-        for batch in batches:
-            newest = int(batch["ts_us"].max())
-            end = newest if end is None else max(end, newest)
-            both = pd.concat([kept, batch.loc[batch["n"] > 0, ["ts_us", "value", "n"]]])
-            both = both[both["ts_us"] >= end - width]
-            kept = both.groupby(["ts_us", "value"], dropna=False, as_index=False)["n"].sum()
-        values = [None if pd.isna(v) else str(v) for v in kept["value"]]
-        state.update((end, [int(t) for t in kept["ts_us"]], values, [int(n) for n in kept["n"]]))
-        if forget_after is not None:
-            state.setTimeoutDuration(int(forget_after.total_seconds() * 1000))
-        observed = int(kept["value"].nunique()) if distinct else int(kept["n"].sum())
-        if observed >= threshold:
-            yield pd.DataFrame({"group_key": [name[0]], "window_end_us": [end], "observed": [observed]})
-
-    sums = rows.mapInPandas(combine, "group_key string, ts_us long, value string, n long")
-    timeout = GroupStateTimeout.NoTimeout if forget_after is None else GroupStateTimeout.ProcessingTimeTimeout
-    reached = sums.groupBy("group_key").applyInPandasWithState(advance, _OUT, _STATE, "append", timeout)
+    sums = rows.where(F.col("ts_us").isNotNull()).mapInPandas(_summing(width, distinct), _ROWS)
+    mode = "none" if forget_after is None else "processingTime"
+    if late_by is not None:
+        delay = f"{late_by // timedelta(milliseconds=1)} milliseconds"
+        sums, mode = sums.withColumn("ts", F.timestamp_micros("ts_us")).withWatermark("ts", delay), "eventTime"
+    keeper = _Window(width, rule.threshold, distinct, mode, forget_after and forget_after // timedelta(milliseconds=1))
+    reached = sums.groupBy("group_key").transformWithStateInPandas(keeper, _OUT, "Append", mode)
     return reached.select(
         F.lit(rule.key).alias("rule_key"),
         "group_key",
@@ -98,3 +88,143 @@ def stateful_threshold(
         "observed",
         threshold_score(F.col("observed"), rule.threshold).alias("score"),
     )
+
+
+def _summing(width: int, distinct: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def shorten(rows: pd.DataFrame) -> pd.DataFrame:
+        newest = rows.groupby("group_key", dropna=False)["ts_us"].transform("max")
+        # The newest event of a key always goes on: it moves the window even if it does not count.
+        ends = rows[(rows["ts_us"] == newest) & (rows["n"] == 0)].drop_duplicates("group_key")
+        inside = rows[(rows["n"] > 0) & (rows["ts_us"] >= newest - width)]
+        if distinct:
+            inside = inside.groupby(["group_key", "value"], as_index=False)["ts_us"].max().assign(n=1)
+        else:
+            inside = inside.groupby(["group_key", "ts_us"], as_index=False)["n"].sum().assign(value=None)
+        columns = ["group_key", "ts_us", "value", "n"]
+        return pd.concat([inside[columns], ends[columns].assign(value=None)])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            held.append(shorten(batch))
+            if sum(map(len, held)) > HELD_ROWS:
+                held = [shorten(pd.concat(held))]
+                if len(held[0]) > HELD_ROWS // 2:
+                    yield held.pop()
+        if held:
+            yield shorten(pd.concat(held))
+
+    return run
+
+
+class _Window(StatefulProcessor):
+    """The last window of one key."""
+
+    def __init__(self, width: int, threshold: int, distinct: bool, mode: str, forget_ms: int | None):
+        self.width, self.threshold, self.distinct, self.mode, self.forget_ms = width, threshold, distinct, mode, forget_ms
+        self.step = max(1, width // SLICES)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.head = handle.getValueState("head", "end_us long, timer_ms long")
+        if self.distinct:
+            self.map = handle.getMapState("values", "value string", "seen_us long")
+        else:
+            self.map = handle.getMapState("slices", "slice long", "times array<long>, counts array<long>, total long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        end, timer = self.head.get() or (None, None)
+        oldest = timerValues.getCurrentWatermarkInMs() * 1000 if self.mode == "eventTime" else None
+        held: list[pd.DataFrame] = []
+        seen = False
+        for batch in rows:
+            if oldest is not None:
+                batch = batch[batch["ts_us"] >= oldest]
+            if key[0] is None or not len(batch):
+                continue
+            newest, seen = int(batch["ts_us"].max()), True
+            end = newest if end is None else max(end, newest)
+            held.append(batch.loc[(batch["n"] > 0) & (batch["ts_us"] >= end - self.width), ["ts_us", "value", "n"]])
+            if sum(map(len, held)) > HELD_ROWS:
+                self._add(pd.concat(held))
+                held = []
+        if not seen:
+            return
+        if held:
+            self._add(pd.concat(held))
+        observed = self._observed(end - self.width)
+        self.head.update((end, self._set_timer(end, timer, timerValues)))
+        if observed >= self.threshold:
+            yield pd.DataFrame({"group_key": [key[0]], "window_end_us": [end], "observed": [observed]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.map.clear()
+        self.head.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+    def _set_timer(self, end: int, timer: int | None, now) -> int | None:
+        """The time at which the key's state goes, in place of the one that was set before."""
+        if self.mode == "none":
+            return None
+        if self.mode == "eventTime":
+            # An event that still counts, at the watermark or later, reaches back no further than the window.
+            due = (end + self.width) // 1000 + 1
+        else:
+            due = now.getCurrentProcessingTimeInMs() + self.forget_ms
+        if due != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(due)
+        return due
+
+    def _add(self, rows: pd.DataFrame) -> None:
+        if self.distinct:
+            for value, seen in rows.groupby("value")["ts_us"].max().items():
+                known = self.map.getValue((value,))
+                if known is None or known[0] < seen:
+                    self.map.updateValue((value,), (int(seen),))
+            return
+        for number, part in rows.groupby(rows["ts_us"] // self.step):
+            at = (int(number),)
+            times, counts = part["ts_us"].to_numpy(np.int64), part["n"].to_numpy(np.int64)
+            old = self.map.getValue(at)
+            if old is not None:
+                times, counts = np.concatenate([old[0], times]), np.concatenate([old[1], counts])
+            self._put(at, times, counts)
+
+    def _put(self, at: tuple, times: np.ndarray, counts: np.ndarray) -> int:
+        each, place = np.unique(times.astype(np.int64), return_inverse=True)
+        sums = np.zeros(len(each), np.int64)
+        np.add.at(sums, place, counts.astype(np.int64))
+        self.map.updateValue(at, (each.tolist(), sums.tolist(), int(sums.sum())))
+        return int(sums.sum())
+
+    def _observed(self, start: int) -> int:
+        """What the window from ``start`` holds; what is older goes."""
+        if self.distinct:
+            gone, observed = [], 0
+            for value, seen in self.map.iterator():
+                if seen[0] < start:
+                    gone.append(value)
+                else:
+                    observed += 1
+            for value in gone:
+                self.map.removeKey(tuple(value))
+            return observed
+        observed, first = 0, start // self.step
+        totals = [(tuple(at), row[2]) for at, row in self.map.iterator()]
+        for at, total in totals:
+            if at[0] < first:
+                self.map.removeKey(at)
+            elif at[0] == first:
+                times, counts = (np.array(a, np.int64) for a in self.map.getValue(at)[:2])
+                if (times >= start).any():
+                    observed += self._put(at, times[times >= start], counts[times >= start])
+                else:
+                    self.map.removeKey(at)
+            else:
+                observed += total
+        return observed
