@@ -6,6 +6,7 @@ from tripline.operators.parsing.dispatch import (
     parse_lines,
     parse_mixed,
     register_format,
+    sort_out,
     supported_formats,
     to_events,
 )
@@ -20,6 +21,7 @@ __all__ = [
     "sniff_files",
     "sniff_groups",
     "sniff_paths",
+    "sort_out",
     "supported_formats",
     "to_events",
 ]

@@ -12,7 +12,7 @@ from tripline.operators.parsing.auth import parse_auth
 from tripline.operators.parsing.common import ParseOptions
 from tripline.operators.parsing.eve import parse_eve
 from tripline.operators.parsing.generic import parse_generic
-from tripline.schemas import EVENT, PARSED
+from tripline.schemas import EVENT, PARSED, REJECT
 
 # A parser adds ``recognized`` and the parsed columns (null when the line is not
 # its own), computed from a text column; that column may be null.
@@ -86,6 +86,30 @@ def to_events(
     )
 
 
+def sort_out(
+    parsed: DataFrame, options: ParseOptions, *, batch: str, source_id: Column, source_type: Column
+) -> DataFrame:
+    """The rows of the event table, and those of the rejects table with a ``reason``, in one pass.
+
+    Lines that are not of their format are in neither.  Event columns of rejects are null, and the reverse.
+    """
+    refused = F.coalesce(F.col("recognized"), F.lit(False)) & F.col("reject_reason").isNotNull()
+    event_id = F.concat(F.lit(f"{batch}-"), F.lower(F.hex(F.monotonically_increasing_id())))
+    columns = {
+        **{f.name: F.when(~refused, F.col(f.name)) for f in PARSED.fields},
+        "event_id": F.when(~refused, event_id),
+        "line": F.when(refused, F.col("line")),
+        "reason": F.col("reject_reason"),
+        "source_type": F.when(refused, source_type),
+        "source_id": source_id,
+        "ingest_ts": options.stamp,
+        "event_date": F.to_date(F.when(refused, options.stamp).otherwise(F.col("ts"))),
+    }
+    fields = {f.name: f for f in [*EVENT.fields, *REJECT.fields]}
+    kept = parsed.where(accepted() | refused).select(*[c.alias(name) for name, c in columns.items()])
+    return kept.select(*[F.col(name).cast(f.dataType).alias(name) for name, f in fields.items()])
+
+
 def accepted() -> Column:
     """Holds for parsed lines that become events."""
     return F.coalesce(F.col("recognized"), F.lit(False)) & F.col("reject_reason").isNull()

@@ -35,9 +35,15 @@ def alert_by_id(alerts: DataFrame, alert_id: str) -> DataFrame:
 
 
 def live_feed(arrivals: DataFrame, cap: int = 15) -> DataFrame:
-    """The newest ``cap`` alerts, the last version of each alert id only."""
+    """The newest ``cap`` alerts, the last version of each alert id only.
+
+    The newest ids are found from two narrow columns; whole rows are read of those few only.
+    """
+    times = arrivals.groupBy("alert_id").agg(F.max("created_at").alias("created_at"))
+    wanted = _newest(times).limit(cap).select("alert_id")  # never more than ``cap`` rows, so it is broadcast
+    few = arrivals.join(F.broadcast(wanted), "alert_id", "left_semi")
     version = F.struct("created_at", "updated_at", *[c for c in arrivals.columns if c not in ("created_at", "updated_at")])
-    last = arrivals.groupBy("alert_id").agg(F.max_by(F.struct(*arrivals.columns), version).alias("last"))
+    last = few.groupBy("alert_id").agg(F.max_by(F.struct(*arrivals.columns), version).alias("last"))
     return _newest(last.select("last.*")).limit(cap)
 
 

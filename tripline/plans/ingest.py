@@ -6,13 +6,13 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tripline.operators.alerts import alert_view, findings_to_alerts, subject, with_current_status
 from tripline.operators.enrich import build_enrichment, newest_enrichment
 from tripline.operators.joins import lookup
-from tripline.operators.parsing import ParseOptions, accepted, parse_lines, parse_mixed, to_events
+from tripline.operators.parsing import ParseOptions, accepted, parse_lines, parse_mixed, sort_out
 from tripline.operators.parsing.sniff import HEAD, sniff_groups, sniff_paths
 from tripline.operators.threshold import newest_times, window_dates
 from tripline.plans.detection import anomaly_scan, detect
@@ -91,7 +91,7 @@ def ingest(
         F.count_if(F.col("reject_reason").isNotNull()).alias("rejected"),
     )
     own_source = source_id(F.col("file_name") if by_file else F.lit(source_name).cast("string"))
-    store.write_batch("events", to_events(parsed, options, batch=batch, source_id=own_source), batch)
+    store_parsed(store, parsed, options, batch=batch, source_id=own_source, source_type=F.col("source_type") if mixed else F.lit(source_type))
     counts = seen.get
 
     alerts = process_batch(store, rules, batch=batch, options=options, providers=providers)
@@ -109,6 +109,15 @@ def ingest(
     )
 
 
+def store_parsed(
+    store: Store, parsed: DataFrame, options: ParseOptions, *, batch: str, source_id: Column, source_type: Column
+) -> None:
+    """Stores parsed lines in one pass: events, and rejected lines with their reason."""
+    rows = sort_out(parsed, options, batch=batch, source_id=source_id, source_type=source_type)
+    refused = F.col("reason").isNotNull()
+    store.write_split(rows, {"events": ~refused, "rejects": refused}, batch)
+
+
 def analyze(
     store: Store,
     lines: DataFrame,

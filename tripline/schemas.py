@@ -62,6 +62,18 @@ EVENT = T.StructType(
     ]
 )
 
+#: Lines of a format whose time cannot be read; ``event_date`` is the date they came in.
+REJECT = T.StructType(
+    [
+        T.StructField("line", T.StringType()),
+        T.StructField("reason", T.StringType()),
+        T.StructField("source_type", T.StringType()),
+        T.StructField("source_id", T.LongType()),
+        T.StructField("ingest_ts", T.TimestampType()),
+        T.StructField("event_date", T.DateType()),
+    ]
+)
+
 FINDING = T.StructType(
     [
         T.StructField("rule_key", T.StringType()),

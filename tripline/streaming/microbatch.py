@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from tripline.operators.parsing import ParseOptions, parse_lines, to_events
-from tripline.plans.ingest import Providers, process_batch
+from tripline.operators.parsing import ParseOptions, parse_lines
+from tripline.plans.ingest import Providers, process_batch, store_parsed
 from tripline.rules.model import Rule
 from tripline.schemas import ALERT
 from tripline.sources.lines import to_lines
@@ -53,8 +53,7 @@ def detect_stream(
         named = store.spark.createDataFrame([(name, source_type)], "name string, type string")
         store.write_batch("log_sources", new_sources(named, store.read("log_sources", before_batch=batch)), batch)
         parsed = parse_lines(batch_lines, source_type, moment)
-        stamped = to_events(parsed, moment, batch=batch, source_id=source_id(F.lit(name)))
-        store.write_batch("events", stamped, batch)
+        store_parsed(store, parsed, moment, batch=batch, source_id=source_id(F.lit(name)), source_type=F.lit(source_type))
         process_batch(store, rules, batch=batch, options=moment, providers=providers)
 
     return lines.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)

@@ -32,43 +32,50 @@ def _folder(spark) -> str:
     return f"{scratch_dir(spark)}/tripline-job-{uuid.uuid4().hex}"
 
 
+USERS_A_FILE = 150
 #: Which format an event's line has in the files.
 _FORMAT = "CASE user_id % 3 WHEN 0 THEN 'auth_log' WHEN 1 THEN 'nginx' ELSE 'suricata' END"
 
 
 def _files(spark, sf_dir) -> str:
-    """A folder of logs in three formats, and blank lines between."""
+    """Folders of logs in three formats, a file for so many users, and blank lines between."""
     folder, user = _folder(spark), F.col("user_id")
     line = F.when(user % 3 == 0, auth_line()).when(user % 3 == 1, access_line()).otherwise(eve_line())
-    rows = base(spark, sf_dir).select(F.expr(_FORMAT).alias("format"), line.alias("line")).where("line IS NOT NULL")
+    part = F.expr(f"user_id div {USERS_A_FILE}").alias("part")
+    rows = base(spark, sf_dir).select(F.expr(_FORMAT).alias("format"), part, line.alias("line")).where("line IS NOT NULL")
     for format_ in ("auth_log", "nginx", "suricata"):
-        text = rows.where(F.col("format") == format_).select(F.concat("line", F.lit("\n\n")).alias("value"))
-        text.coalesce(1).write.text(f"{folder}/{format_}")
-    return folder
+        text = rows.where(F.col("format") == format_).select("part", F.concat("line", F.lit("\n\n")).alias("value"))
+        text.repartition("part").write.partitionBy("part").text(f"{folder}/{format_}")
+    return f"{folder}/*/*"
 
 
-_WRITTEN = f"written AS (SELECT {_FORMAT} AS format, event_type, event_id FROM base)"
+_WRITTEN = f"written AS (SELECT {_FORMAT} AS format, event_type, event_id, user_id FROM base)"
+_FOLDER = "/([a-z_]+)/part=[^/]*/[^/]+$"
 #: Whether the line is an event of its format, with a time that can be read.
 _EVENT = """event_type <> 'purchase' AND (format <> 'auth_log' OR event_id % 50 <> 1) AND (format <> 'suricata' OR event_type <> 'view')"""
 
 
-@query("file_lines", f"WITH {BASE}, {_WRITTEN} SELECT format, count(*) AS lines, 1 AS files FROM written GROUP BY format")
+@query(
+    "file_lines",
+    f"""WITH {BASE}, {_WRITTEN} SELECT format, count(*) AS lines, count(DISTINCT user_id // {USERS_A_FILE}) AS files
+    FROM written GROUP BY format""",
+)
 def file_lines(spark, sf_dir):
     """Lines of a folder of files, with the file that each came from."""
-    rows = read_lines(spark, f"{_files(spark, sf_dir)}/*")
-    format_ = F.regexp_extract("file_path", "/([a-z_]+)/[^/]+$", 1)
+    rows = read_lines(spark, _files(spark, sf_dir))
+    format_ = F.regexp_extract("file_path", _FOLDER, 1)
     return rows.groupBy(format_.alias("format")).agg(
-        F.count(F.lit(1)).alias("lines"), F.count_distinct("file_name").cast("int").alias("files")
+        F.count(F.lit(1)).alias("lines"), F.count_distinct("file_path").alias("files")
     )
 
 
 @query("file_formats", f"WITH {BASE}, {_WRITTEN} SELECT DISTINCT format, format AS told FROM written")
 def file_formats(spark, sf_dir):
     """The format of each file of a folder, from its head."""
-    told = sniff_paths(spark, f"{_files(spark, sf_dir)}/*")
+    told = sniff_paths(spark, _files(spark, sf_dir))
     return told.select(
-        F.regexp_extract("file_path", "/([a-z_]+)/[^/]+$", 1).alias("format"), F.col("source_type").alias("told")
-    )
+        F.regexp_extract("file_path", _FOLDER, 1).alias("format"), F.col("source_type").alias("told")
+    ).distinct()
 
 
 @query(
@@ -78,11 +85,28 @@ def file_formats(spark, sf_dir):
 def file_sources(spark, sf_dir):
     """Files of several formats taken in by one job: each file is a source, and events name theirs."""
     store = Store(spark, _folder(spark))
-    lines = read_any(spark, f"{_files(spark, sf_dir)}/*")
+    lines = read_any(spark, _files(spark, sf_dir))
     ingest(store, lines, "mixed", [], batch="first", options=OPTIONS)
     events, sources = store.read("events"), store.read("log_sources")
     per_source = events.groupBy("source_id").agg(F.count(F.lit(1)).alias("events"))
-    return per_source.join(sources, "source_id").select("type", "events")
+    return per_source.join(sources, "source_id").groupBy("type").agg(F.sum("events").alias("events"))
+
+
+@query(
+    "file_rejects",
+    f"""WITH {BASE}, {_WRITTEN} SELECT format AS type, 'unreadable timestamp' AS reason, count(*) AS rejected FROM written
+    WHERE event_type <> 'purchase' AND format = 'auth_log' AND event_id % 50 = 1 GROUP BY format""",
+)
+def file_rejects(spark, sf_dir):
+    """What a job had to refuse, per source and reason; the batch is run twice and replaces its own rows."""
+    store = Store(spark, _folder(spark))
+    lines = read_any(spark, _files(spark, sf_dir))
+    for _ in range(2):
+        ingest(store, lines, "mixed", [], batch="first", options=OPTIONS)
+    refused, sources = store.read("rejects"), store.read("log_sources")
+    per_source = refused.groupBy("source_id", "reason").agg(F.count(F.lit(1)).alias("rejected"))
+    per_type = per_source.join(sources, "source_id").groupBy("type", "reason")
+    return per_type.agg(F.sum("rejected").alias("rejected"))
 
 
 @query(
