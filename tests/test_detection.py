@@ -5,8 +5,8 @@ from builders import BASE, burst, event, events
 from conftest import SF_DIR
 from pyspark.sql import functions as F
 
-from tripline.operators.features import ip_features
-from tripline.operators.forest import draw_samples, forest_findings
+from tripline.operators.features import feature_vector, ip_features
+from tripline.operators.forest import average_path, draw_samples, forest_findings, forest_scores, grow
 from tripline.operators.joins import join_per_key, lookup
 from tripline.operators.match import match_findings
 from tripline.operators.quantiles import exact_percentile
@@ -167,6 +167,33 @@ def test_forest_isolates_the_scanner_whatever_the_partitioning(spark):
     assert one == other
 
 
+def test_forest_equals_a_plain_walk(spark):
+    """Scores by walking every tree by hand, and findings by numpy's percentile."""
+    import numpy as np
+
+    features = ip_features(events(spark, quiet(30, 3, path="/") + quiet(9, 7, path="/y") + scanner()))
+    vectors = features.select("source_ip", feature_vector().alias("vector"))
+    nodes = grow(draw_samples(vectors, vectors.count())).toPandas()
+    size = min(256, vectors.count())
+    trees = {t: {r.node: r for r in g.itertuples()} for t, g in nodes.groupby("tree")}
+
+    def plain(point):
+        depths = []
+        for tree in trees.values():
+            at = tree[0]
+            while at.left >= 0:
+                at = tree[at.left if point[at.feature] <= at.cut else at.right]
+            depths.append(at.depth)
+        return 2.0 ** (-sum(depths) / len(depths) / float(average_path(size)))
+
+    expected = {r.source_ip: plain(r.vector) for r in vectors.collect()}
+    got = {r.source_ip: r.anomaly for r in forest_scores(vectors, nodes, size).collect()}
+    assert got == pytest.approx(expected)
+    cutoff = np.percentile([-s for s in got.values()], 10)
+    found = {r.source_ip for r in forest_findings(features, end()).collect()}
+    assert found == {ip for ip, s in got.items() if -s < cutoff}
+
+
 def test_forest_on_a_larger_population(spark):
     odd = [event(i, f"203.0.113.{n}", dest_port=i, outcome="failed") for n in range(5) for i in range(60)]
     features = ip_features(events(spark, quiet(200, 3, path="/") + quiet(100, 4, path="/x") + odd))
@@ -209,6 +236,17 @@ def test_exact_percentile(spark, q):
     assert exact_percentile(df, "v", q, accuracy=20) == pytest.approx(np.percentile(values, q * 100))
 
 
+def test_exact_percentile_of_uneven_values(spark):
+    import numpy as np
+
+    values = [1e-300, 2e-300, 5e-324, 0.0, -1e300, 1e300, 7.0, np.nextafter(7.0, 8.0)] + [7.0] * 50
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),)], "v double")
+    for q in (0.0, 0.03, 0.05, 0.07, 0.5, 0.96, 1.0):
+        assert exact_percentile(df, "v", q, accuracy=2) == pytest.approx(np.percentile(values, q * 100), rel=1e-12, abs=0)
+    assert exact_percentile(df.where("v = 7"), "v", 0.3) == 7.0
+    assert exact_percentile(df.limit(0), "v", 0.3) is None
+
+
 def test_joins_under_skew_keep_every_row(spark):
     rows = spark.range(20_000).select(
         F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, "lost").when(F.col("id") % 50 == 0, None)

@@ -39,6 +39,26 @@ def test_ingest_counts(spark, store):
         ingest(store, text, "other", RULES, batch="2", options=OPTIONS)
 
 
+def test_rejects_are_kept_with_their_reason(spark, store):
+    timeless = BRUTE_FORCE[0].replace("Jun 10", "Feb 30")
+    take = lambda batch, *text: ingest(
+        store, lines(spark, *text), "auth_log", RULES, batch=batch, options=OPTIONS, source_name="up"
+    )
+    result = take("1", BRUTE_FORCE[0], timeless, "sudo: noise", "", BRUTE_FORCE[1], timeless)
+    assert (result.parsed, result.rejected) == (2, 2)
+    row = store.read("rejects").first()
+    assert (row.line, row.reason, row.source_type) == (timeless, "unreadable timestamp", "auth_log")
+    assert (row.source_id, str(row.event_date)) == (result.source_id, "2024-11-01")
+    assert store.read("events").where("ts IS NULL OR event_date <> '2024-06-10'").count() == 0
+    # The batch again, with other rejects and with none, replaces them; other batches' stay.
+    take("2", timeless)
+    take("1", BRUTE_FORCE[0], timeless)
+    assert (store.read("events").count(), store.read("rejects").count()) == (1, 2)
+    take("1", BRUTE_FORCE[0])
+    assert (store.read("events").count(), store.read("rejects").count()) == (1, 1)
+    assert store.clear(confirm=True)["rejects"] == 1
+
+
 def test_analyze_detects_format_and_threat_once(spark, store):
     feed = spark.createDataFrame([("198.51.100.61", 95)], "ip string, abuse_score int")
     job = lambda batch: analyze(

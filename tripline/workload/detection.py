@@ -258,6 +258,50 @@ def forest_outliers(spark, sf_dir):
     return forest_findings(features, F.lit(None)).drop("window_end")
 
 
+_PLANTED = "203.0.113.9"
+#: With no more addresses below the cut-off than its rank, and the address of a third of all events among them.
+_FOREST_HOLDS = """SELECT 'ml_outlier' AS rule_key, 'medium' AS severity, count(DISTINCT source_ip) AS population,
+      true AS in_share, true AS planted, true AS scores_hold, true AS named"""
+
+
+def _forest_holds(findings, population):
+    """What must hold of the forest's findings whatever its random draws, as one row."""
+    score, ip = F.col("score"), F.col("source_ip")
+    found = findings.where(F.col("rule_key") == "ml_outlier").groupBy("rule_key", "severity").agg(
+        F.count_distinct(ip).alias("found"),
+        F.count(F.lit(1)).alias("rows"),
+        F.bool_or(ip == _PLANTED).alias("planted"),
+        # The planted address is by far the most isolated, so none scores higher; all scores are shares.
+        F.bool_and(score.between(0.0, 1.0)).alias("shares"),
+        (F.max(score) == F.max(F.when(ip == _PLANTED, score))).alias("worst"),
+        F.bool_and(F.col("title").endswith(ip) & (F.col("group_key") == ip)).alias("named"),
+    )
+    size = population.agg(F.count_distinct("source_ip").alias("population"))
+    row = found.join(F.broadcast(size))  # one row each
+    in_share = (F.col("found") == F.col("rows")) & (F.col("found") <= F.ceil((F.col("population") - 1) * 0.1))
+    holds = (F.col("shares") & F.col("worst")).alias("scores_hold")
+    return row.select("rule_key", "severity", "population", in_share.alias("in_share"), "planted", holds, "named")
+
+
+@query("forest_holds", f"WITH {security_sql(loud=True)} {_FOREST_HOLDS} FROM sec")
+def forest_holds(spark, sf_dir):
+    """Population, share below the cut-off, and an outlier that no forest may miss."""
+    features = ip_features(security_events(spark, sf_dir, loud=True))
+    return _forest_holds(forest_findings(features, F.lit(None)), features)
+
+
+@query(
+    "anomaly_scan_holds",
+    f"""WITH {security_sql(loud=True)}, recent AS (
+      SELECT * FROM sec WHERE ts >= (SELECT max(ts) FROM sec) - INTERVAL {DAY} SECOND)
+    {_FOREST_HOLDS} FROM recent""",
+)
+def anomaly_scan_holds(spark, sf_dir):
+    """The forest's part of a scan of the newest day; the other part has its rows in ``anomaly_alerts``."""
+    events = security_events(spark, sf_dir, loud=True)
+    return _forest_holds(anomaly_scan(events, DAY), latest_window(events, DAY))
+
+
 @query("anomaly_scan")
 def both_detectors(spark, sf_dir):
     return anomaly_scan(security_events(spark, sf_dir, loud=True), DAY).drop("window_end")
