@@ -3,6 +3,7 @@ from datetime import timedelta
 import pandas as pd
 import pytest
 from builders import BASE, event, events
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tripline.rules import load_rules
@@ -110,3 +111,69 @@ def test_stateful_settings_are_checked(spark):
     beside.conf.set(setting, "other")
     with pytest.raises(ValueError, match=store):
         stateful_threshold(beside.createDataFrame([], stream.schema), RULES["brute_force_ssh"])
+
+
+class _Kept:
+    """State of one key in memory, counting the calls that go to it."""
+
+    def __init__(self):
+        self.calls, self.cell, self.entries = 0, None, {}
+
+    def _called(self, result=None):
+        self.calls += 1
+        return result
+
+    def getValueState(self, *_):
+        return self
+
+    getMapState = getValueState
+
+    def get(self):
+        return self._called(self.cell)
+
+    def update(self, value):
+        self.cell = self._called(value)
+
+    def getValue(self, key):
+        return self._called(self.entries.get(key))
+
+    def updateValue(self, key, value):
+        self.entries[key] = self._called(value)
+
+    def iterator(self):
+        return iter(list(self._called(self.entries).items()))
+
+    def removeKey(self, key):
+        self._called(self.entries.pop(key, None))
+
+
+def _observed(kept, distinct, batches, width=100):
+    window = stateful._Window(width, 1, distinct, "none", None)
+    window.init(kept)
+    found = []
+    for batch in batches:
+        rows = iter([Row(group_key="k", ts_us=at, value=value, n=n) for at, value, n in batch])
+        found += [(r.window_end_us, r.observed) for r in window.handleInputRows(("k",), rows, None)]
+    return found
+
+
+def test_small_window_is_read_once_and_written_once():
+    for distinct in (False, True):
+        kept = _Kept()
+        batches = [[(at, str(at % 30), 1) for at in range(60)], [(at, str(at % 40), 1) for at in range(60, 150)]]
+        assert _observed(kept, distinct, batches) == [(59, 30 if distinct else 60), (149, 40 if distinct else 101)]
+        assert kept.calls == 4
+
+
+def test_window_in_one_piece_equals_window_in_a_map(monkeypatch):
+    # Late events, events that do not count, equal times, and windows that pass over all that was there.
+    steps = [(0, 90), (20, 60), (95, 130), (10, 40), (301, 302), (250, 420)]
+    batches = [[(at, str(at * 7 % 23), 2 * (at % 5 > 0)) for at in range(*step) for _ in range(1 + at % 2)] for step in steps]
+    for distinct in (False, True):
+        pieces = {}
+        for small, held in ((10_000, 200_000), (25, 200_000), (0, 200_000), (10, 7)):
+            monkeypatch.setattr(stateful, "SMALL", small)
+            monkeypatch.setattr(stateful, "HELD_ROWS", held)
+            pieces[small, held] = _observed(_Kept(), distinct, batches)
+        assert len(pieces[0, 200_000]) == len(steps)
+        assert all(piece == pieces[0, 200_000] for piece in pieces.values())

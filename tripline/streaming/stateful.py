@@ -12,7 +12,7 @@ from datetime import timedelta
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -25,6 +25,8 @@ _ROWS = "group_key string, ts_us long, value string, n long"
 _OUT = "group_key string, window_end_us long, observed long"
 #: A window's times are kept in so many slices; a late or old time rewrites one of them.
 SLICES = 64
+#: A window of at most so many values or times is kept in one piece.
+SMALL = 512
 #: A task holds about so many summed rows before it hands them on.
 HELD_ROWS = 200_000
 
@@ -80,7 +82,7 @@ def stateful_threshold(
         delay = f"{late_by // timedelta(milliseconds=1)} milliseconds"
         sums, mode = sums.withColumn("ts", F.timestamp_micros("ts_us")).withWatermark("ts", delay), "eventTime"
     keeper = _Window(width, rule.threshold, distinct, mode, forget_after and forget_after // timedelta(milliseconds=1))
-    reached = sums.groupBy("group_key").transformWithStateInPandas(keeper, _OUT, "Append", mode)
+    reached = sums.groupBy("group_key").transformWithState(keeper, _OUT, "Append", mode)
     return reached.select(
         F.lit(rule.key).alias("rule_key"),
         "group_key",
@@ -118,7 +120,11 @@ def _summing(width: int, distinct: bool) -> Callable[[Iterator[pd.DataFrame]], I
 
 
 class _Window(StatefulProcessor):
-    """The last window of one key."""
+    """The last window of one key, in its head while it is small, else in a map.
+
+    Every call to the state store costs a task far more than the few rows that most keys have, so
+    a small window takes one to read it and one to write it.
+    """
 
     def __init__(self, width: int, threshold: int, distinct: bool, mode: str, forget_ms: int | None):
         self.width, self.threshold, self.distinct, self.mode, self.forget_ms = width, threshold, distinct, mode, forget_ms
@@ -126,45 +132,62 @@ class _Window(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.head = handle.getValueState("head", "end_us long, timer_ms long")
+        # Names are values or times; numbers the newest time of each, or the events at each.
+        names = "array<string>" if self.distinct else "array<long>"
+        self.head = handle.getValueState("head", f"end_us long, timer_ms long, large boolean, names {names}, numbers array<long>")
         if self.distinct:
             self.map = handle.getMapState("values", "value string", "seen_us long")
         else:
             self.map = handle.getMapState("slices", "slice long", "times array<long>, counts array<long>, total long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        end, timer = self.head.get() or (None, None)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        if key[0] is None:
+            return
+        end, timer, large, names, numbers = self.head.get() or (None, None, False, (), ())
         oldest = timerValues.getCurrentWatermarkInMs() * 1000 if self.mode == "eventTime" else None
-        held: list[pd.DataFrame] = []
+        held: dict = dict(zip(names, numbers))
         seen = False
-        for batch in rows:
-            if oldest is not None:
-                batch = batch[batch["ts_us"] >= oldest]
-            if key[0] is None or not len(batch):
+        for row in rows:
+            at = row.ts_us
+            if oldest is not None and at < oldest:
                 continue
-            newest, seen = int(batch["ts_us"].max()), True
-            end = newest if end is None else max(end, newest)
-            held.append(batch.loc[(batch["n"] > 0) & (batch["ts_us"] >= end - self.width), ["ts_us", "value", "n"]])
-            if sum(map(len, held)) > HELD_ROWS:
-                self._add(pd.concat(held))
-                held = []
+            seen = True
+            end = at if end is None or at > end else end
+            if row.n > 0 and at >= end - self.width:
+                self._hold(held, at, row.value, row.n)
+                if len(held) > HELD_ROWS:
+                    self._add(held)
+                    held, large = {}, True
         if not seen:
             return
-        if held:
-            self._add(pd.concat(held))
-        observed = self._observed(end - self.width)
-        self.head.update((end, self._set_timer(end, timer, timerValues)))
+        start = end - self.width
+        held = {name: number for name, number in held.items() if (number if self.distinct else name) >= start}
+        if large or len(held) > SMALL:
+            self._add(held)
+            observed, held, large = self._observed(start), {}, True
+        else:
+            observed = len(held) if self.distinct else sum(held.values())
+        timer = self._set_timer(end, timer, timerValues)
+        self.head.update((end, timer, large, list(held), list(held.values())))
         if observed >= self.threshold:
-            yield pd.DataFrame({"group_key": [key[0]], "window_end_us": [end], "observed": [observed]})
+            yield Row(group_key=key[0], window_end_us=end, observed=observed)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.map.clear()
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        head = self.head.get()
+        if head is None or head[2]:
+            self.map.clear()
         self.head.clear()
         return iter(())
 
     def close(self) -> None:
         pass
 
+    def _hold(self, held: dict, at: int, value: str, n: int) -> None:
+        if not self.distinct:
+            held[at] = held.get(at, 0) + n
+        elif value not in held or held[value] < at:
+            held[value] = at
+
     def _set_timer(self, end: int, timer: int | None, now) -> int | None:
         """The time at which the key's state goes, in place of the one that was set before."""
         if self.mode == "none":
@@ -180,20 +203,22 @@ class _Window(StatefulProcessor):
             self.handle.registerTimer(due)
         return due
 
-    def _add(self, rows: pd.DataFrame) -> None:
+    def _add(self, held: dict) -> None:
         if self.distinct:
-            for value, seen in rows.groupby("value")["ts_us"].max().items():
+            for value, seen in held.items():
                 known = self.map.getValue((value,))
                 if known is None or known[0] < seen:
-                    self.map.updateValue((value,), (int(seen),))
+                    self.map.updateValue((value,), (seen,))
             return
-        for number, part in rows.groupby(rows["ts_us"] // self.step):
-            at = (int(number),)
-            times, counts = part["ts_us"].to_numpy(np.int64), part["n"].to_numpy(np.int64)
-            old = self.map.getValue(at)
+        slices: dict[int, list] = {}
+        for at, n in held.items():
+            slices.setdefault(at // self.step, []).append((at, n))
+        for number, pairs in slices.items():
+            times, counts = np.array(pairs, np.int64).T
+            old = self.map.getValue((number,))
             if old is not None:
                 times, counts = np.concatenate([old[0], times]), np.concatenate([old[1], counts])
-            self._put(at, times, counts)
+            self._put((number,), times, counts)
 
     def _put(self, at: tuple, times: np.ndarray, counts: np.ndarray) -> int:
         each, place = np.unique(times.astype(np.int64), return_inverse=True)
