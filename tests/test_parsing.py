@@ -16,6 +16,7 @@ from tripline.operators.parsing import (
     to_events,
 )
 from tripline.sources.lines import read_lines, to_lines
+from tripline.workload import adapters
 
 OPTIONS = ParseOptions(datetime(2026, 6, 10, 12, 0, 0), year=2024)
 SSH = "Feb  3 04:05:06 bastion-2 sshd[77]: Failed password for deploy from 172.20.4.13 port 40022 ssh2"
@@ -227,3 +228,12 @@ def test_folder_of_several_formats(spark, tmp_path):
         ("misc.txt", "custom"),
     }
     assert parse_mixed(lines_, OPTIONS).where(accepted()).count() == 1 + 1 + 1 + 31
+
+
+def test_rows_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(adapters, "ROWS_A_TASK", 10, raising=False)
+    cores = spark.sparkContext.defaultParallelism
+    many, few = spark.range(0, 20 * cores, 1, cores), spark.range(0, 5, 1, 2 * cores)
+    assert adapters.spread(many).rdd.getNumPartitions() == 2 * cores
+    assert adapters.spread(few).rdd.getNumPartitions() == 2 * cores
+    assert sorted(r.id for r in adapters.spread(many).collect()) == list(range(20 * cores))
