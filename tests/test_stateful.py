@@ -177,3 +177,9 @@ def test_window_in_one_piece_equals_window_in_a_map(monkeypatch):
             pieces[small, held] = _observed(_Kept(), distinct, batches)
         assert len(pieces[0, 200_000]) == len(steps)
         assert all(piece == pieces[0, 200_000] for piece in pieces.values())
+
+
+def test_a_task_hands_on_its_sums_early():
+    batches = [pd.DataFrame({"group_key": [str(i % 9_000) for i in range(n, n + 10_000)], "ts_us": range(n, n + 10_000), "value": None, "n": 1}) for n in range(0, 250_000, 10_000)]
+    pieces = list(stateful._summing(10**9, False)(iter(batches)))
+    assert max(map(len, pieces)) <= 70_000 and sum(p["n"].sum() for p in pieces) == 250_000

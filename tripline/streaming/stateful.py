@@ -28,7 +28,7 @@ SLICES = 64
 #: A window of at most so many values or times is kept in one piece.
 SMALL = 512
 #: A task holds about so many summed rows before it hands them on.
-HELD_ROWS = 200_000
+HELD_ROWS = 50_000
 
 
 def stateful_threshold(
