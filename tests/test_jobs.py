@@ -232,3 +232,20 @@ def test_triage_reopens_detection(spark, store):
     later = ingest(store, lines(spark, ssh(59)), "auth_log", RULES, batch="2", options=OPTIONS)
     assert later.alerts == 1
     assert store.read("alerts").select(F.count_distinct("alert_id")).first()[0] == 2
+
+
+def test_sources_of_files_cost_one_pass_over_the_lines(spark, store):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(name):
+        seen.add(1)
+        return name
+
+    rows = [(BRUTE_FORCE[i % 6], f"f{i % 3}", "auth_log") for i in range(12)]
+    made = spark.createDataFrame(rows, "line string, name string, source_type string")
+    text = made.withColumn("file_name", counted("name")).drop("name")
+    ingest(store, text, "mixed", [], batch="1", options=OPTIONS)
+    assert store.read("events").count() == 12 and store.read("log_sources").count() == 3
+    # Once for the sources, and once to be parsed.
+    assert seen.value == 24
