@@ -448,3 +448,33 @@ def test_trees_suffice_at_the_depth_reached():
     # No two trees take the same tokens in any later turns, as trees did that were one step of another's order.
     turns = neardup._TURNS[:64]
     assert len({tuple(sorted(t)) for t in turns.tolist()}) == 64
+
+
+def test_nodes_of_one_component_go_no_further(spark, monkeypatch):
+    """Classes that are joined already are in no leaf of any tree, however large their nodes; those apart still meet."""
+    monkeypatch.setattr(neardup, "LIMIT", 16)
+    rng = random.Random(13)
+    base = [f"w{rng.randrange(5_000)}" for _ in range(300)]
+    rows = []
+    for i in range(60):
+        text = [*base]
+        text[5 * i % 300] = f"x{i}"
+        rows.append((i, " ".join(text)))
+    sketches = neardup.sketch(docs(spark, rows)).withColumnRenamed("doc_id", "component")
+    classes = neardup.materialize(sketches, "test-classes")
+    together = neardup._leaves(classes.withColumn("component", F.lit(0).cast("long")), 85)
+    assert together[0].count() == 0
+    assert neardup._leaves(classes, 85)[0].select("cls").distinct().count() == 60
+    assert {r.component_id for r in neardup.components(docs(spark, rows)).collect()} == {0}
+
+
+@pytest.mark.parametrize("small", [0, 10**6])
+def test_components_of_few_and_many_edges(spark, monkeypatch, small):
+    from tripline.llm import components
+
+    monkeypatch.setattr(components, "SMALL_EDGES", small)
+    edges = [(i, i + 1) for i in range(100, 130)] + [(500, i) for i in range(501, 600)] + [(7, 7), (3, 2), (2, 3)]
+    made = connected(spark.createDataFrame(edges, "a long, b long").repartition(7))
+    if small:
+        assert made.rdd.getNumPartitions() == 1
+    assert {r.node: r.root for r in made.collect()} == {i: 100 for i in range(101, 131)} | {i: 500 for i in range(501, 600)} | {3: 2}

@@ -4,15 +4,18 @@ A document is the set of its runs of five words (ASCII letters lowered), as 64-b
 hashes; a shorter text is one run.  Documents of equal sets are one class, which goes on
 alone.  A class carries ``TOKENS`` minwise tokens.
 
-* Branch: in each of ``TREES`` independent trees, classes with the same chosen token form
-  a node; a node of more than ``LIMIT`` classes is branched by the next token, and so on.
-* Compare: a small node's classes are compared exhaustively, first by tokens (with a
-  margin of ``MARGIN`` standard errors), then on full sets; classes already joined in the
-  node aren't compared again, so a node of n classes yields fewer than n links.  Nodes of
-  later trees are left out if the first ``FIRST_TREES`` have joined all their classes.
+* First trees: classes with the same chosen token form a node.  In the first ``FIRST_TREES`` of
+  ``TREES`` independent trees they are compared at once, large nodes in hashed parts, so most
+  of a large group of near copies is one component before anything else is done.
+* Branch: of all trees, only nodes that hold classes of different components go on.  A node
+  of more than ``LIMIT`` classes is compared in pairs of parts, one of more than ``DIRECT`` *
+  ``LIMIT`` is branched by the next token, and so on.
+* Compare: a node's classes of different components are compared exhaustively, first by tokens
+  (with a margin of ``MARGIN`` standard errors), then on full sets; classes already joined in
+  the node aren't compared again, so a node of n classes yields fewer than n links.
 * Long sets: what is compared together is one task's up to ``LIMIT_RUNS`` runs.  Above that
   the runs are dealt by their hash over tasks, which count what pairs share; counts are added up.
-* Crowds: nodes of more than ``LIMIT`` classes at depth ``DEEPEST`` are branched no more,
+* Crowds: nodes of more than ``DIRECT`` * ``LIMIT`` classes at depth ``DEEPEST`` are branched no more,
   as that would tear large groups apart.  Their classes are compared in hashed parts, then
   the middle classes of the largest components with all that are not joined to them yet
   (which only saves work), then all pairs of the crowd that are still apart.
@@ -35,7 +38,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripline.llm.arrow import release, slices, small_batches, text_bytes
@@ -49,7 +52,9 @@ TREES = 12
 DEEPEST = 3
 MISS = 0.001
 LIMIT = 1_024
-#: Classes joined by the first trees' nodes need not meet again in the others'.
+#: All pairs that are apart are compared in nodes of up to so many times LIMIT classes, in parts.
+DIRECT = 8
+#: Classes joined by the first trees' first nodes need not meet again.
 FIRST_TREES = 3
 #: Sets that are compared with one another are held by one task if they have no more runs than this.
 LIMIT_RUNS = 4_000_000
@@ -197,7 +202,10 @@ def _likeness(tokens: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarr
     """The share of equal tokens of all pairs of sets, and which pairs may be similar enough by tokens and sizes."""
     share = percent / 100
     border = share - MARGIN * np.sqrt(share * (1 - share) / TOKENS)
-    like = np.concatenate([(tokens[i : i + 64, None, :] == tokens[None, :, :]).mean(2) for i in range(0, len(n), 64)])
+    like = np.zeros((len(n), len(n)), np.uint8)
+    for column in np.ascontiguousarray(tokens.T):
+        like += (column[:, None] == column[None, :]).view(np.uint8)
+    like = like / TOKENS
     fit = np.minimum(n[:, None], n[None, :]) >= share * np.maximum(n[:, None], n[None, :])
     linked = (like >= border) & fit
     np.fill_diagonal(linked, False)
@@ -207,7 +215,8 @@ def _likeness(tokens: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarr
 def _leaf_blocks(percent: int):
     """Leaf rows (path, root, tree, cls, n, tokens) to blocks of classes that may be linked.
 
-    And if there is a root, the middle class of each block.  Classes of one ``component``, if given, are not linked.
+    And if there is a root, the middle class of each block.  Classes of one ``component``, if given, are not linked,
+    nor are those that share a first node of the trees before number ``met``, if given.
     """
 
     def make(table: pa.Table) -> list[pa.RecordBatch]:
@@ -217,11 +226,14 @@ def _leaf_blocks(percent: int):
         tokens = table["tokens"].combine_chunks().flatten().to_numpy().reshape(-1, TOKENS)
         roots, trees = table["root"].to_pylist(), table["tree"].to_numpy()
         placed = table["component"].to_numpy() if "component" in table.schema.names else None
+        met = table["met"].to_numpy() if "met" in table.schema.names else None
         blocks, members, kinds, sources = [], [], [], []
         for low, high in _groups(table["path"].to_numpy()):
             like, linked = _likeness(tokens[low:high], size[low:high], percent)
             if placed is not None:
                 linked &= placed[low:high, None] != placed[None, low:high]
+            for turn in _TURNS[: met[low], 0] if met is not None else []:
+                linked &= tokens[low:high, None, turn] != tokens[None, low:high, turn]
             if not linked.any():
                 continue
             label = _parts(linked)
@@ -393,71 +405,118 @@ def _linked(one: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarr
     return out
 
 
-def trees_for(depth: int, percent: int) -> int:
+def trees_for(depth: int, percent: int, least: int = TREES) -> int:
     """So many trees miss a pair at the threshold with probability ``MISS`` at most, if nodes are ``depth`` deep."""
     share, most = percent / 100, len(_TURNS)
     agree = np.array([comb(TOKENS, m) * share**m * (1 - share) ** (TOKENS - m) for m in range(TOKENS + 1)])
     meet = np.array([comb(m, depth + 1) / comb(TOKENS, depth + 1) for m in range(TOKENS + 1)])
-    enough = [t for t in range(TREES, most) if (agree * (1 - meet) ** t).sum() <= MISS]
+    enough = [t for t in range(least, most) if (agree * (1 - meet) ** t).sum() <= MISS]
     return enough[0] if enough else most
 
 
-def _leaves(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Small nodes and hashed parts of crowds as (path, root, tree, cls), root null or the crowd; and crowds as (root, cls)."""
-    leaves, crowds, large, depth = _branched(classes, classes, 0, TREES)
+def _turned(depth: int, low: int, high: int, path: Column | None = None) -> Column:
+    """The node at ``depth`` of column ``tree`` below ``path`` (null: the tree's root)."""
+    turn = F.array(*[F.lit(int(t)) for t in _TURNS[low:high, depth]])
+    token = F.element_at("tokens", F.element_at(turn, F.col("tree") - low + 1) + 1)
+    return F.xxhash64(F.col("tree") if path is None else path, token)
+
+
+def _planted(classes: DataFrame, low: int, high: int) -> DataFrame:
+    """``classes`` in the first nodes of trees ``low`` to ``high``: tree, path and all columns but the tokens."""
+    rows = classes.withColumn("tree", F.explode(F.sequence(F.lit(low), F.lit(high - 1))))
+    return rows.withColumn("path", _turned(0, low, high)).drop("tokens")
+
+
+def _sizes(rows: DataFrame, *more: Column) -> DataFrame:
+    """path, members, runs and marks of the members of nodes of several classes, written."""
+    sizes = rows.groupBy("path").agg(
+        F.min("tree").alias("tree"),
+        F.count("*").alias("members"),
+        F.sum("n").alias("runs"),
+        F.bit_xor(F.xxhash64("cls")).alias("who"),
+        F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("whose"),
+        *more,
+    )
+    return materialize(sizes.where("members > 1"), "node-sizes")
+
+
+def _once(sizes: DataFrame) -> DataFrame:
+    """path, members: the same classes often meet in several trees; one of those nodes is enough."""
+    once = sizes.groupBy("members", "runs", "who", "whose").agg(F.min(F.struct("tree", "path")).alias("at"))
+    return once.select("at.path", "members")
+
+
+def _first_leaves(classes: DataFrame) -> DataFrame:
+    """path, cls of the first trees' small first nodes, and of parts of the large ones, dealt otherwise in each tree."""
+    rows = _planted(classes.select("cls", "n", "tokens"), 0, FIRST_TREES)
+    rows = rows.join(_once(_sizes(rows)), "path")
+    parts = F.when(F.col("members") > LIMIT, F.ceil(F.col("members") / (LIMIT // 2))).otherwise(1).cast("long")
+    return rows.select(F.xxhash64("path", F.pmod(F.xxhash64("cls", "tree"), parts)).alias("path"), "tree", "cls")
+
+
+def _leaves(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, bool]:
+    """Nodes of classes of several components that have not met yet, from ``classes`` (cls, n, tokens, component).
+
+    Leaves as (path, root, tree, cls, component): small nodes, pairs of parts of larger ones, and hashed parts of crowds;
+    root null or the crowd.  Crowds as (root, cls), and whether there are any.
+    """
+    leaves, crowds, large, depth = _branched(classes, classes, 0, TREES, trees_for(0, percent, 1))
     need = trees_for(depth, percent)
+    deep = depth == DEEPEST
     if need > TREES:  # classes whose first nodes were all small have met already
-        more, other, _, _ = _branched(large.select("cls").distinct().join(classes, "cls"), classes, TREES, need)
-        leaves, crowds = leaves.unionByName(more), crowds.unionByName(other)
-    return leaves, materialize(crowds, "crowds")
-
+        chosen = large.distinct().join(classes, "cls")
+        more, other, _, reached = _branched(chosen, classes, TREES, need, need)
+        leaves, crowds, deep = leaves.unionByName(more), crowds.unionByName(other), deep or reached == DEEPEST
+    return leaves, materialize(crowds, "crowds") if deep else crowds, deep
 
-def _branched(chosen: DataFrame, classes: DataFrame, low: int, high: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    """Leaves and crowds of trees ``low`` to ``high``, classes in large first nodes (cls), and the depth reached."""
 
-    def deeper(depth: int):
-        turn = F.array(*[F.lit(int(t)) for t in _TURNS[low:high, depth]])
-        return F.xxhash64("path", F.element_at("tokens", F.element_at(turn, F.col("tree") - low + 1) + 1))
+def _branched(
+    chosen: DataFrame, classes: DataFrame, low: int, high: int, direct: int
+) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Leaves and crowds of trees ``low`` to ``high``, classes in large first nodes (cls), and the depth reached.
 
-    first = [
-        F.struct(
-            F.lit(tree).alias("tree"),
-            F.xxhash64(F.lit(tree), F.element_at("tokens", int(_TURNS[tree, 0]) + 1)).alias("path"),
-        )
-        for tree in range(low, high)
-    ]
-    rows = chosen.select(F.explode(F.array(*first)).alias("at"), "cls", "n").select("at.*", "cls", "n")
+    Large first nodes that are compared without branching are those of the trees before number ``direct``.
+    """
+    rows = _planted(chosen.select("cls", "n", "component", "tokens"), low, high)
     none = F.lit(None).cast("long")
     found, large_first, depth = [], None, 0
     crowds = classes.select(none.alias("root"), "cls").limit(0)
+
+    def leaves_of(rows: DataFrame, met: bool) -> DataFrame:
+        number = F.least(F.col("tree"), F.lit(direct)) if met else F.lit(0)
+        return rows.select("path", "root", "tree", "cls", "component", number.cast("int").alias("met"))
+
     while True:
-        sizes = rows.groupBy("path").agg(
-            F.min("tree").alias("tree"),
-            F.count("*").alias("members"),
-            F.sum("n").alias("runs"),
-            F.bit_xor(F.xxhash64("cls")).alias("who"),
-            F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("whose"),
-        )
-        sizes = materialize(sizes.where("members > 1"), "node-sizes")
-        # The same classes often meet in several trees; one of those nodes is enough.
-        once = sizes.groupBy("members", "runs", "who", "whose").agg(F.min(F.struct("tree", "path")).alias("at"))
-        once = once.select("at.path", "members")
-        leaf = rows.join(once.where(F.col("members") <= LIMIT), "path")
-        found.append(leaf.select("path", none.alias("root"), "tree", "cls"))
-        large = sizes.where(F.col("members") > LIMIT).select("path")
-        if large.isEmpty():
+        sizes = _sizes(rows, F.min("component").alias("one"), F.max("component").alias("other")).where("one <> other")
+        once = _once(sizes)
+        small = once.where(F.col("members") <= LIMIT)
+        if depth == 0 and low == 0:  # those of the first trees have met
+            small = small.join(sizes.where(F.col("tree") < FIRST_TREES).select("path"), "path", "left_anti")
+        large = sizes.where(F.col("members") > DIRECT * LIMIT).select("path")
+        is_last = large.isEmpty()
+        met = is_last and depth == 0 and low == 0  # every first node is compared whole, so each pair once is enough
+        found.append(leaves_of(rows.join(small, "path").withColumn("root", none), met))
+        if sizes.where(F.col("members") > LIMIT).isEmpty():
+            break
+        whole = rows.join(once.where((F.col("members") > LIMIT) & (F.col("members") <= DIRECT * LIMIT)), "path")
+        if depth == 0:
+            whole = whole.where(F.col("tree") < direct)
+        found.append(leaves_of(_parts_apart(whole.withColumn("root", F.col("path"))), met))
+        if is_last:
             break
         if depth == DEEPEST:
-            crowd = rows.join(once.where(F.col("members") > LIMIT), "path")
+            crowd = rows.join(once.where(F.col("members") > DIRECT * LIMIT), "path")
             part = F.pmod(F.xxhash64("cls"), F.ceil(F.col("members") / (LIMIT // 2)).cast("long"))
-            found.append(crowd.select(F.xxhash64("path", part).alias("path"), F.col("path").alias("root"), "tree", "cls"))
-            crowds = crowd.select(F.col("path").alias("root"), "cls")
+            crowd = crowd.withColumn("root", F.col("path"))
+            found.append(leaves_of(crowd.withColumn("path", F.xxhash64("root", part)), False))
+            crowds = crowd.select("root", "cls")
             break
         rows = rows.join(large, "path")
         if large_first is None:
             rows = large_first = materialize(rows, "large-nodes")
         depth += 1
-        rows = rows.join(classes.select("cls", "tokens"), "cls").withColumn("path", deeper(depth)).drop("tokens")
+        rows = rows.join(classes.select("cls", "tokens"), "cls")
+        rows = rows.withColumn("path", _turned(depth, low, high, F.col("path"))).drop("tokens")
         rows = materialize(rows, "large-nodes")
     leaves = found[0]
     for more in found[1:]:
@@ -563,18 +622,21 @@ def components(docs: DataFrame, percent: int = 85) -> DataFrame:
         .agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("tokens").alias("tokens"))
     )
     classes = materialize(classes, "classes")
-    leaves, crowds = _leaves(classes, percent)
-    rows = leaves.join(classes.select("cls", "n", "tokens"), "cls").repartition("path").sortWithinPartitions("path")
-    made = materialize(rows.mapInArrow(_leaf_blocks(percent), "block long, cls binary, leaf int, tree int"), "blocks")
-    blocks = made.where("leaf = 0").groupBy("block", "cls").agg(F.min("tree").alias("tree"))
-    wanted = made.select("cls").unionByName(crowds.select("cls")).distinct().join(classes.select("cls", "rep"), "cls")
-    full = materialize(_fetch(docs, wanted), "full-sets")
     names = classes.select("cls", "rep")
-    links = materialize(_confirm(blocks.where(F.col("tree") < FIRST_TREES), classes, full, percent), "links")
-    later = blocks.where(F.col("tree") >= FIRST_TREES).join(_placed(names, connected(links)), "cls")
-    apart = later.groupBy("block").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
-    links = links.unionByName(_confirm(later.join(apart.select("block"), "block"), classes, full, percent))
-    if not crowds.isEmpty():
+    made = _blocks(_first_leaves(classes), classes, percent)
+    full = materialize(_fetch(docs, made.select("cls").distinct().join(names, "cls")), "full-sets")
+    links = materialize(_confirm(made.select("block", "cls").distinct(), classes, full, percent), "links")
+    # What is in one component by now need not meet again.
+    placed = classes.join(connected(links), F.col("rep") == F.col("node"), "left")
+    placed = placed.select("cls", "n", "tokens", F.coalesce("root", "rep").alias("component"))
+    leaves, crowds, deep = _leaves(materialize(placed, "placed"), percent)
+    made = _blocks(leaves, classes, percent)
+    wanted = made.select("cls").unionByName(crowds.select("cls")).distinct().join(names, "cls")
+    wanted = wanted.join(full.select("cls").distinct(), "cls", "left_anti")
+    full = full.unionByName(materialize(_fetch(docs, wanted), "full-sets"))
+    blocks = made.where("leaf = 0").select("block", "cls").distinct()
+    links = links.unionByName(_confirm(blocks, classes, full, percent))
+    if deep:
         links = materialize(links, "links")
         links = links.unionByName(_around_pivots(made, crowds, classes, connected(links), full, percent))
         links = materialize(links, "links")
@@ -630,8 +692,19 @@ def _around_pivots(made, crowds, classes, roots, full, percent: int) -> DataFram
 
 
 def _apart(crowds, classes, roots, full, percent: int) -> DataFrame:
-    """Links of all pairs of each crowd that are in different components: what is outside the largest one meets all."""
-    rows = materialize(crowds.join(_placed(classes.select("cls", "rep"), roots), "cls"), "crowds")
+    """Links of all pairs of each crowd that are in different components."""
+    rows = crowds.withColumn("tree", F.lit(0)).join(_placed(classes.select("cls", "rep"), roots), "cls")
+    rows = _parts_apart(rows)
+    made = _blocks(rows, classes, percent)
+    return _confirm(made.select("block", "cls").distinct(), classes, full, percent)
+
+
+def _parts_apart(rows: DataFrame) -> DataFrame:
+    """Leaves of small parts of nodes (root, tree, cls, component) in which all pairs of different components meet.
+
+    What is outside the largest component of a node meets all.
+    """
+    rows = materialize(rows.select("root", "tree", "cls", "component"), "crowds")
     held = rows.groupBy("root", "component").agg(F.count("*").alias("held"))
     sizes = held.groupBy("root").agg(
         F.sum("held").alias("members"), F.max(F.struct("held", "component")).alias("most")
@@ -646,16 +719,21 @@ def _apart(crowds, classes, roots, full, percent: int) -> DataFrame:
 
     def dealt(out, own: str, other: str):
         mine = F.pmod(F.xxhash64("cls", F.lit(7)), F.col(own))
-        return out.select("root", "cls", "component", mine.alias(own), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other))
+        return out.select("root", "tree", "cls", "component", mine.alias(own), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other))
 
     outside = dealt(rows.where(F.col("component") != F.col("main")), "rest", "parts")
     both = outside.unionByName(dealt(rows, "parts", "rest"))
-    both = both.select(F.xxhash64("root", "rest", "parts").alias("path"), "cls", "component").distinct()
-    both = both.join(classes.select("cls", "n", "tokens"), "cls")
-    both = both.withColumn("root", F.lit(None).cast("long")).withColumn("tree", F.lit(0))
-    both = both.repartition("path").sortWithinPartitions("path")
-    made = both.mapInArrow(_leaf_blocks(percent), "block long, cls binary, leaf int, tree int")
-    return _confirm(materialize(made, "blocks").select("block", "cls").distinct(), classes, full, percent)
+    both = both.select(F.xxhash64("root", "rest", "parts").alias("path"), "tree", "cls", "component").distinct()
+    return both.withColumn("root", F.lit(None).cast("long"))
+
+
+def _blocks(leaves: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """``_leaf_blocks`` of leaves (path, tree, cls, and if known root and component), written."""
+    if "root" not in leaves.columns:
+        leaves = leaves.withColumn("root", F.lit(None).cast("long"))
+    rows = leaves.join(classes.select("cls", "n", "tokens"), "cls").repartition("path").sortWithinPartitions("path")
+    made = rows.mapInArrow(_leaf_blocks(percent), "block long, cls binary, leaf int, tree int")
+    return materialize(made, "blocks")
 
 
 def deduplicate(docs: DataFrame, percent: int = 80) -> DataFrame:
