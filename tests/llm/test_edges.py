@@ -450,6 +450,29 @@ def test_trees_suffice_at_the_depth_reached():
     assert len({tuple(sorted(t)) for t in turns.tolist()}) == 64
 
 
+@pytest.mark.parametrize("limit", [0, 100_000])
+def test_terms_of_texts_stay_where_they_are(spark, monkeypatch, limit):
+    """Rows that repeat a text go without moving the others' terms; spans of copies, null and empty texts are whole."""
+    monkeypatch.setattr(pii, "BROADCAST_COPIES", limit)
+    texts = [(i, f"day {i} snark by h@i.jk and other words {i} Snark-less é snark") for i in range(30)]
+    texts += [(100 + i, f"delta {i} alpha words") for i in range(200)] + [(400 + i, "a snark é") for i in range(40)]
+    texts += [(500, None), (501, ""), (None, "snark")]
+    rows = docs(spark, texts)
+    prepared = pii.prepared(rows)
+    if limit:
+        plan = pii.firsts(pii.materialize(prepared, "test-rows"))._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    assert pii.firsts(pii.materialize(prepared, "test-rows")).count() == 30 + 200 + 1 + 1 + 1
+    revealing = revealing_terms(t or "" for _, t in texts)
+    assert "snark" in revealing
+    made = found(spark, texts)
+    assert len(made) == len(texts)
+    wanted = {i: sorted(tuple(map(int, s.split(":")[1:])) for s in term_spans(t or "", revealing)) for i, t in texts}
+    assert all(terms == wanted[doc_id] for doc_id, _, terms in made)
+    # Only texts are written beside their rows once more, not their terms by key.
+    assert all(len(base) == (doc_id is not None and doc_id < 30) for doc_id, base, _ in made)
+
+
 def test_nodes_of_one_component_go_no_further(spark, monkeypatch):
     """Classes that are joined already are in no leaf of any tree, however large their nodes; those apart still meet."""
     monkeypatch.setattr(neardup, "LIMIT", 16)
