@@ -34,7 +34,8 @@ from pyspark.sql import types as T
 from tripline.llm.arrow import int_lists, release, slices, small_batches, with_columns
 from tripline.session import materialize
 
-PIECE_CHARS = 16_384
+#: A text of so many characters takes a task a fraction of a second; only longer ones are cut and shuffled.
+PIECE_CHARS = 262_144
 RUN_BYTES = 1_024
 #: Parts that a task keeps encoded (about 250 bytes each), and half as many words.
 CACHED = 800_000
@@ -330,14 +331,14 @@ def encode(
     def joined_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path, cached)
         for batch in batches:
-            for number, pieces in zip(batch["row_no"].to_pylist(), batch["pieces"], strict=True):
+            for k, pieces in enumerate(batch["pieces"]):
                 parts = pieces.as_py()
                 columns = outputs(coder, [coder.join_all([p["piece_ids"] for p in parts], [p["kind"] for p in parts])])
-                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *columns.values()], ["row_no", *columns])
+                yield with_columns(batch.select(["row"]).slice(k, 1), **columns)
         release()
 
     short = df.where(size <= piece_chars).mapInArrow(whole, schema)
-    # Row numbers must not change between the two uses, so the long rows are written once.
+    # Row numbers must not change if a task is run again, so the long rows are written first.
     long = materialize(
         df.where(size > piece_chars).select(
             F.struct(F.lit(1).alias("_"), *map(_quoted, rest)).alias("row"),
@@ -346,18 +347,22 @@ def encode(
         ),
         "long-texts",
     )
-    pieces = long.select("row_no", "long_text").mapInArrow(
-        _cutter(path, piece_chars, cached), "row_no long, seq int, kind int, piece string"
+    # The other columns go with a text's first piece, so its ids need not be shuffled again to meet them.
+    row = T.StructField("row", long.schema["row"].dataType)
+    piece = [T.StructField("row_no", T.LongType()), T.StructField("seq", T.IntegerType()), T.StructField("kind", T.IntegerType())]
+    pieces = long.select("row", "row_no", "long_text").mapInArrow(
+        _cutter(path, piece_chars, cached), T.StructType([*piece, T.StructField("piece", T.StringType()), row])
     )
     encoded = pieces.repartition("row_no", "seq").mapInArrow(
-        _piece_encoder(path, cached), "row_no long, seq int, kind int, piece_ids binary"
+        _piece_encoder(path, cached), T.StructType([*piece, T.StructField("piece_ids", T.BinaryType()), row])
     )
     joined = encoded.groupBy("row_no").agg(
-        F.array_sort(F.collect_list(F.struct("seq", "kind", "piece_ids"))).alias("pieces")
+        F.array_sort(F.collect_list(F.struct("seq", "kind", "piece_ids"))).alias("pieces"),
+        F.first("row", ignorenulls=True).alias("row"),
     )
-    joined = joined.mapInArrow(joined_rows, T.StructType([T.StructField("row_no", T.LongType()), *made]))
+    joined = joined.select("row", "pieces").mapInArrow(joined_rows, T.StructType([row, *made]))
     back = [F.col("row").getField(c).alias(c) for c in rest]
-    return short.unionByName(long.join(joined, "row_no").select(*back, *[_quoted(f.name) for f in made]))
+    return short.unionByName(joined.select(*back, *[_quoted(f.name) for f in made]))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -386,7 +391,7 @@ def _cutter(path: str, size: int, cached: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path, cached)
         for batch in batches:
-            for number, text in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
+            for k, (number, text) in enumerate(zip(*(batch[c].to_pylist() for c in ("row_no", "long_text")), strict=True)):
                 pieces = coder.cut(text, size)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -394,8 +399,9 @@ def _cutter(path: str, size: int, cached: int):
                         pa.array(range(len(pieces)), pa.int32()),
                         pa.array([p[1] for p in pieces], pa.int32()),
                         pa.array([p[0] for p in pieces], pa.string()),
+                        batch["row"].take(pa.array([k] + [None] * (len(pieces) - 1), pa.int64())),
                     ],
-                    ["row_no", "seq", "kind", "piece"],
+                    ["row_no", "seq", "kind", "piece", "row"],
                 )
 
     return run
@@ -407,8 +413,8 @@ def _piece_encoder(path: str, cached: int):
         for batch in batches:
             made = [coder.piece(p, i) for p, i in zip(batch["piece"].to_pylist(), batch["kind"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch["row_no"], batch["seq"], batch["kind"], pa.array(made, pa.binary())],
-                ["row_no", "seq", "kind", "piece_ids"],
+                [batch["row_no"], batch["seq"], batch["kind"], pa.array(made, pa.binary()), batch["row"]],
+                ["row_no", "seq", "kind", "piece_ids", "row"],
             )
         release()
 
