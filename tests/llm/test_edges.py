@@ -175,6 +175,17 @@ def test_encode_and_decode_frames(spark):
     assert bpe.encode(frame.limit(0), vocabulary()).count() == 0
 
 
+def test_ids_of_long_texts_are_not_joined_to_their_rows(spark):
+    """Rows go with their texts' first pieces; texts of some 100,000 characters are not cut at all."""
+    frame = docs(spark, [(1, "many words " * 10_000), (2, "few"), (2, None)]).withColumn("kept", F.array(F.lit("a"), F.lit(None)))
+    made = bpe.encode(frame, vocabulary(), piece_chars=1_000)
+    assert "Join" not in made._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.doc_id, len(r.ids), r.kept) for r in made.collect()) == sorted(
+        (r.doc_id, len(r.ids), r.kept) for r in bpe.encode(frame, vocabulary()).collect()
+    )
+    assert bpe.PIECE_CHARS > 110_000
+
+
 def test_token_files(spark, tmp_path):
     rows = [(5, "five"), (None, "none"), (2, None), (2, "two two"), (2, "two two"), (9, "n " * 200_000), (-3, "")]
     folder = str(tmp_path / "store")
@@ -501,3 +512,17 @@ def test_components_of_few_and_many_edges(spark, monkeypatch, small):
     if small:
         assert made.rdd.getNumPartitions() == 1
     assert {r.node: r.root for r in made.collect()} == {i: 100 for i in range(101, 131)} | {i: 500 for i in range(501, 600)} | {3: 2}
+
+
+def test_nodes_that_one_task_can_compare_are_not_dealt_in_pairs_of_parts(spark):
+    """1,200 classes that meet in one node of a later tree are as many leaf rows."""
+    met = set(neardup._TURNS[: neardup.FIRST_TREES, 0].tolist())
+    direct = neardup.trees_for(0, 85, 1)
+    shared = next(int(t) for t in neardup._TURNS[neardup.FIRST_TREES : direct, 0] if t not in met)
+    rows = [
+        (bytes([i // 256, i % 256]), 100, [7 if k == shared else 100_000 + 64 * i + k for k in range(neardup.TOKENS)], i)
+        for i in range(1_200)
+    ]
+    classes = spark.createDataFrame(rows, "cls binary, n long, tokens array<int>, component long")
+    leaves = neardup._leaves(neardup.materialize(classes, "test-classes"), 85)[0]
+    assert leaves.count() == leaves.select("cls").distinct().count() == 1_200

@@ -8,7 +8,7 @@ alone.  A class carries ``TOKENS`` minwise tokens.
   ``TREES`` independent trees they are compared at once, large nodes in hashed parts, so most
   of a large group of near copies is one component before anything else is done.
 * Branch: of all trees, only nodes that hold classes of different components go on.  A node
-  of more than ``LIMIT`` classes is compared in pairs of parts, one of more than ``DIRECT`` *
+  of more than ``WHOLE`` * ``LIMIT`` classes is compared in pairs of parts, one of more than ``DIRECT`` *
   ``LIMIT`` is branched by the next token, and so on.
 * Compare: a node's classes of different components are compared exhaustively, first by tokens
   (with a margin of ``MARGIN`` standard errors), then on full sets; classes already joined in
@@ -51,7 +51,10 @@ TOKENS = 64
 TREES = 12
 DEEPEST = 3
 MISS = 0.001
+#: First nodes of up to so many classes are compared in all trees; of larger ones, as many trees as ``MISS`` asks for.
 LIMIT = 1_024
+#: One task compares up to so many times LIMIT classes with one another.
+WHOLE = 4
 #: All pairs that are apart are compared in nodes of up to so many times LIMIT classes, in parts.
 DIRECT = 8
 #: Classes joined by the first trees' first nodes need not meet again.
@@ -199,15 +202,15 @@ def _parts(linked: np.ndarray) -> np.ndarray:
 
 
 def _likeness(tokens: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """The share of equal tokens of all pairs of sets, and which pairs may be similar enough by tokens and sizes."""
+    """The number of equal tokens of all pairs of sets, and which pairs may be similar enough by tokens and sizes."""
     share = percent / 100
     border = share - MARGIN * np.sqrt(share * (1 - share) / TOKENS)
     like = np.zeros((len(n), len(n)), np.uint8)
     for column in np.ascontiguousarray(tokens.T):
         like += (column[:, None] == column[None, :]).view(np.uint8)
-    like = like / TOKENS
-    fit = np.minimum(n[:, None], n[None, :]) >= share * np.maximum(n[:, None], n[None, :])
-    linked = (like >= border) & fit
+    linked = like >= int(np.ceil(border * TOKENS))
+    linked &= n[:, None] >= share * n[None, :]
+    linked &= n[None, :] >= share * n[:, None]
     np.fill_diagonal(linked, False)
     return like, linked
 
@@ -322,7 +325,7 @@ def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _forest(like: np.ndarray, linked: np.ndarray) -> np.ndarray:
     """The pairs of a spanning forest of ``linked`` whose likeness is greatest."""
-    weight = np.where(linked, like, -1.0)
+    weight = np.where(linked, like, -1).astype(np.float32)
     out = np.zeros_like(linked)
     left, best, by = np.ones(len(like), bool), np.full(len(like), -1.0), np.full(len(like), -1)
     for _ in range(len(like)):
@@ -489,16 +492,20 @@ def _branched(
     while True:
         sizes = _sizes(rows, F.min("component").alias("one"), F.max("component").alias("other")).where("one <> other")
         once = _once(sizes)
-        small = once.where(F.col("members") <= LIMIT)
+        small = once.where(F.col("members") <= WHOLE * LIMIT)
         if depth == 0 and low == 0:  # those of the first trees have met
-            small = small.join(sizes.where(F.col("tree") < FIRST_TREES).select("path"), "path", "left_anti")
+            met_before = sizes.where((F.col("tree") < FIRST_TREES) & (F.col("members") <= LIMIT))
+            small = small.join(met_before.select("path"), "path", "left_anti")
         large = sizes.where(F.col("members") > DIRECT * LIMIT).select("path")
         is_last = large.isEmpty()
         met = is_last and depth == 0 and low == 0  # every first node is compared whole, so each pair once is enough
-        found.append(leaves_of(rows.join(small, "path").withColumn("root", none), met))
-        if sizes.where(F.col("members") > LIMIT).isEmpty():
+        alone = rows.join(small, "path").withColumn("root", none)
+        if depth == 0:
+            alone = alone.where((F.col("members") <= LIMIT) | (F.col("tree") < direct))
+        found.append(leaves_of(alone, met))
+        if sizes.where(F.col("members") > WHOLE * LIMIT).isEmpty():
             break
-        whole = rows.join(once.where((F.col("members") > LIMIT) & (F.col("members") <= DIRECT * LIMIT)), "path")
+        whole = rows.join(once.where((F.col("members") > WHOLE * LIMIT) & (F.col("members") <= DIRECT * LIMIT)), "path")
         if depth == 0:
             whole = whole.where(F.col("tree") < direct)
         found.append(leaves_of(_parts_apart(whole.withColumn("root", F.col("path"))), met))
@@ -506,7 +513,7 @@ def _branched(
             break
         if depth == DEEPEST:
             crowd = rows.join(once.where(F.col("members") > DIRECT * LIMIT), "path")
-            part = F.pmod(F.xxhash64("cls"), F.ceil(F.col("members") / (LIMIT // 2)).cast("long"))
+            part = F.pmod(F.xxhash64("cls"), F.ceil(F.col("members") / (WHOLE * LIMIT // 2)).cast("long"))
             crowd = crowd.withColumn("root", F.col("path"))
             found.append(leaves_of(crowd.withColumn("path", F.xxhash64("root", part)), False))
             crowds = crowd.select("root", "cls")
@@ -712,8 +719,8 @@ def _parts_apart(rows: DataFrame) -> DataFrame:
     sizes = sizes.where(F.col("members") > F.col("most.held")).select(
         "root",
         F.col("most.component").alias("main"),
-        F.ceil(F.col("members") / (LIMIT // 2)).alias("parts"),
-        F.ceil((F.col("members") - F.col("most.held")) / (LIMIT // 2)).alias("rest"),
+        F.ceil(F.col("members") / (WHOLE * LIMIT // 2)).alias("parts"),
+        F.ceil((F.col("members") - F.col("most.held")) / (WHOLE * LIMIT // 2)).alias("rest"),
     )
     rows = rows.join(materialize(sizes, "crowd-sizes"), "root")
 
