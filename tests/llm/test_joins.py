@@ -214,3 +214,22 @@ def test_hard_negatives_edges(spark, monkeypatch, scale):
     made = hardneg.mine(frame, F.col("vec_id") % 10 == 0).collect()
     assert sorted(tuple(r) for r in made) == mined(good, lambda i: i % 10 == 0)
     assert hardneg.mine(frame.limit(0), F.lit(True)).count() == 0
+
+
+def test_first_heads_tell_lone_sets_apart(spark, monkeypatch):
+    """Copies give their head once a task; sets that may link stay, also where every shared run counts as hot."""
+    texts = crowded()
+    rows = [*texts.items(), *((1_000 + i, t) for i, t in texts.items())]
+    sketches = jaccard.sketch(docs(spark, rows).coalesce(1), 80)
+    heads = sketches.where("head IS NOT NULL").select(F.xxhash64("cls").alias("id"), "n", "head", "doc_id").collect()
+    assert len(heads) == len({r.id for r in heads}) == sketches.where("cls IS NOT NULL").select("cls").distinct().count()
+    own = {r.doc_id: r.id for r in heads}
+    lone = {i: f"lone {i} " + " ".join(f"z{i}x{k}" for k in range(30)) for i in range(5_000, 5_020)}
+    frame = jaccard.sketch(docs(spark, [*texts.items(), *lone.items()]), 80).where("head IS NOT NULL")
+    frame = frame.select(F.xxhash64("cls").alias("id"), "n", "head", "doc_id")
+    linked = {own[i] for i, (_, root) in components(texts, 80).items() if i in own and i != root}
+    for asked, least in ((64, 8), (1, 2)):
+        monkeypatch.setattr(jaccard, "ASKED", asked)
+        monkeypatch.setattr(jaccard, "HOT_LEAST", least)
+        told = jaccard._first_told(frame.select("id", "n", "head"), frame.select("id", "n", "doc_id"), 80).collect()
+        assert linked <= {r.id for r in told} and not {r.doc_id for r in told} & set(lone)

@@ -8,7 +8,8 @@ a shorter text is one run.  Documents of equal sets are one class, which goes on
 * Blocks: sets that link share many of the runs that come first by hash.  A set's head is
   its first |set| - ceil(percent% of |set|) + extra runs; linked sets share at least extra - 1
   (and one) runs of their heads.  Sets with fewer head runs that any other set has are alone
-  and leave, ``PEELS`` times, as counts fall when others leave.  Of the runs left, the extra
+  and leave: most of them by a shorter head, whose runs are shuffled once, the others
+  ``PEELS`` times, as counts fall when others leave.  Of the runs left, the extra
   - 2 that most sets hold are dropped: a pair still shares one.  A block is what such runs
   connect, so no pair is lost between blocks.  Most blocks are a few copies of one text.
 * Regions: a block of over ``REGION`` sets (or ``REGION_RUNS`` runs) is split by ``PIVOTS`` of
@@ -45,19 +46,26 @@ from pyspark.sql import functions as F
 from tripline.llm.arrow import slices, small_batches, text_bytes
 from tripline.llm.components import connected
 from tripline.llm.neardup import class_key, sets
-from tripline.operators.joins import at_most, join_per_key
+from tripline.operators.joins import HOT_SHARE, SALTS, at_most, join_per_key
 from tripline.session import materialize
 
 PEELS = 2
 #: Sets whose runs are no more than about this are all head; larger ones have so many runs, or a tenth, above the least.
 EXTRA = 64
+#: As ``EXTRA``, for the heads that tell apart most sets.
+FIRST_EXTRA = 16
+#: Of so many sets one is asked which runs are hot; a hot run is in over 1/HOT_SHARE of the sets asked, and in HOT_LEAST.
+ASKED = 64
+HOT_LEAST = 8
+#: Keys of sets that a task remembers, so that it gives the head of copies once.
+REMEMBERED = 200_000
 PIVOTS = 32
-REGION = 256
+REGION = 1_024
 REGION_RUNS = 2_000_000
 #: A region that is only so many times too large is cut by hash at once.
 FEW = 4
 #: Visitors of a region that one task compares, and sets of a block that one task measures.
-VISITORS = 512
+VISITORS = 1_024
 MEASURED = 2_048
 #: Tables of counted size go to every task up to so many rows.
 SMALL_ROWS = 200_000
@@ -82,18 +90,30 @@ def _need(percent: int) -> Column:
 
 
 def sketch(docs: DataFrame, percent: int) -> DataFrame:
-    """doc_id, n, cls (of the set; null if empty), head (its first runs by hash) of every row."""
+    """doc_id, n, cls (of the set; null if empty), head (its first runs by hash) of every row.
+
+    Of the equal sets of a task one at least has its head; rows without doc_id have none.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
                 found = sets(*text_bytes(part["text"]))
-                heads = [s[: head_length(len(s), percent)].view(np.int64) if len(s) else None for s in found]
+                keys = [class_key(s) if len(s) else None for s in found]
+                heads = []
+                for doc_id, key, own in zip(part["doc_id"].to_pylist(), keys, found, strict=True):
+                    new = key is not None and doc_id is not None and key not in seen
+                    heads.append(own[: head_length(len(own), percent)].view(np.int64) if new else None)
+                    if new:
+                        if len(seen) >= REMEMBERED:
+                            seen.clear()
+                        seen.add(key)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part["doc_id"],
                         pa.array([len(s) for s in found], pa.int64()),
-                        pa.array([class_key(s) if len(s) else None for s in found], pa.binary()),
+                        pa.array(keys, pa.binary()),
                         pa.array(heads, pa.list_(pa.int64())),
                     ],
                     ["doc_id", "n", "cls", "head"],
@@ -103,6 +123,29 @@ def sketch(docs: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n long, cls binary, head array<long>")
 
 
+def _first_told(heads: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``classes`` (id, n, ...) that may link, by the first runs of ``heads`` (id, n, head).
+
+    A linked set shares as many of them as ``extra`` with another one.  Runs meet by one shuffle: those that no
+    other set has leave there.  Runs that a sample finds in very many sets are dealt over several tasks.
+    """
+    extra = F.least(F.expr(f"(n * {percent} + 99) div 100"), F.lit(min(FIRST_EXTRA, EXTRA))).cast("int")
+    length = (F.col("n") - F.expr(f"(n * {percent} + 99) div 100")).cast("int") + extra
+    first = F.slice("head", F.lit(1), length)
+    asked = heads.where(F.pmod(F.xxhash64("id", F.lit(9)), F.lit(ASKED)) == 0)
+    runs = asked.select("id", F.explode(first).alias("run")).distinct().groupBy("run").agg(F.count("*").alias("sets"))
+    most = F.greatest(F.lit(HOT_LEAST), F.lit(asked.count() / HOT_SHARE))
+    hot = F.broadcast(materialize(runs.where(F.col("sets") >= most).select("run"), "hot-runs").withColumn("_hot", F.lit(True)))
+    rows = heads.select("id", F.explode(first).alias("run")).join(hot, "run", "left")
+    salt = F.when(F.col("_hot"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    of_run = Window.partitionBy("run", "salt")
+    rows = rows.withColumn("salt", salt).select("id", "run", "salt")
+    rows = rows.withColumns({"least": F.min("id").over(of_run), "most": F.max("id").over(of_run)})
+    rows = rows.where(F.col("salt").isNotNull() | (F.col("least") != F.col("most")))
+    held = rows.groupBy("id").agg(F.count("*").alias("held"))
+    return classes.join(held, "id").where(F.col("held") >= extra).drop("held")
+
+
 def _shared(rows: DataFrame, least: int = 2) -> DataFrame:
     """``rows`` (..., run) with df, the number of rows of their run, where that is at least ``least``."""
     counts = materialize(rows.groupBy("run").agg(F.count("*").alias("df")).where(F.col("df") >= least), "runs")
@@ -185,7 +228,7 @@ def _measure(percent: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, pivots, index = None, [], None
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], [], []]
             for name, kind, region, id_, core, homes, runs in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if name != unit:
                     unit, pivots, index = name, [], None
@@ -199,17 +242,17 @@ def _measure(percent: int):
                 apart = 1 - both / union
                 linked = [pivots[i][0] for i in np.flatnonzero(100 * both >= percent * union) if pivots[i][0] != id_]
                 for column, value in zip(
-                    out, (region, id_, core, int(apart[:homes].argmin()), apart.tolist(), linked), strict=True
+                    out, (region, id_, core, len(own), int(apart[:homes].argmin()), apart.tolist(), linked), strict=True
                 ):
                     column.append(value)
-            types = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.int64())]
+            types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.int64())]
             arrays = [pa.array(c, t) for c, t in zip(out, types, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, ["region", "id", "core", "home", "apart", "linked"])
+            yield pa.RecordBatch.from_arrays(arrays, ["region", "id", "core", "n", "home", "apart", "linked"])
 
     return run
 
 
-_MEASURED = "region long, id long, core boolean, home int, apart array<double>, linked array<long>"
+_MEASURED = "region long, id long, core boolean, n long, home int, apart array<double>, linked array<long>"
 
 
 def _compare(percent: int):
@@ -275,7 +318,7 @@ def _dealt(rows: DataFrame, units: DataFrame, first: Column, deal: str) -> DataF
 
 
 def _split(rows: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """region, id, core, home, apart, linked of rows (region, id, core) by the pivots of their regions."""
+    """region, id, core, n, home, apart, linked of rows (region, id, core) by the pivots of their regions."""
     region = Window.partitionBy("region")
     own = rows.where("core").join(members.select("id", "n", "centre"), "id")
     # Half of them amid the region's copies, which join these at once, and half anywhere.
@@ -300,12 +343,12 @@ def _split(rows: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     return dealt.sortWithinPartitions("unit", "kind", "id").mapInArrow(_measure(percent), _MEASURED)
 
 
-def _regions(told: DataFrame, members: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
-    """Rows (region, id, core) of the Voronoi regions of measured rows, with the visitors of each.
+def _regions(told: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
+    """Rows (region, id, core, n, component) of the Voronoi regions of measured rows, with the visitors of each.
 
     ``placed`` gives the component of ids.
     """
-    told = materialize(told.join(placed, "id").join(members.select("id", "n"), "id"), "told")
+    told = materialize(told.join(placed, "id"), "told")
     own = told.where("core")
     most = own.groupBy("region", "component").agg(F.count("*").alias("held")).groupBy("region")
     most = most.agg(F.max_by("component", F.struct("held", "component")).alias("main"), F.sum("held").alias("of_parent"))
@@ -341,9 +384,9 @@ def _regions(told: DataFrame, members: DataFrame, placed: DataFrame, percent: in
         return near & F.when(F.col("core"), ~is_main).otherwise(~(is_main & cell["all_main"]))
 
     chosen = F.filter("cells", lambda cell: is_own(cell) | visits(cell))
-    rows = rows.select("id", F.explode(F.transform(chosen, lambda c: F.struct(
+    rows = rows.select("id", "n", "component", F.explode(F.transform(chosen, lambda c: F.struct(
         c["name"].alias("region"), is_own(c).alias("core")))).alias("to"))
-    return rows.select("to.region", "id", "to.core")
+    return rows.select("to.region", "id", "to.core", "n", "component")
 
 
 def _components(links: DataFrame, members: DataFrame) -> DataFrame:
@@ -354,11 +397,11 @@ def _components(links: DataFrame, members: DataFrame) -> DataFrame:
 
 def join(rows: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that join all members (id, n, runs) of each block, rows (block, id), that can be reached by links."""
-    placed = members.select("id", F.col("id").alias("component"))
-    rows = rows.select(F.col("block").alias("region"), "id", F.lit(True).alias("core"))
+    rows = rows.select(F.col("block").alias("region"), "id", F.lit(True).alias("core"), F.col("id").alias("component"))
+    rows = rows.join(members.select("id", "n"), "id")
     small, links = [], None
     while True:
-        sizes = rows.join(members.select("id", "n"), "id").groupBy("region").agg(
+        sizes = rows.groupBy("region").agg(
             F.count_if("core").alias("sets"), F.sum(F.when(F.col("core"), F.col("n"))).alias("runs"), F.count("*").alias("members")
         )
         sizes = materialize(sizes, "region-sizes")
@@ -373,23 +416,23 @@ def join(rows: DataFrame, members: DataFrame, percent: int) -> DataFrame:
         more = told.select(F.col("id").alias("a"), F.explode("linked").alias("b"))
         links = materialize(more if links is None else links.unionByName(more), "links")
         placed = materialize(_components(links, members), "placed")
-        rows = materialize(_regions(told, members, placed, percent), "regions")
+        rows = materialize(_regions(told, placed, percent), "regions")
         # A region that is of one component, visitors included, has nothing to find.
-        ends = rows.join(placed, "id").groupBy("region").agg(F.min("component").alias("one"), F.max("component").alias("other"))
+        ends = rows.groupBy("region").agg(F.min("component").alias("one"), F.max("component").alias("other"))
         rows = rows.join(ends.where("one <> other").select("region"), "region", "left_semi")
         rows = materialize(rows, "open-regions")
     leaves = small[0]
     for more in small[1:]:
         leaves = leaves.unionByName(more)
-    found = _joined(leaves, members, placed, percent)
+    found = _joined(leaves, members, percent)
     return found if links is None else links.unionByName(found)
 
 
-def _joined(rows: DataFrame, members: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
+def _joined(rows: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Links of regions' own sets with one another and with visitors."""
     units = rows.groupBy("region").agg(F.count("*").alias("members"), F.count_if(~F.col("core")).alias("visitors"))
     units = materialize(units.select("region", "members", F.greatest(F.ceil(F.col("visitors") / VISITORS), F.lit(1)).alias("deal")), "units")
-    dealt = _dealt(rows, units, F.col("core"), "deal").join(placed, "id").join(members.select("id", "runs"), "id")
+    dealt = _dealt(rows, units, F.col("core"), "deal").join(members.select("id", "runs"), "id")
     dealt = dealt.select(
         "unit", (~F.col("core")).cast("int").alias("kind"), (F.col("salt") == 0).alias("first"), "id", "component", "runs"
     )
@@ -406,9 +449,13 @@ def components(docs: DataFrame, percent: int = 80) -> DataFrame:
     sketches = materialize(sketch(small_batches(docs), percent), "sketches")
     known = sketches.where("cls IS NOT NULL AND doc_id IS NOT NULL")
     # Ids of classes are their least doc_id; of several texts of one doc_id each needs an id of its own.
-    classes = known.groupBy("cls").agg(F.min("doc_id").alias("doc"), F.min("n").alias("n"), F.min("head").alias("head"))
+    classes = known.groupBy("cls").agg(F.min("doc_id").alias("doc"), F.min("n").alias("n"))
     classes = materialize(classes.withColumn("id", F.xxhash64("cls")), "classes")
-    inside = materialize(blocks(classes.select("id", "n", "head"), percent), "blocks")
+    heads = known.where("head IS NOT NULL").select(F.xxhash64("cls").alias("id"), "n", "head")
+    told = materialize(_first_told(heads, classes.select("id", "n"), percent), "first-told").select("id")
+    told = F.broadcast(told) if at_most(told, SMALL_ROWS) else told
+    told = materialize(heads.join(told, "id").dropDuplicates(["id"]), "heads")
+    inside = materialize(blocks(told, percent), "blocks")
     wanted = inside.select("id", "centre").join(classes.select("id", "doc", "cls"), "id")
     members = materialize(_fetch(docs, materialize(wanted, "wanted")), "members")
     links = materialize(join(inside, members, percent), "links")
