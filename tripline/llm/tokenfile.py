@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tripline.llm.arrow import slices, small_batches
+from tripline.llm.arrow import release, slices, small_batches
 from tripline.llm.bpe import encoder
 from tripline.session import scratch_dir
 
@@ -131,6 +131,7 @@ def _block_writer(path: str, dictionary: bytes, name: str, end_id: int):
                     held += len(frame)
         if frames:
             yield row()
+        release()
 
     return run
 
