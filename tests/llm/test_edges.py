@@ -2,6 +2,7 @@
 
 import json
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -151,6 +152,31 @@ def test_pieces_give_the_whole_texts_ids():
             assert np.frombuffer(pieces_agree(coder, text, size), "<u4").tolist() == ids
 
 
+def test_learning_quality_takes_little_memory():
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice(["river", "stone", "GARDEN!!", "winter.", "x"], 300)).encode() for _ in range(1_500)]
+    offsets = np.cumsum([0, *map(len, texts)])
+    tracemalloc.start()
+    model = quality.learn(np.frombuffer(b"".join(texts), np.uint8), offsets, np.arange(1_500) % 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.isfinite(model.weights).all() and peak < 60e6
+
+
+def test_classes_to_fetch_are_found_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    texts = docs(spark, [(k, f"one two three four five {k}") for k in range(20)])
+    names = neardup.sketch(texts).selectExpr("cls", "doc_id AS rep").mapInArrow(counted, "cls binary, rep long")
+    assert neardup._fetch(texts, names).count() == 20
+    assert seen.value == 20
+
+
 def test_other_tokenizer_files_are_encoded_by_the_library(tmp_path):
     spec = json.load(open(vocabulary()))
     spec["pre_tokenizer"]["add_prefix_space"] = True

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 
-from tripline.llm.arrow import text_bytes
+from tripline.llm.arrow import release, text_bytes
 from tripline.llm.textscore import by_slices, labelled_texts, logistic, score_texts, sigmoid, sums
 
 PER_CLASS = 1_500
@@ -155,7 +155,9 @@ def learn(data: np.ndarray, offsets: np.ndarray, labels: np.ndarray, seed: int =
     even = np.concatenate([rng.choice(good, 2_000), rng.choice(bad, 2_000)])
     edges = np.quantile(x[even], np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T
     z = binned(x, edges)
-    difference = z[rng.choice(good, PAIRS)] - z[rng.choice(bad, PAIRS)]
+    # Differences of bins are -1, 0 or 1, and the driver holds all pairs.
+    signs = z.astype(np.int8)
+    difference = signs[rng.choice(good, PAIRS)] - signs[rng.choice(bad, PAIRS)]
     # The winner is always first: each pair enters once in either order.
     both = np.concatenate([difference, -difference])
     won = np.concatenate([np.ones(PAIRS), np.zeros(PAIRS)])
@@ -188,7 +190,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model |
     given = table["label"].to_numpy()
     if given.min() == given.max():
         return None
-    return learn(*text_bytes(table["text"].combine_chunks()), given)
+    model = learn(*text_bytes(table["text"].combine_chunks()), given)
+    del table
+    release()
+    return model
 
 
 def score(df: DataFrame, model: Model | None, text: str = "text", keep_text: bool = True) -> DataFrame:
