@@ -152,6 +152,26 @@ def test_pieces_give_the_whole_texts_ids():
             assert np.frombuffer(pieces_agree(coder, text, size), "<u4").tolist() == ids
 
 
+def test_words_with_marks_share_the_encoding_of_their_letters(monkeypatch):
+    coder = Encoder(vocabulary())
+    made = []
+    plain = coder._ids
+    monkeypatch.setattr(coder, "_ids", lambda symbols: made.append(symbols) or plain(symbols))
+    text = "So qwertily qwertily, qwertily. qwertily; qwertily\nqwertily: qwertily? zäpfchenl zäpfchenl, zäpfchenl. zäpfchenl!\nSo"
+    assert coder.encode(text) == coder._by_library(text)
+    assert sum("qwertily" in symbols for symbols in made) == 2  # after a space, and after a line feed
+    assert sum("pfchenl" in symbols for symbols in made) == 1
+
+
+def test_parts_of_odd_texts_equal_the_library():
+    rng = random.Random(8)
+    some = [*"abé ñªµ  .,;:!?'-()\n\n\t\r019<|>\u00a0\u2009\u200b\x1c\x85\ufeff", "'s", "<|endoftext|>", ".\n", " the", "end.\n"]
+    coder = Encoder(vocabulary(), 300)
+    for _ in range(20_000):
+        text = "".join(rng.choices(some, k=rng.randint(0, 12)))
+        assert coder.encode(text) == coder._by_library(text), repr(text)
+
+
 def test_learning_quality_takes_little_memory():
     rng = np.random.default_rng(2)
     texts = [" ".join(rng.choice(["river", "stone", "GARDEN!!", "winter.", "x"], 300)).encode() for _ in range(1_500)]

@@ -37,7 +37,7 @@ from tripline.session import materialize
 #: A text of so many characters takes a task a fraction of a second; only longer ones are cut and shuffled.
 PIECE_CHARS = 262_144
 RUN_BYTES = 1_024
-#: Parts that a task keeps encoded (about 250 bytes each), and half as many words.
+#: Parts that a task keeps encoded (about 250 bytes each); half as many more are shared out below.
 CACHED = 800_000
 TEXT, START, MORE = 0, 1, 2
 
@@ -47,7 +47,7 @@ PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 _SPACES = " \t\n\v\f\r"
 #: Everything that one of the regular-expression libraries may take for white space.
 _MAYBE_SPACE = r"\s\x1c-\x1f\x85᠎​﻿"
-_SPACE_RUN = re.compile(rf" (?=[{_MAYBE_SPACE}]|\Z)")
+_STARTS_WITH_SPACE = re.compile(rf"[{_MAYBE_SPACE}]").match
 _ODD_SPACE = rf"(?:(?![{_SPACES}])[{_MAYBE_SPACE}])"
 _CHUNK = re.compile(
     rf"[{_MAYBE_SPACE}]*[^{_MAYBE_SPACE}]+(?:{_ODD_SPACE}[{_MAYBE_SPACE}]*[^{_MAYBE_SPACE}]+)*|[{_MAYBE_SPACE}]+"
@@ -62,6 +62,13 @@ _ASCII_PRETOKENS = re.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII
 ).findall
 _ASCII_PLAIN = re.compile(r"[\t-\r\x20-\x7e]*").fullmatch
+#: One of these that ends a part is a pre-token if letters are before it.
+_MARKS = frozenset(",.;:!?")
+
+
+def _letters(text: str) -> bool:
+    """Whether the pattern takes all of ``text`` for letters; false if that isn't sure."""
+    return text.isalpha() and (text.isascii() or max(text) < _LETTERS_END)
 
 
 def byte_symbols() -> list[str]:
@@ -87,6 +94,10 @@ def decoded(table: dict[int, bytes], ids: np.ndarray) -> str:
     return b"".join([table.get(i, b"") for i in ids.tolist()]).decode("utf-8", "replace")
 
 
+class _SpaceRun(Exception):
+    """A space is followed by white space, so the text can't be split at every space."""
+
+
 class _Cache(dict):
     """A dict that computes what it lacks and keeps about ``limit`` results, the ones used last.
 
@@ -135,8 +146,8 @@ class Encoder:
         self.symbols = dict(enumerate(byte_symbols()))
         self.token_bytes = token_bytes(spec)
         self.split = regex.compile(PRETOKENS).findall
-        self.words = _Cache(self._word, cached // 2)
-        self.parts = _Cache(self._part, cached)
+        self.words = _Cache(self._word, cached // 4)
+        self.parts = _Cache(self._part, cached + cached // 4)
         self.heads = _Cache(self._chunk, cached // 8)
 
     def encode(self, text: str) -> bytes:
@@ -144,10 +155,12 @@ class Encoder:
             return b""
         if not self.known:
             return self._by_library(text)
-        if _SPACE_RUN.search(text) is None:
-            head, *parts = text.split(" ")
-            return (self.heads[head] if head else b"") + b"".join(map(self.parts.__getitem__, parts))
-        return b"".join(map(self.heads.__getitem__, _CHUNK.findall(text)))
+        parts = text.split(" ")
+        try:
+            head = self.heads[parts[0]] if parts[0] else b""
+            return head + b"".join(map(self.parts.__getitem__, parts[1:]))
+        except _SpaceRun:
+            return b"".join(map(self.heads.__getitem__, _CHUNK.findall(text)))
 
     def decode(self, ids: np.ndarray) -> str:
         return decoded(self.token_bytes, ids)
@@ -246,11 +259,25 @@ class Encoder:
             return self._ids(self.symbols[32] + part)
         if part.isalpha() and max(part) < _LETTERS_END:
             return self._word(" " + part)
+        if not part or _STARTS_WITH_SPACE(part):
+            raise _SpaceRun
+        stem, mark = part[:-1], part[-1]
+        if mark in _MARKS and _letters(stem):
+            return self.parts[stem] + self.words[mark]
+        if "\n" in part and "<" not in part:
+            before, _, line = part.partition("\n")
+            # A line feed between two such characters is a pre-token, so what is around it stands alone.
+            if "!" <= before[-1:] <= "~" and ("!" <= line[:1] <= "~" or _letters(line[:1])):
+                return self.parts[before] + self.words["\n"] + self.heads[line]
         return self._chunk(" " + part)
 
     def _chunk(self, chunk: str) -> bytes:
         if "<" in chunk and any(s in chunk for s in self.special):
             return self._by_library(chunk)
+        if _letters(chunk):
+            return self._word(chunk)
+        if chunk[-1:] in _MARKS and _letters(chunk[:-1]):
+            return self.words[chunk[:-1]] + self.words[chunk[-1]]
         return b"".join(map(self.words.__getitem__, self._pretokens(chunk)))
 
     def _word(self, word: str) -> bytes:
